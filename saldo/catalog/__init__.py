@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scalars", "classify"]
+MODULES = ["scalars", "classify", "reports", "questions", "matching"]
 
 
 def load() -> tuple[dict, dict]:

@@ -76,3 +76,26 @@ def any_like(c: str, words: list[str]) -> str:
 
 def rx(c: str, pattern: str) -> str:
     return f"regexp_matches({c}, '(?i){pattern}')"
+
+_DOT = "replace(format('{{:,}}', {c}), ',', '.')"
+ROWS = f"""{DESCRIBED}, {LINES_ONLY}, rws AS (
+  SELECT account, page, part * 1000 + provider AS row_no, CASE WHEN folio LIKE 'N%' THEN 'item_secondary' ELSE 'item_primary' END AS kind,
+         description || ' ' || CAST(qty AS INT) || ' ' || {_DOT.format(c='total')} || ' ' || {_DOT.format(c='copago')} AS text FROM described
+  UNION ALL SELECT account, 8, provider, 'footer', 'TOTAL EMPRESA ' || {_DOT.format(c='valor')} || ' ' || {_DOT.format(c='bonif')} FROM lines WHERE folio LIKE '%F')"""
+
+TOKENS = ("list_filter(list_transform(regexp_extract_all({c}, '\\d{{1,3}}(?:\\.\\d{{3}})+(?:,\\d+)?|\\d+(?:,\\d+)?'), "
+          "lambda x: CAST(replace(replace(x, '.', ''), ',', '.') AS DOUBLE)), lambda x: x > 0)")
+
+
+def tokens(c: str) -> str:
+    return TOKENS.format(c=c)
+
+
+def largest(c: str) -> str:
+    t = f"list_filter({tokens(c)}, lambda x: x < 100000000)"
+    return f"CAST(coalesce(floor(coalesce(list_max(list_filter({t}, lambda x: x >= 1000)), list_max({t})) + 0.5), 0) AS BIGINT)"
+
+
+def charge(c: str) -> str:
+    t = f"list_filter({tokens(c)}, lambda x: x < 100000000)"
+    return f"CASE WHEN len({t}) < 2 THEN 0 ELSE CAST(floor(greatest(({t})[-1], ({t})[-2]) + 0.5) AS BIGINT) END"

@@ -120,3 +120,17 @@ def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         modality.alias("modality"), pct.alias("pct"), kind.alias("cap_kind"),
         F.when(kind.isin("SIN_TOPE_EXPRESO"), F.lit(None)).otherwise(F.pmod(pos, F.lit(90)) + 1).cast("double").alias("cap_value"),
         "clinic", F.concat_ws(" ", F.col("domain"), modality, F.col("clinic")).alias("text"))
+
+
+def bill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed rows: one per item and a footer per settled folio. account, page, row_no, kind, text."""
+    dotted = lambda c: F.translate(F.format_number(F.col(c), 0), ",", ".")
+    d = described(spark, sf_dir)
+    item_rows = d.select(
+        "account", "page", (F.col("part") * 1000 + F.col("provider")).alias("row_no"),
+        F.when(F.col("folio").startswith("N"), "item_secondary").otherwise("item_primary").alias("kind"),
+        F.concat_ws(" ", "description", F.col("qty").cast("int").cast("string"), dotted("total"), dotted("copago")).alias("text"))
+    feet = settlement_lines(spark, sf_dir).filter(F.col("folio").endswith("F")).select(
+        "account", F.lit(8).alias("page"), F.col("provider").alias("row_no"), F.lit("footer").alias("kind"),
+        F.concat_ws(" ", F.lit("TOTAL EMPRESA"), dotted("valor"), dotted("bonif")).alias("text"))
+    return item_rows.unionByName(feet)
