@@ -20,6 +20,7 @@ from saldo.functions.rules import first_match
 from saldo.functions.text import contains_any, normalize_strict
 from saldo.operators import classify as K
 from saldo.operators import sequence
+from saldo.operators.containment import contained
 from saldo.session import checkpoint
 
 FAR = 999999
@@ -141,23 +142,16 @@ def text_match(lines: DataFrame, items: DataFrame) -> DataFrame:
                     first_match([("FAIL", (n == 0) | (F.col("text") == "")), ("OK", n == 1)], "PARTIAL").alias("status"))
 
 
-def containment_match(lines: DataFrame, items: DataFrame, min_len: int = 6, gram: int = 6) -> DataFrame:
+def containment_match(lines: DataFrame, items: DataFrame, min_len: int = 6) -> DataFrame:
     """Shortest item text that contains the line text or is contained in it.
 
-    Containment is decided once per pair of distinct texts. The contained text is found through its
-    first letters among the letter groups of the containing one, so texts meet by an equi-join.
+    Containment is decided once per pair of distinct texts.
     """
     lt = lines.select("account", "line_id", normalize_strict(F.col("description")).alias("line_text")).filter("line_text <> ''")
     it = items.select("account", "item_id", normalize_strict(F.col("description")).alias("item_text")).filter(F.length("item_text") >= min_len)
-    texts = lt.select(F.col("line_text").alias("t")).union(it.select(F.col("item_text"))).distinct()
-    keyed = texts.withColumn("k", F.least(F.length("t"), F.lit(gram)))
-    inner = keyed.select(F.col("t").alias("inner"), "k", F.expr("substring(t, 1, k)").alias("g"))
-    sizes = F.sequence(F.lit(1), F.least(F.length("t"), F.lit(gram)))
-    outer = texts.select(F.col("t").alias("outer"), F.explode(sizes).alias("k")).select(
-        "outer", "k", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(outer) - k + 1), i -> substring(outer, i, k))"))).alias("g"))
-    contained = outer.join(inner, ["k", "g"]).filter(F.col("outer").contains(F.col("inner"))).select("outer", "inner")
-    ways = contained.select(F.col("inner").alias("line_text"), F.col("outer").alias("item_text")).union(
-        contained.select(F.col("outer"), F.col("inner"))).distinct()
+    pairs_all = contained(lt.select(F.col("line_text").alias("t")).union(it.select(F.col("item_text"))))
+    ways = pairs_all.select(F.col("inner").alias("line_text"), F.col("outer").alias("item_text")).union(
+        pairs_all.select(F.col("outer"), F.col("inner"))).distinct()
     pairs = ways.join(lt.select("line_text").distinct(), "line_text", "left_semi").join(it.select("item_text").distinct(), "item_text", "left_semi")
     per_item_text = it.groupBy("account", "item_text").agg(F.min("item_id").alias("item_id"))
     best = per_item_text.join(pairs, "item_text").groupBy("account", "line_text").agg(
