@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scalars", "classify", "reports", "questions", "matching", "contracts", "episodes", "signals"]
+MODULES = ["scalars", "classify", "reports", "questions", "matching", "contracts", "episodes", "signals", "decisions", "balance"]
 
 
 def load() -> tuple[dict, dict]:
