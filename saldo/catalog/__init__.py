@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scalars", "classify", "reports", "questions", "matching", "contracts", "episodes", "signals", "decisions", "balance"]
+MODULES = ["scalars", "classify", "reports", "questions", "matching", "contracts", "episodes", "signals", "decisions",
+           "balance", "sequences", "pages", "batch"]
 
 
 def load() -> tuple[dict, dict]:

@@ -29,6 +29,8 @@ def carry(
     nexts: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
+    priors: dict[str, Column] | None = None,
+    follows: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ordered state columns; ``chunk`` must not decrease along ``order``.
 
@@ -37,9 +39,11 @@ def carry(
     nexts:  first non-null value from the row on
     before: value of the previous row
     after:  value of the next row
+    priors: last non-null value before the row
+    follows: first non-null value after the row
     """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
-    before, after = before or {}, after or {}
+    before, after, priors, follows = before or {}, after or {}, priors or {}, follows or {}
     d = df.withColumn(_C, chunk)
     rank = F.struct(*order)
     inner = Window.partitionBy(*keys, _C).orderBy(*order)
@@ -48,8 +52,8 @@ def carry(
 
     aggs = [F.lit(1).alias("_n")]
     aggs += [F.sum(v).alias(f"_s_{n}") for n, v in sums.items()]
-    aggs += [F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_l_{n}") for n, v in lasts.items()]
-    aggs += [F.min_by(v, F.when(v.isNotNull(), rank)).alias(f"_f_{n}") for n, v in nexts.items()]
+    aggs += [F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_l_{n}") for n, v in (lasts | priors).items()]
+    aggs += [F.min_by(v, F.when(v.isNotNull(), rank)).alias(f"_f_{n}") for n, v in (nexts | follows).items()]
     aggs += [F.max_by(F.struct(v.alias("v")), rank).alias(f"_b_{n}") for n, v in before.items()]
     aggs += [F.min_by(F.struct(v.alias("v")), rank).alias(f"_a_{n}") for n, v in after.items()]
     chunks = d.groupBy(*keys, _C).agg(*aggs)
@@ -58,8 +62,8 @@ def carry(
     earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
     later = outer.rowsBetween(1, Window.unboundedFollowing)
     carried = [F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums]
-    carried += [F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in lasts]
-    carried += [F.first(f"_f_{n}", ignorenulls=True).over(later).alias(f"_f_{n}") for n in nexts]
+    carried += [F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_l_{n}") for n in [*lasts, *priors]]
+    carried += [F.first(f"_f_{n}", ignorenulls=True).over(later).alias(f"_f_{n}") for n in [*nexts, *follows]]
     carried += [F.lag(f"_b_{n}").over(outer).alias(f"_b_{n}") for n in before]
     carried += [F.lead(f"_a_{n}").over(outer).alias(f"_a_{n}") for n in after]
     state = chunks.select(*keys, _C, *carried)
@@ -67,12 +71,14 @@ def carry(
     local = {f"_r_{n}": F.sum(v).over(upto) for n, v in sums.items()}
     local |= {f"_p_{n}": F.last(v, ignorenulls=True).over(upto) for n, v in lasts.items()}
     local |= {f"_q_{n}": F.first(v, ignorenulls=True).over(onward) for n, v in nexts.items()}
+    local |= {f"_p_{n}": F.last(v, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, -1)) for n, v in priors.items()}
+    local |= {f"_q_{n}": F.first(v, ignorenulls=True).over(inner.rowsBetween(1, Window.unboundedFollowing)) for n, v in follows.items()}
     local |= {f"_x_{n}": F.lag(F.struct(v.alias("v"))).over(inner) for n, v in before.items()}
     local |= {f"_y_{n}": F.lead(F.struct(v.alias("v"))).over(inner) for n, v in after.items()}
     j = d.withColumns(local).join(state, [*keys, _C], "left")
     out = {n: F.coalesce(F.col(f"_r_{n}"), F.lit(0)) + F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in sums}
-    out |= {n: F.coalesce(f"_p_{n}", f"_l_{n}") for n in lasts}
-    out |= {n: F.coalesce(f"_q_{n}", f"_f_{n}") for n in nexts}
+    out |= {n: F.coalesce(f"_p_{n}", f"_l_{n}") for n in [*lasts, *priors]}
+    out |= {n: F.coalesce(f"_q_{n}", f"_f_{n}") for n in [*nexts, *follows]}
     out |= {n: F.coalesce(f"_x_{n}", f"_b_{n}").getField("v") for n in before}
     out |= {n: F.coalesce(f"_y_{n}", f"_a_{n}").getField("v") for n in after}
     return j.select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *[v.alias(n) for n, v in out.items()])
