@@ -41,7 +41,7 @@ def a39(spark, sf):
 
 
 ROWMAP = {"ring": "R_DIA_CAMA", "bolt": "R_HONORARIOS", "gear": "R_PABELLON", "rod": "R_MEDICAMENTOS", "plate": "R_EXAMENES"}
-MC = """mc AS (SELECT contract_id, CASE noun WHEN 'ring' THEN 'R_DIA_CAMA' WHEN 'bolt' THEN 'R_HONORARIOS' WHEN 'gear' THEN 'R_PABELLON' WHEN 'rod' THEN 'R_MEDICAMENTOS' WHEN 'plate' THEN 'R_EXAMENES' ELSE 'R_' || noun END AS row_id, CASE WHEN size % 4 = 0 THEN 'Sin Tope' ELSE CAST(size AS VARCHAR) END AS value, CASE size % 3 WHEN 0 THEN '%' WHEN 1 THEN 'UF' ELSE 'AC2' END AS unit FROM lns WHERE size % 6 <= contract_id % 6)"""
+MC = """mc AS (SELECT contract_id, CASE noun WHEN 'ring' THEN 'R_DIA_CAMA' WHEN 'bolt' THEN 'R_HONORARIOS' WHEN 'gear' THEN 'R_PABELLON' WHEN 'rod' THEN 'R_MEDICAMENTOS' WHEN 'plate' THEN 'R_EXAMENES' ELSE 'R_' || noun END AS row_id, CASE WHEN size % 4 = 0 THEN 'Sin Tope' ELSE CAST(size AS VARCHAR) END AS value, CASE size % 3 WHEN 0 THEN '%' WHEN 1 THEN 'UF' ELSE 'AC2' END AS unit FROM lns WHERE size <= contract_id * 2)"""
 MET = f"""{LNS}, {PC}, {MC}, m0 AS (SELECT contract_id, count(DISTINCT row_id) AS rows, CAST(count(DISTINCT row_id) FILTER (WHERE row_id IN ('R_DIA_CAMA', 'R_HONORARIOS', 'R_PABELLON', 'R_MEDICAMENTOS', 'R_MATERIALES', 'R_EXAMENES', 'R_CONSULTAS')) AS INT) AS critical_found, count(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'UF') AS uf_caps, min(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'UF') AS uf_min, max(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'UF') AS uf_max,
    count(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = '%') AS percents, max(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = '%') AS max_coverage, count(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'AC2') AS fee_multiples, count(*) FILTER (WHERE value = 'Sin Tope') AS uncapped FROM mc GROUP BY contract_id),
   mp AS (SELECT contract_id, count(*) FILTER (WHERE regexp_matches(lower(column_id), 'pref|red')) AS preferred_columns, count(*) FILTER (WHERE regexp_matches(lower(column_id), 'libre|le')) AS free_columns FROM pc GROUP BY contract_id), met AS (SELECT m0.*, preferred_columns, free_columns, 7 - critical_found AS critical_missing, CASE WHEN 7 - critical_found > 3 THEN 'WARN' ELSE 'SUCCESS' END AS status FROM m0 LEFT JOIN mp USING (contract_id))"""
@@ -49,7 +49,7 @@ MET = f"""{LNS}, {PC}, {MC}, m0 AS (SELECT contract_id, count(DISTINCT row_id) A
 
 def metrics(spark, sf):
     s = F.col("size")
-    cells = contract_lines(spark, sf).filter("size % 6 <= contract_id % 6").select("contract_id", K.lookup(F.col("noun"), ROWMAP, F.concat(F.lit("R_"), "noun")).alias("row_id"),
+    cells = contract_lines(spark, sf).filter("size <= contract_id * 2").select("contract_id", K.lookup(F.col("noun"), ROWMAP, F.concat(F.lit("R_"), "noun")).alias("row_id"),
                                                                                F.when(s % 4 == 0, "Sin Tope").otherwise(s.cast("string")).alias("value"), F.when(s % 3 == 0, "%").when(s % 3 == 1, "UF").otherwise("AC2").alias("unit"))
     return P.contract_metrics(cells, package_columns(spark, sf))
 
@@ -92,13 +92,13 @@ def o05(spark, sf):
     return P.extremes(C.simulate_coverage(star.described(spark, sf), assignments(spark, sf), SIM_MAP))
 
 
-@query("j38_golden_diff", f"WITH {LNS}, e AS (SELECT line_no AS id FROM lns WHERE size % 10 <> 0), a AS (SELECT line_no AS id FROM lns WHERE size % 7 <> 0) SELECT coalesce(e.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'MISSING' ELSE 'EXTRA' END AS diff FROM e FULL JOIN a ON e.id = a.id WHERE e.id IS NULL OR a.id IS NULL")
+@query("j38_golden_diff", f"WITH {LNS}, e AS (SELECT line_no AS id FROM lns WHERE p_type <> 'PROMO'), a AS (SELECT line_no AS id FROM lns WHERE noun <> 'ring') SELECT coalesce(e.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'MISSING' ELSE 'EXTRA' END AS diff FROM e FULL JOIN a ON e.id = a.id WHERE e.id IS NULL OR a.id IS NULL")
 def j38(spark, sf):
-    l = contract_lines(spark, sf).select(F.col("line_no").alias("id"), "size")
-    return P.golden_diff(l.filter("size % 10 <> 0"), l.filter("size % 7 <> 0"), "id")
+    l = contract_lines(spark, sf).select(F.col("line_no").alias("id"), "p_type", "noun")
+    return P.golden_diff(l.filter("p_type <> 'PROMO'"), l.filter("noun <> 'ring'"), "id")
 
 
-@query("j38_golden_verdict", f"WITH {LNS} SELECT count(*) FILTER (WHERE size % 7 = 0 AND size % 10 <> 0) AS missing, count(*) FILTER (WHERE size % 10 = 0 AND size % 7 <> 0) AS extra, 'REGRESSION' AS verdict FROM lns")
+@query("j38_golden_verdict", f"WITH {LNS} SELECT count(*) FILTER (WHERE noun = 'ring' AND p_type <> 'PROMO') AS missing, count(*) FILTER (WHERE p_type = 'PROMO' AND noun <> 'ring') AS extra, 'REGRESSION' AS verdict FROM lns")
 def j38b(spark, sf):
     return P.verdict(j38(spark, sf))
 
@@ -110,14 +110,14 @@ def j39(spark, sf):
     return P.missing_items(e, d)
 
 
-@query("u03_set_difference", f"WITH {CHARGES} SELECT 'ONLY_A' AS side, provider, page FROM (SELECT provider, page FROM charges WHERE part % 53 = 0 EXCEPT SELECT provider, page FROM charges WHERE part % 59 = 0) UNION ALL SELECT 'BOTH', provider, page FROM (SELECT provider, page FROM charges WHERE part % 53 = 0 INTERSECT SELECT provider, page FROM charges WHERE part % 59 = 0)")
+@query("u03_set_difference", f"WITH {CHARGES} SELECT 'ONLY_A' AS side, provider, page FROM (SELECT provider, page FROM charges WHERE folio = 'AF' EXCEPT SELECT provider, page FROM charges WHERE folio = 'NO') UNION ALL SELECT 'BOTH', provider, page FROM (SELECT provider, page FROM charges WHERE folio = 'AF' INTERSECT SELECT provider, page FROM charges WHERE folio = 'NO')")
 def u03(spark, sf):
     c = star.charges(spark, sf)
-    a, b = c.filter("part % 53 = 0").select("provider", "page"), c.filter("part % 59 = 0").select("provider", "page")
+    a, b = c.filter("folio = 'AF'").select("provider", "page"), c.filter("folio = 'NO'").select("provider", "page")
     return a.subtract(b).withColumn("side", F.lit("ONLY_A")).unionByName(a.intersect(b).withColumn("side", F.lit("BOTH")))
 
 
-@query("u04_multiset_compare", f"WITH {CHARGES} SELECT provider, page, 'LEFT' AS side FROM (SELECT provider, page FROM charges WHERE part % 3 = 0 EXCEPT ALL SELECT provider, page FROM charges WHERE part % 3 = 1) UNION ALL SELECT provider, page, 'RIGHT' FROM (SELECT provider, page FROM charges WHERE part % 3 = 1 EXCEPT ALL SELECT provider, page FROM charges WHERE part % 3 = 0)")
+@query("u04_multiset_compare", f"WITH {CHARGES} SELECT provider, page, 'LEFT' AS side FROM (SELECT provider, page FROM charges WHERE folio = 'AF' EXCEPT ALL SELECT provider, page FROM charges WHERE folio = 'NO') UNION ALL SELECT provider, page, 'RIGHT' FROM (SELECT provider, page FROM charges WHERE folio = 'NO' EXCEPT ALL SELECT provider, page FROM charges WHERE folio = 'AF')")
 def u04(spark, sf):
     c = star.charges(spark, sf)
-    return P.same_rows(c.filter("part % 3 = 0").select("provider", "page"), c.filter("part % 3 = 1").select("provider", "page"))
+    return P.same_rows(c.filter("folio = 'AF'").select("provider", "page"), c.filter("folio = 'NO'").select("provider", "page"))

@@ -142,10 +142,10 @@ def p31(spark, sf):
     return C.fee_cap_check(fees).select("line_id", "theory", "verdict", "applies", "met")
 
 
-@query("j17_resolve_code", f"WITH {PARTS}, s AS (SELECT code, arg_min(description, part) AS t FROM parts WHERE size % 2 = 0 GROUP BY code) SELECT p.part, p.code, t AS schedule_text FROM parts p LEFT JOIN s USING (code)")
+@query("j17_resolve_code", f"WITH {PARTS}, s AS (SELECT code, arg_min(description, part) AS t FROM parts WHERE p_type <> 'SMALL' GROUP BY code) SELECT p.part, p.code, t AS schedule_text FROM parts p LEFT JOIN s USING (code)")
 def j17(spark, sf):
     p = star.parts(spark, sf)
-    s = p.filter("size % 2 = 0").select("code", "description", F.col("part").alias("pos"))
+    s = p.filter("p_type <> 'SMALL'").select("code", "description", F.col("part").alias("pos"))
     dashed = F.concat(F.substring("code", 1, 2), F.lit("-"), F.substring("code", 3, 9))
     return C.resolve_code(p.select("part", dashed.alias("code")), s).select("part", "code", "schedule_text")
 

@@ -63,16 +63,13 @@ def j21(spark, sf):
     return featured(spark, sf).select("line_id", D.doctrine(F.col("features"))["rule"].alias("rule"), D.all_doctrine(F.col("features")).alias("every"))
 
 
-FEES = "fs AS (SELECT account, folio, provider, CASE WHEN provider % 6 = 0 THEN 'A' WHEN provider % 6 = 1 THEN 'OK' END AS category FROM lines)"
-
-
 def fees(spark, sf):
     l = star.settlement_lines(spark, sf)
     p = F.col("provider")
-    return l.filter(p % 6 < 2).select("account", "code", (F.col("copago") + p % 900).alias("copago"), F.concat(F.lit("HONORARIO: "), "description").alias("description"), F.when(p % 6 == 0, "A").otherwise("OK").alias("category"), F.col("line_id").alias("fee_id"))
+    return l.filter("folio like 'N%'").select("account", "code", (F.col("copago") + p % 900).alias("copago"), F.concat(F.lit("HONORARIO: "), "description").alias("description"), F.when(F.col("folio") == "NF", "A").otherwise("OK").alias("category"), F.col("line_id").alias("fee_id"))
 
 
-FEE = "fee AS (SELECT account, code, copago + provider % 900 AS fc, 'HONORARIO: ' || description AS d, CASE WHEN provider % 6 = 0 THEN 'A' ELSE 'OK' END AS category, line_id AS fee_id FROM lines WHERE provider % 6 < 2), fe AS (SELECT l.account, l.line_id, arg_max(fee.category, fee_id) AS financial_category FROM lines l JOIN fee ON fee.account = l.account AND fee.code = l.code AND abs(fc - l.copago) < 500 AND contains(d, substr(l.description, 1, 10)) GROUP BY ALL)"
+FEE = "fee AS (SELECT account, code, copago + provider % 900 AS fc, 'HONORARIO: ' || description AS d, CASE folio WHEN 'NF' THEN 'A' ELSE 'OK' END AS category, line_id AS fee_id FROM lines WHERE folio LIKE 'N%'), fe AS (SELECT l.account, l.line_id, arg_max(fee.category, fee_id) AS financial_category FROM lines l JOIN fee ON fee.account = l.account AND fee.code = l.code AND abs(fc - l.copago) < 500 AND contains(d, substr(l.description, 1, 10)) GROUP BY ALL)"
 
 
 @query("j23_fee_evidence", f"WITH {LINES}, {FEE} SELECT * FROM fe")
@@ -113,22 +110,22 @@ def a47b(spark, sf):
     return D.precedent_stats(precedents(spark, sf))
 
 
-@query("j24_not_flagged", f"WITH {LINES}, f AS (SELECT account, CASE WHEN provider % 3 = 0 THEN line_id END AS fl, CASE WHEN provider % 3 = 1 THEN description END AS label, CASE WHEN provider % 3 = 2 THEN code END AS code FROM lines WHERE provider % 2 = 0) SELECT l.line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.account = l.account AND (f.fl = l.line_id OR f.label = l.description OR f.code = l.code))")
+@query("j24_not_flagged", f"WITH {LINES}, f AS (SELECT account, CASE WHEN provider % 3 = 0 THEN line_id END AS fl, CASE WHEN provider % 3 = 1 THEN description END AS label, CASE WHEN provider % 3 = 2 THEN code END AS code FROM lines WHERE copago * 20 > valor) SELECT l.line_id FROM lines l WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.account = l.account AND (f.fl = l.line_id OR f.label = l.description OR f.code = l.code))")
 def j24(spark, sf):
     l = star.settlement_lines(spark, sf)
     p = F.col("provider") % 3
-    f = l.filter("provider % 2 = 0").select("account", F.when(p == 0, F.col("line_id")).alias("finding_line"), F.when(p == 1, F.col("description")).alias("label"), F.when(p == 2, F.col("code")).alias("code"))
+    f = l.filter("copago * 20 > valor").select("account", F.when(p == 0, F.col("line_id")).alias("finding_line"), F.when(p == 1, F.col("description")).alias("label"), F.when(p == 2, F.col("code")).alias("code"))
     return D.not_flagged(l, f).select("line_id")
 
 
-OTH = "ot AS (SELECT provider AS account, label, amount + provider % 3 * 60 AS amount FROM (SELECT provider, description AS label, copago AS amount FROM lines WHERE account % 5 = 0))"
+OTH = "ot AS (SELECT provider AS account, label, amount + provider % 3 * 60 AS amount FROM (SELECT provider, description AS label, copago AS amount FROM lines WHERE folio LIKE '%F'))"
 
 
 @query("j25_suppress_overlaps", f"WITH {LINES}, {OTH}, f AS (SELECT provider AS account, description AS label, copago AS amount, line_id FROM lines) SELECT line_id FROM f WHERE NOT EXISTS (SELECT 1 FROM ot WHERE ot.account = f.account AND ot.label = f.label AND abs(ot.amount - f.amount) < 100)")
 def j25(spark, sf):
     l = star.settlement_lines(spark, sf)
     f = l.select(F.col("provider").alias("account"), F.col("description").alias("label"), F.col("copago").alias("amount"), "line_id")
-    o = l.filter("account % 5 = 0").select(F.col("provider").alias("account"), F.col("description").alias("label"), (F.col("copago") + F.col("provider") % 3 * 60).alias("amount"))
+    o = l.filter("folio like '%F'").select(F.col("provider").alias("account"), F.col("description").alias("label"), (F.col("copago") + F.col("provider") % 3 * 60).alias("amount"))
     return D.suppress_overlaps(f, o).select("line_id")
 
 

@@ -59,9 +59,9 @@ def j32b(spark, sf):
     return E.duplicated_rights(star.described(spark, sf).withColumn("description", F.concat_ws(" ", "description", "section")), ["account"])
 
 
-@query("s11_unit_value_by_day", f"""WITH {LINES}, v AS (SELECT CAST(ts AS DATE) AS day, avg(value) + 39000 AS value FROM (SELECT o_orderdate AS ts, CAST(o_orderkey % 1000 AS DOUBLE) AS value FROM orders WHERE o_orderkey % 3 = 0) GROUP BY ALL)
+@query("s11_unit_value_by_day", f"""WITH {LINES}, v AS (SELECT CAST(ts AS DATE) AS day, avg(value) + 39000 AS value FROM (SELECT o_orderdate AS ts, CAST(o_orderkey % 1000 AS DOUBLE) AS value FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL)
   SELECT line_id, CAST(ts AS DATE) AS day, coalesce(value, 39750) AS unit_value FROM lines LEFT JOIN v ON day = CAST(ts AS DATE)""")
 def s11(spark, sf):
-    o = star.table(spark, sf, "orders").filter("o_orderkey % 3 = 0")
+    o = star.table(spark, sf, "orders").filter("o_orderstatus = 'F'")
     values = o.groupBy(F.to_date("o_orderdate").alias("day")).agg((F.avg((F.col("o_orderkey") % 1000).cast("double")) + 39000).alias("value"))
     return E.unit_value_by_day(star.settlement_lines(spark, sf), values).select("line_id", "day", "unit_value")

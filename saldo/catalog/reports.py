@@ -75,13 +75,13 @@ def a05b(spark, sf):
     return R.master_members(mastered(spark, sf))
 
 
-LINE_FINDS = "lf AS (SELECT account, description AS label, copago AS amount, CASE folio WHEN 'AF' THEN 'B' WHEN 'AO' THEN 'Z' WHEN 'RF' THEN 'A' ELSE 'K' END AS category, line_id FROM lines WHERE provider % 2 = 0)"
+LINE_FINDS = "lf AS (SELECT account, description AS label, copago AS amount, CASE folio WHEN 'AF' THEN 'B' WHEN 'AO' THEN 'Z' WHEN 'RF' THEN 'A' ELSE 'K' END AS category, line_id FROM lines WHERE copago * 20 > valor)"
 
 
 def line_findings(spark, sf):
     lines = star.settlement_lines(spark, sf)
     cat = K.lookup(F.col("folio"), {"AF": "B", "AO": "Z", "RF": "A"}, "K")
-    return lines.filter("provider % 2 = 0").select("account", F.col("description").alias("label"), F.col("copago").alias("amount"), cat.alias("category"), "line_id")
+    return lines.filter("copago * 20 > valor").select("account", F.col("description").alias("label"), F.col("copago").alias("amount"), cat.alias("category"), "line_id")
 
 
 @query("a06_control_table", f"""WITH {LINES}, {LINE_FINDS}, g AS (SELECT account, {GROUP_SQL} AS grp, copago FROM lines), t AS (SELECT account, grp, CAST(sum(copago) AS BIGINT) AS copago FROM g GROUP BY GROUPING SETS ((account, grp), (account))),

@@ -98,11 +98,11 @@ def a26b(spark, sf):
 SCOPED = f"""{DESCRIBED}, {LINES_ONLY}, {ACCOUNTS}, ni AS (SELECT account, count(*) AS n FROM described GROUP BY account), nl AS (SELECT account, count(*) AS m FROM lines GROUP BY account),
   pe AS (SELECT account, section, count(*) FILTER (WHERE total < 15000) AS cheap, count(*) FILTER (WHERE {rx('description', 'aposito|sutura|hoja|bisturi|guante|jeringa|aguj|cateter|sonda|compres|gasas')}) AS words, count(*) FILTER (WHERE {rx('description', 'calcetin|media|toalla|agua|botella|termometro|vaso|jabon|shampoo|kit|confort')}) AS comfort FROM described GROUP BY ALL),
   hp AS (SELECT account, 'H1_OPACIDAD' AS hypothesis, 'PAM_LINE' AS scope_type, line_id AS scope_key, 0.85::DOUBLE AS confidence FROM lines JOIN ni USING (account) JOIN nl USING (account) WHERE n >= 5 AND m <= 10 AND {rx('description', 'material|insumo|medicamento|varios|sin bonific')}
-   UNION ALL SELECT account, 'H2_UNBUNDLING', 'SECTION', section, 0.8 FROM pe WHERE {rx('section', 'pabellon|quirurg|intervencion|cirugia|honorario')} AND (cheap > 8 OR words > 3) UNION ALL SELECT account, 'H3_HOTELERIA', 'SECTION', section, 0.9 FROM pe WHERE comfort > 0 UNION ALL SELECT account, 'H5_TEST_CASE', 'GLOBAL', '', 0.99 FROM accounts WHERE priority = '5-LOW' AND account % 10 = 0)"""
+   UNION ALL SELECT account, 'H2_UNBUNDLING', 'SECTION', section, 0.8 FROM pe WHERE {rx('section', 'pabellon|quirurg|intervencion|cirugia|honorario')} AND (cheap > 8 OR words > 3) UNION ALL SELECT account, 'H3_HOTELERIA', 'SECTION', section, 0.9 FROM pe WHERE comfort > 0 UNION ALL SELECT account, 'H5_TEST_CASE', 'GLOBAL', '', 0.99 FROM accounts WHERE priority = '5-LOW')"""
 
 
 def scoped(spark, sf):
-    test = star.accounts(spark, sf).filter("priority = '5-LOW' and account % 10 = 0")
+    test = star.accounts(spark, sf).filter("priority = '5-LOW'")
     return S.scoped_hypotheses(star.settlement_lines(spark, sf), star.described(spark, sf), test, min_items=5)
 
 
@@ -175,10 +175,10 @@ def g02(spark, sf):
 
 
 @query("a32_exposed_amount", f"""WITH {ETI}, {ACCOUNTS}, g AS (SELECT account, count(*) FILTER (WHERE etype <> 'CORRECTO') AS fl, coalesce(sum(total) FILTER (WHERE etype <> 'CORRECTO'), 0) AS am, sum(total) AS it FROM eti GROUP BY account)
-  SELECT account, fl + CASE WHEN account % 7 = 0 THEN 1 ELSE 0 END AS flagged, CAST(greatest(0, stated_total - it) AS BIGINT) AS residual, CAST(am + greatest(0, stated_total - it) + CASE WHEN account % 7 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS exposed FROM g JOIN accounts USING (account)""")
+  SELECT account, fl + CASE WHEN priority = '1-URGENT' THEN 1 ELSE 0 END AS flagged, CAST(greatest(0, stated_total - it) AS BIGINT) AS residual, CAST(am + greatest(0, stated_total - it) + CASE WHEN priority = '1-URGENT' THEN 1000 ELSE 0 END AS BIGINT) AS exposed FROM g JOIN accounts USING (account)""")
 def a32(spark, sf):
     acc = star.accounts(spark, sf)
-    single = acc.filter("account % 7 = 0").select("account", F.lit(1).cast("long").alias("events"), F.lit(1000).cast("long").alias("addition"))
+    single = acc.filter("priority = '1-URGENT'").select("account", F.lit(1).cast("long").alias("events"), F.lit(1000).cast("long").alias("addition"))
     return S.exposed_amount(explained(spark, sf), acc.select("account", "stated_total"), single)
 
 
