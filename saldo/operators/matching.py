@@ -313,6 +313,8 @@ def _first_subset_dense(values: np.ndarray, target: int) -> list[int]:
     dp = np.full(target + 1, -1, dtype=np.int16)
     dp[0] = -2
     for i, v in enumerate(values.tolist()):
+        if v > target:
+            continue
         fresh = (dp[v:] == -1) & (dp[: target + 1 - v] != -1)
         dp[v:][fresh] = i
         if dp[target] != -1:
