@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v)).getItem(0)
+
+
 def first_match(rules: list[tuple[object, Column]], default: object | None = None) -> Column:
     """Value of the first rule whose predicate holds."""
     out = None

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from saldo.functions import lexicon as lx
-from saldo.functions.rules import Rule, all_matches, first_match, flags, lookup, score, search
+from saldo.functions.rules import Rule, all_matches, first_match, flags, let, lookup, score, search
 from saldo.functions.text import contains_any, normalize_strict, normalize_upper, normalize_spaced
 
 
@@ -28,33 +28,40 @@ def item_classes(description: Column, section: Column) -> dict[str, Column]:
 
 def is_drug(section: Column, description: Column) -> Column:
     """Domain filter of drug lines: exclusions, then section, dosage in the operating room, form, name, dosage."""
-    s, d = normalize_strict(section), normalize_strict(description)
-    dosed = s.contains("pabellon") & (d.contains("mg") | d.contains("ml") | d.contains("inyect"))
-    included = (contains_any(s, lx.DRUG_SECTION) | dosed | contains_any(d, lx.DRUG_FORM) | contains_any(d, lx.DRUG_NAME)
-                | d.rlike(lx.DOSAGE_PATTERN))
-    return ~contains_any(d, lx.DRUG_EXCLUDED) & included
+
+    def test(t: Column) -> Column:
+        s, d = t["s"], t["d"]
+        dosed = s.contains("pabellon") & (d.contains("mg") | d.contains("ml") | d.contains("inyect"))
+        included = (contains_any(s, lx.DRUG_SECTION) | dosed | contains_any(d, lx.DRUG_FORM) | contains_any(d, lx.DRUG_NAME)
+                    | d.rlike(lx.DOSAGE_PATTERN))
+        return ~contains_any(d, lx.DRUG_EXCLUDED) & included
+
+    return let(F.struct(normalize_strict(section).alias("s"), normalize_strict(description).alias("d")), test)
 
 
 def is_supply(section: Column, description: Column) -> Column:
     """Domain filter of supply lines: drugs and comfort items out, then section or item words."""
-    s, d = normalize_strict(section), normalize_strict(description)
-    out = contains_any(d, lx.SUPPLY_EXCLUDED) | contains_any(d, lx.SUPPLY_COMFORT)
-    sleeve = d.contains("manga") & d.contains("laparosc")
-    return ~out & (sleeve | contains_any(s, lx.SUPPLY_SECTION) | contains_any(d, lx.SUPPLY_NAME))
+
+    def test(t: Column) -> Column:
+        s, d = t["s"], t["d"]
+        out = contains_any(d, lx.SUPPLY_EXCLUDED) | contains_any(d, lx.SUPPLY_COMFORT)
+        sleeve = d.contains("manga") & d.contains("laparosc")
+        return ~out & (sleeve | contains_any(s, lx.SUPPLY_SECTION) | contains_any(d, lx.SUPPLY_NAME))
+
+    return let(F.struct(normalize_strict(section).alias("s"), normalize_strict(description).alias("d")), test)
 
 
 def line_domain(code: Column, description: Column) -> Column:
     """Which domain filter a settlement line uses: CATCH_ALL, DRUG, SUPPLY or none."""
-    d = normalize_strict(description)
-    return first_match([("CATCH_ALL", code.startswith("320")), ("DRUG", (code == "3101001") | d.contains("medicamento")),
-                        ("SUPPLY", (code == "3101002") | d.contains("material"))], None)
+    return let(normalize_strict(description), lambda d: first_match(
+        [("CATCH_ALL", code.startswith("320")), ("DRUG", (code == "3101001") | d.contains("medicamento")),
+         ("SUPPLY", (code == "3101002") | d.contains("material"))], None))
 
 
 def virtual_section(section: Column, description: Column) -> Column:
     """Section of an item, inferred from the description when blank."""
-    s, d = normalize_strict(section), normalize_strict(description)
-    named = (s != "") & (s != "sin seccion")
-    return first_match([(s, named)] + [(name, contains_any(d, words)) for name, words in lx.VIRTUAL_SECTION], "OTROS")
+    return let(F.struct(normalize_strict(section).alias("s"), normalize_strict(description).alias("d")), lambda t: first_match(
+        [(t["s"], (t["s"] != "") & (t["s"] != "sin seccion"))] + [(name, contains_any(t["d"], words)) for name, words in lx.VIRTUAL_SECTION], "OTROS"))
 
 
 def billing_model(qty: Column, unit_price: Column, total: Column, granted: Column | None = None) -> Column:
@@ -146,30 +153,30 @@ def hotel_bucket(description: Column, section: Column) -> Column:
 # -- settlement lines ---------------------------------------------------------
 
 def settlement_group(description: Column) -> Column:
-    d = normalize_upper(description)
-    return first_match([(g, contains_any(d, words)) for g, words in lx.SETTLEMENT_GROUPS], "OTROS")
+    return let(normalize_upper(description), lambda d: first_match([(g, contains_any(d, words)) for g, words in lx.SETTLEMENT_GROUPS], "OTROS"))
 
 
 def contract_domain(code: Column, description: Column) -> Column:
     """Exact code, then code ranges, then words."""
-    d = normalize_strict(description)
     exact = [(v, code == k) for k, v in lx.CODE_DOMAIN.items()]
-    ranges = [("CONSULTA", code.startswith("01")), ("EXAMENES", code.rlike("^0[234789]")),
+
+    def ranges(d: Column) -> list[tuple[str, Column]]:
+        return [("CONSULTA", code.startswith("01")), ("EXAMENES", code.rlike("^0[234789]")),
               ("KINESIOLOGIA", code.rlike("^0[56]")),
               ("PABELLON", code.rlike("^1[12]") & d.rlike("quirofano|pabellon|recuperac|anestesia")),
               ("HOSPITALIZACION", code.rlike("^1[12]")), ("HONORARIOS", code.rlike("^(1[3-9]|20)")),
               ("MEDICAMENTOS_HOSP", code.startswith("21")), ("MATERIALES_CLINICOS", code.startswith("31")),
               ("OTROS", code.startswith("32"))]
-    words = [(n, contains_any(d, w)) for n, w in lx.KEYWORD_DOMAIN]
-    return first_match(exact + ranges + words, "OTROS")
+
+    return let(normalize_strict(description), lambda d: first_match(exact + ranges(d) + [(n, contains_any(d, w)) for n, w in lx.KEYWORD_DOMAIN], "OTROS"))
 
 
 def gloss_type(code: Column, description: Column, valor: Column, copago: Column) -> Column:
     """TGE_A: everything rebounded under a generic text; TGE_B: denied by the fee schedule; NONE."""
-    d = normalize_strict(description)
     share = F.when(valor > 0, copago / valor).otherwise(F.lit(0.0))
-    return first_match([("TGE_A", (share > 0.95) & (d.contains("no cubierto") | d.contains("gastos") | code.startswith("320"))),
-                        ("TGE_B", d.contains("no contemplad") | d.contains("no arancel"))], "NONE")
+    return let(normalize_strict(description), lambda d: first_match(
+        [("TGE_A", (share > 0.95) & (d.contains("no cubierto") | d.contains("gastos") | code.startswith("320"))),
+         ("TGE_B", d.contains("no contemplad") | d.contains("no arancel"))], "NONE"))
 
 
 def line_warnings(valor: Column, bonif: Column, copago: Column) -> Column:
@@ -197,35 +204,41 @@ def repair_code(code: Column, description: Column) -> Column:
 
 def opacity_score(code: Column, description: Column, bonif: Column, copago: Column, trace_level: Column) -> Column:
     """struct(score, applies, parts)."""
-    d = normalize_strict(description)
-    suspect = code.isin(lx.GROUP_CODES) | d.contains("no cubierto")
-    parts = {
-        ("GROUP_WITHOUT_BREAKDOWN", 25): suspect & trace_level.isin("TRACE_NONE", "TRACE_WEAK"),
-        ("GENERIC_GLOSS", 20): d.contains("no cubierto") | d.contains("insumos") | d.contains("gasto"),
-        ("NO_BONIFICATION", 15): (bonif == 0) & (copago > 0),
-        ("NO_TRACE", 15): trace_level == "TRACE_NONE",
-    }
-    paid = (copago == 0) & (bonif > 0)
-    total = F.when(paid, 0).otherwise(score([(k[1], p) for k, p in parts.items()]))
-    names = F.array_compact(F.array(*[F.when(p & ~paid, F.lit(k[0])) for k, p in parts.items()]))
-    return F.struct(total.alias("score"), (total >= lx.OPACITY_THRESHOLD).alias("applies"), names.alias("parts"))
+
+    def scored(d: Column) -> Column:
+        suspect = code.isin(lx.GROUP_CODES) | d.contains("no cubierto")
+        parts = {
+            ("GROUP_WITHOUT_BREAKDOWN", 25): suspect & trace_level.isin("TRACE_NONE", "TRACE_WEAK"),
+            ("GENERIC_GLOSS", 20): d.contains("no cubierto") | d.contains("insumos") | d.contains("gasto"),
+            ("NO_BONIFICATION", 15): (bonif == 0) & (copago > 0),
+            ("NO_TRACE", 15): trace_level == "TRACE_NONE",
+        }
+        paid = (copago == 0) & (bonif > 0)
+        total = F.when(paid, 0).otherwise(score([(k[1], p) for k, p in parts.items()]))
+        names = F.array_compact(F.array(*[F.when(p & ~paid, F.lit(k[0])) for k, p in parts.items()]))
+        return F.struct(total.alias("score"), (total >= lx.OPACITY_THRESHOLD).alias("applies"), names.alias("parts"))
+
+    return let(normalize_strict(description), scored)
 
 
 def noise_kinds(text: Column) -> Column:
     """Kinds of non-item lines a printed row belongs to."""
-    t = normalize_upper(text)
-    letters = t.rlike("[A-Z]")
-    return flags({
-        "SUMMARY": t.rlike("SUBTOTAL|TOTAL") | ~letters,
-        "ADMINISTRATIVE": t.rlike(r"INFORME DE CUENTAS|PAGINA|HORA IMPRESION|PLAN:|FACTOR/CONV|FECHA EMISION|FOLIO P\.?A\.?M|COTIZANTE|"
-                                  r"BENEFICIARIO|PRESTADOR|SOCIEDAD|BONO DEBE SER COBRADO|NOMBRE (PLAN|PRODUCTO|PACIENTE)|FECHA (DE LIQUIDACION|INGRESO)|"
-                                  r"EMPRESA RUT|RUT |PREVISION|SUCURSAL|CUENTA |CODIGO DESCRIPCION FECHA|DETALLE|^CTA\d+_\d+_"),
-        "SETTLEMENT": t.rlike(r"PROGRAMA DE ATENCION MEDICA|DEPARTAMENTOS? DE BENEFICIOS|DOCUMENTOS VALORIZADOS|FOLIO P\.?A\.?M|"
-                              r"BONO DEBE SER COBRADO|COTIZANTE|BENEFICIARIO|PRESTADOR|SOCIEDAD|NOMBRE (PLAN|PRODUCTO)|LIBRE ELECCION|P\.A\.M"),
-        "RESIDUE": t.rlike("PRESTACION NO CONTEMPLADA EN EL ARANCEL|CARECE DE CODIGO EN EL ARANCEL|ARANCEL FONASA|NO TIENE COBERTURA|"
-                           "DOCUMENTOS VALORIZADOS|HORA IMPRESION|DOCUMENTO VALIDO POR"),
-        "CODE_ONLY": t.rlike(r"^\d{7,}(-[A-Z0-9])?$"),
-    })
+
+    def kinds(t: Column) -> Column:
+        letters = t.rlike("[A-Z]")
+        return flags({
+            "SUMMARY": t.rlike("SUBTOTAL|TOTAL") | ~letters,
+            "ADMINISTRATIVE": t.rlike(r"INFORME DE CUENTAS|PAGINA|HORA IMPRESION|PLAN:|FACTOR/CONV|FECHA EMISION|FOLIO P\.?A\.?M|COTIZANTE|"
+                                      r"BENEFICIARIO|PRESTADOR|SOCIEDAD|BONO DEBE SER COBRADO|NOMBRE (PLAN|PRODUCTO|PACIENTE)|FECHA (DE LIQUIDACION|INGRESO)|"
+                                      r"EMPRESA RUT|RUT |PREVISION|SUCURSAL|CUENTA |CODIGO DESCRIPCION FECHA|DETALLE|^CTA\d+_\d+_"),
+            "SETTLEMENT": t.rlike(r"PROGRAMA DE ATENCION MEDICA|DEPARTAMENTOS? DE BENEFICIOS|DOCUMENTOS VALORIZADOS|FOLIO P\.?A\.?M|"
+                                  r"BONO DEBE SER COBRADO|COTIZANTE|BENEFICIARIO|PRESTADOR|SOCIEDAD|NOMBRE (PLAN|PRODUCTO)|LIBRE ELECCION|P\.A\.M"),
+            "RESIDUE": t.rlike("PRESTACION NO CONTEMPLADA EN EL ARANCEL|CARECE DE CODIGO EN EL ARANCEL|ARANCEL FONASA|NO TIENE COBERTURA|"
+                               "DOCUMENTOS VALORIZADOS|HORA IMPRESION|DOCUMENTO VALIDO POR"),
+            "CODE_ONLY": t.rlike(r"^\d{7,}(-[A-Z0-9])?$"),
+        })
+
+    return let(normalize_upper(text), kinds)
 
 
 # -- findings -----------------------------------------------------------------
@@ -351,24 +364,32 @@ def protect_state(state: Column, frozen_a: Column) -> Column:
 
 def line_features(code: Column, description: Column, bonif: Column, copago: Column, full_cover: Column, explicit: Column) -> Column:
     """Feature set of a settlement line for precedents and doctrine."""
-    d = normalize_spaced(description)
-    kind = first_match([("MED", d.rlike("MEDIC|FARMAC|DROGA")), ("MAT", d.contains("MATER")), ("INS", d.contains("INSUM")),
-                        ("VAR", d.rlike("VARIOS|OTROS|MISCELAN"))], "OTRO")
-    generic = d.rlike("MATERIAL|MEDICAMENTO|INSUMO|VARIOS|PRESTACIONES SIN BONIF")
-    included = d.rlike("SIGNOS VITALES|CURACION|INSTALACION VIA|FLEBOCLISIS|ENFERMERIA|TOMA DE MUESTRA|PROPOFOL|FENTANILO|SEVOFLURANO|"
-                       "MIDAZOLAM|ANESTESIA")
-    hotel = d.rlike("ALIMENTA|NUTRICI|HOTEL|CAMA|PENSION|CONFORT|KIT DE ASEO|PANTUFLAS|ROPA|MANTENCION|ESTACIONAMIENTO|TELEVISION|WIFI")
-    exam = code.startswith("03") | d.rlike("EXAMEN|LABORATORIO|RADIOLOG|BIOPSIA|HEMOGRAMA|CULTIVO|PERFIL|ORINA|SANGRE")
-    relabeled = d.rlike("NO CUBIERTO|PRESTACION NO CONTEMPLADA|SIN BONIF|SIN COBERTURA|EXCLUIDO") & d.rlike(
-        "HONORARIO|PABELLON|ANESTESIA|MEDICAMENTO|INSUMO|MATERIAL CLINICO")
-    breach = (full_cover | (kind.isin("MED", "MAT", "INS") & explicit) | relabeled) & (copago > 0)
-    opaque_line = generic & (copago > 0)
-    return flags({
-        "BONIF_0": bonif == 0, "COPAGO_POS": copago > 0, "GENERIC_PAM_LINE": generic, "INHERENTLY_INCLUDED": included,
-        "ES_HOTELERIA": hotel, "ES_EXAMEN": exam, "STRATEGIC_RECLASSIFICATION": relabeled, "MED_OR_INS": kind.isin("MED", "INS"),
-        "COV_EXPLICIT": explicit, "COV_100": full_cover, "IC_BREACH": breach, "UB_DETECTED": included, "HT_DETECTED": hotel,
-        "OPACIDAD_LINEA": opaque_line, "OP_DETECTED": opaque_line & ~breach & ~included & ~hotel,
-    })
+
+    def facts(d: Column) -> Column:
+        kind = first_match([("MED", d.rlike("MEDIC|FARMAC|DROGA")), ("MAT", d.contains("MATER")), ("INS", d.contains("INSUM")),
+                            ("VAR", d.rlike("VARIOS|OTROS|MISCELAN"))], "OTRO")
+        relabeled = d.rlike("NO CUBIERTO|PRESTACION NO CONTEMPLADA|SIN BONIF|SIN COBERTURA|EXCLUIDO") & d.rlike(
+            "HONORARIO|PABELLON|ANESTESIA|MEDICAMENTO|INSUMO|MATERIAL CLINICO")
+        return F.struct(
+            kind.alias("kind"), relabeled.alias("relabeled"), d.rlike("MATERIAL|MEDICAMENTO|INSUMO|VARIOS|PRESTACIONES SIN BONIF").alias("generic"),
+            d.rlike("SIGNOS VITALES|CURACION|INSTALACION VIA|FLEBOCLISIS|ENFERMERIA|TOMA DE MUESTRA|PROPOFOL|FENTANILO|SEVOFLURANO|"
+                    "MIDAZOLAM|ANESTESIA").alias("included"),
+            d.rlike("ALIMENTA|NUTRICI|HOTEL|CAMA|PENSION|CONFORT|KIT DE ASEO|PANTUFLAS|ROPA|MANTENCION|ESTACIONAMIENTO|TELEVISION|WIFI").alias("hotel"),
+            d.rlike("EXAMEN|LABORATORIO|RADIOLOG|BIOPSIA|HEMOGRAMA|CULTIVO|PERFIL|ORINA|SANGRE").alias("exam"))
+
+    def names(t: Column) -> Column:
+        kind, generic, included, hotel = t["kind"], t["generic"], t["included"], t["hotel"]
+        breach = (full_cover | (kind.isin("MED", "MAT", "INS") & explicit) | t["relabeled"]) & (copago > 0)
+        opaque_line = generic & (copago > 0)
+        return flags({
+            "BONIF_0": bonif == 0, "COPAGO_POS": copago > 0, "GENERIC_PAM_LINE": generic, "INHERENTLY_INCLUDED": included,
+            "ES_HOTELERIA": hotel, "ES_EXAMEN": code.startswith("03") | t["exam"], "STRATEGIC_RECLASSIFICATION": t["relabeled"],
+            "MED_OR_INS": kind.isin("MED", "INS"), "COV_EXPLICIT": explicit, "COV_100": full_cover, "IC_BREACH": breach,
+            "UB_DETECTED": included, "HT_DETECTED": hotel, "OPACIDAD_LINEA": opaque_line,
+            "OP_DETECTED": opaque_line & ~breach & ~included & ~hotel,
+        })
+
+    return let(let(normalize_spaced(description), facts), names)
 
 
 # -- contracts ----------------------------------------------------------------
@@ -400,8 +421,7 @@ CANONICAL_CATEGORIES = [
 def canonical_category(text: Column) -> Column:
     from saldo.functions.text import fold
 
-    t = fold(F.lower(text))
-    return first_match([(n, contains_any(t, words)) for n, words in CANONICAL_CATEGORIES], "OTRO")
+    return let(fold(F.lower(text)), lambda t: first_match([(n, contains_any(t, words)) for n, words in CANONICAL_CATEGORIES], "OTRO"))
 
 
 def benefit_section(benefit_class: Column) -> Column:
@@ -508,45 +528,48 @@ def motor(f: dict[str, Column]) -> Column:
     single_clinical_act, all_amenity, any_strong, any_weak, any_belongs, any_surgical_drug, amenity_share, admin_share,
     has_surgery, has_stay, check_state, check_pct, check_copago, check_excess, check_tolerance, alt_found, alt_pct, alt_copago.
     """
-    d = normalize_strict(f["description"])
-    code, copago, bonif, valor = f["code"], f["copago"], f["bonif"], f["valor"]
-    not_covered = code.isin(lx.NOT_COVERED_CODES)
-    generic = code.isin(lx.GROUP_CODES) | contains_any(d, lx.GENERIC_GLOSS)
-    hard = f["trace_level"] == "TRACE_OK"
-    delta = F.abs(f["matched_sum"] - valor)
-    clinical = f["any_strong"] | (f["any_weak"] & f["any_belongs"]) | f["any_surgical_drug"]
-    some = f["n_items"] > 0
-    event = f["has_surgery"] | f["has_stay"]
-
-    invented = (not_covered | d.contains("no contemplada en el arancel") | d.contains("no cubierto por el plan")) & (
-        f["n_items"] == 1) & ~f["single_amenity"] & ((code != "3201001") | f["single_clinical_act"])
-    nursing = contains_any(d, lx.NURSING_ACT) & ~d.contains("pabellon") & ~d.contains("dia cama")
-    accessory = (bonif == 0) & (copago > 0) & ~code.isin("3101001", "3101002") & ~not_covered & ~generic
-    rebound = (bonif == 0) & (F.abs(copago - valor) < 2)
-    unbundled = rebound & code.isin(lx.UNBUNDLING_CODES) & some & (f["trace_level"] != "TRACE_NONE") & ~f["all_amenity"] & (
-        (f["any_strong"] & event) | (f["any_surgical_drug"] & f["has_surgery"]) | (f["any_weak"] & f["any_belongs"] & event))
-    shifted = rebound & (not_covered | d.rlike("no cubierto|insumos|gasto|otros|materiales|no gasto medico")) & some & ~clinical
-    gloss = first_match([("TGE_C", f["amenity_share"] >= 0.6), ("TGE_D", f["admin_share"] >= 0.6), ("TGE_E", f["amenity_share"] >= 0.3)], "TGE_A")
-    domain = contract_domain(code, f["description"])
-    pct, alt = F.coalesce(f["check_pct"], F.lit(0.0)), F.coalesce(f["alt_pct"], F.lit(0.0))
-    moved = event & domain.isin(lx.AMBULATORY_DOMAINS) & (copago > F.coalesce(f["check_tolerance"], F.lit(1000))) & f["alt_found"] & (
-        (alt > pct) | ((f["check_state"] == "INFRA_BONIFICACION") & (alt >= pct)))
-    gain = F.coalesce(f["check_copago"], copago) - F.coalesce(f["alt_copago"], F.lit(0))
-
-    def r(level: str, m: str, impact: Column, g: Column | None = None) -> Column:
-        return F.struct(F.lit(level).alias("level"), F.lit(m).alias("motor"),
-                        (g if g is not None else F.lit("NONE")).alias("gloss_type"), impact.cast("double").alias("impact"))
 
-    return first_match([
-        (r("CORRECTO", "NA", F.lit(0)), copago == 0),
-        (r("NO_ARANCELABLE", "M1", copago), invented),
-        (r("NO_ARANCELABLE", "M1", copago), nursing),
-        (r("NO_ARANCELABLE", "M1", copago), accessory),
-        (r("FRAGMENTACION_ESTRUCTURAL", "M2", copago), unbundled),
-        (r("FRAGMENTACION_ESTRUCTURAL", "M3", copago, gloss), shifted),
-        (r("DISCUSION_TECNICA", "M4", F.least(copago, F.when(gain == 0, copago).otherwise(gain))), moved),
-        (r("CORRECTO", "NA", F.lit(0)), hard & (delta < 2) & (f["check_state"] == "VERIFICABLE_OK")),
-        (r("FRAGMENTACION_ESTRUCTURAL", "M3", copago), some & (generic | (delta < 100))),
-        (r("INFRA_BONIFICACION", "M5", f["check_excess"]), (f["check_state"] == "INFRA_BONIFICACION") & (f["check_excess"] > 0)),
-        (r("DISCUSION_TECNICA", "M5", copago), f["check_state"] == "TOPE_EXCEDIDO"),
-    ], r("FRAGMENTACION_ESTRUCTURAL", "M4", copago))
+    def decide(d: Column) -> Column:
+        code, copago, bonif, valor = f["code"], f["copago"], f["bonif"], f["valor"]
+        not_covered = code.isin(lx.NOT_COVERED_CODES)
+        generic = code.isin(lx.GROUP_CODES) | contains_any(d, lx.GENERIC_GLOSS)
+        hard = f["trace_level"] == "TRACE_OK"
+        delta = F.abs(f["matched_sum"] - valor)
+        clinical = f["any_strong"] | (f["any_weak"] & f["any_belongs"]) | f["any_surgical_drug"]
+        some = f["n_items"] > 0
+        event = f["has_surgery"] | f["has_stay"]
+
+        invented = (not_covered | d.contains("no contemplada en el arancel") | d.contains("no cubierto por el plan")) & (
+            f["n_items"] == 1) & ~f["single_amenity"] & ((code != "3201001") | f["single_clinical_act"])
+        nursing = contains_any(d, lx.NURSING_ACT) & ~d.contains("pabellon") & ~d.contains("dia cama")
+        accessory = (bonif == 0) & (copago > 0) & ~code.isin("3101001", "3101002") & ~not_covered & ~generic
+        rebound = (bonif == 0) & (F.abs(copago - valor) < 2)
+        unbundled = rebound & code.isin(lx.UNBUNDLING_CODES) & some & (f["trace_level"] != "TRACE_NONE") & ~f["all_amenity"] & (
+            (f["any_strong"] & event) | (f["any_surgical_drug"] & f["has_surgery"]) | (f["any_weak"] & f["any_belongs"] & event))
+        shifted = rebound & (not_covered | d.rlike("no cubierto|insumos|gasto|otros|materiales|no gasto medico")) & some & ~clinical
+        gloss = first_match([("TGE_C", f["amenity_share"] >= 0.6), ("TGE_D", f["admin_share"] >= 0.6), ("TGE_E", f["amenity_share"] >= 0.3)], "TGE_A")
+        domain = contract_domain(code, f["description"])
+        pct, alt = F.coalesce(f["check_pct"], F.lit(0.0)), F.coalesce(f["alt_pct"], F.lit(0.0))
+        moved = event & domain.isin(lx.AMBULATORY_DOMAINS) & (copago > F.coalesce(f["check_tolerance"], F.lit(1000))) & f["alt_found"] & (
+            (alt > pct) | ((f["check_state"] == "INFRA_BONIFICACION") & (alt >= pct)))
+        gain = F.coalesce(f["check_copago"], copago) - F.coalesce(f["alt_copago"], F.lit(0))
+
+        def r(level: str, m: str, impact: Column, g: Column | None = None) -> Column:
+            return F.struct(F.lit(level).alias("level"), F.lit(m).alias("motor"),
+                            (g if g is not None else F.lit("NONE")).alias("gloss_type"), impact.cast("double").alias("impact"))
+
+        return first_match([
+            (r("CORRECTO", "NA", F.lit(0)), copago == 0),
+            (r("NO_ARANCELABLE", "M1", copago), invented),
+            (r("NO_ARANCELABLE", "M1", copago), nursing),
+            (r("NO_ARANCELABLE", "M1", copago), accessory),
+            (r("FRAGMENTACION_ESTRUCTURAL", "M2", copago), unbundled),
+            (r("FRAGMENTACION_ESTRUCTURAL", "M3", copago, gloss), shifted),
+            (r("DISCUSION_TECNICA", "M4", F.least(copago, F.when(gain == 0, copago).otherwise(gain))), moved),
+            (r("CORRECTO", "NA", F.lit(0)), hard & (delta < 2) & (f["check_state"] == "VERIFICABLE_OK")),
+            (r("FRAGMENTACION_ESTRUCTURAL", "M3", copago), some & (generic | (delta < 100))),
+            (r("INFRA_BONIFICACION", "M5", f["check_excess"]), (f["check_state"] == "INFRA_BONIFICACION") & (f["check_excess"] > 0)),
+            (r("DISCUSION_TECNICA", "M5", copago), f["check_state"] == "TOPE_EXCEDIDO"),
+        ], r("FRAGMENTACION_ESTRUCTURAL", "M4", copago))
+
+    return let(normalize_strict(f["description"]), decide)

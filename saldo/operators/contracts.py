@@ -28,9 +28,9 @@ def line_traits(lines: DataFrame) -> DataFrame:
 
 
 def affinity() -> Column:
-    """Score of a rule (text, modality, clinic) for a line (traits, who, hospital)."""
+    """Score of a rule (normalized _text and _clinic, modality) for a line (traits, who, hospital)."""
     c = F.col
-    t, clinic = normalize_strict(c("text")), normalize_strict(c("clinic"))
+    t, clinic = c("_text"), c("_clinic")
     here = (clinic != "") & (c("who") != "") & (c("who").contains(clinic) | clinic.contains(c("who")))
     hospital = t.rlike("hospitalizacion|clinica|pabellon|dia cama|quirurgico")
     pref, free = c("t_pref"), c("t_free") & ~c("t_pref")
@@ -53,7 +53,8 @@ def choose_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     kind = ["contract_id", "domain", "hospital", "who", *[f"t_{n}" for n in TRAITS]]
     kinds = t.select(*kind).distinct()
     fields = ["rule_id", "pct", "cap_kind", "cap_value"]
-    s = kinds.join(rules.withColumnRenamed("pos", "rule_pos"), ["contract_id", "domain"]).withColumn("_score", affinity())
+    plain = rules.withColumnRenamed("pos", "rule_pos").withColumns({"_text": normalize_strict(F.col("text")), "_clinic": normalize_strict(F.col("clinic"))})
+    s = kinds.join(plain, ["contract_id", "domain"]).withColumn("_score", affinity())
     g = s.groupBy(*kind).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.struct("_score", (-F.col("rule_pos")).alias("_first"), *fields)).alias("_best"),

@@ -20,10 +20,11 @@ def repeated_phrases(documents: DataFrame, words: int = PHRASE_WORDS, threshold:
     """
     ws = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0)
     d = documents.filter(F.length("text") >= 100).select("doc_id", ws.alias("ws")).filter(F.size("ws") >= 2 * words)
-    starts = F.sequence(F.lit(0), F.size("ws") - words)
-    phrase = lambda i: F.lower(F.array_join(F.slice("ws", i + 1, words), " "))
-    hashes = F.transform(starts, lambda i: F.struct(i.alias("i"), F.xxhash64(phrase(i)).alias("h1"), F.hash(phrase(i)).alias("h2"), F.length(phrase(i)).alias("n")))
-    p = d.select("doc_id", F.explode(hashes).alias("p")).filter("p.n >= 20").select("doc_id", "p.i", "p.h1", "p.h2")
+    starts = F.sequence(F.lit(1), F.size("ws") - words + 1)
+    low = F.transform("ws", lambda w: F.lower(w))
+    phrases = F.transform(starts, lambda i: F.array_join(F.slice("ws", i, words), " "))
+    p = d.select("doc_id", low.alias("ws")).select("doc_id", F.posexplode(phrases).alias("i", "p")).filter(F.length("p") >= 20).select(
+        "doc_id", "i", F.xxhash64("p").alias("h1"), F.hash("p").alias("h2"))
     counts = p.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("reached"))
     top = counts.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "reached")).alias("b")).select("doc_id", (-F.col("b.n")).alias("count"), F.col("b.reached").alias("at"))
     found = top.filter(F.col("count") >= threshold).join(d, "doc_id").select("doc_id", F.array_join(F.slice("ws", F.col("at") + 1, words), " ").alias("phrase"))

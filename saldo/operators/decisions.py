@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldo.functions.ids import fingerprint
-from saldo.functions.rules import first_match
+from saldo.functions.rules import first_match, let
 from saldo.functions.text import normalize_spaced
 from saldo.operators import sequence
 
@@ -25,10 +25,13 @@ def contract_fingerprint(coverages: DataFrame) -> DataFrame:
 
 def line_fingerprint(code: Column, description: Column, bonif: Column, copago: Column) -> Column:
     """Hash of what makes two settlement lines the same kind of fact."""
-    d = normalize_spaced(description)
-    kind = first_match([("MED", d.rlike("MEDIC|FARMAC|DROGA")), ("MAT", d.contains("MATER")), ("INS", d.contains("INSUM")), ("VAR", d.rlike("VARIOS|OTROS|MISCELAN"))], "OTRO")
-    generic = d.rlike("MATERIAL|MEDICAMENTO|INSUMO|VARIOS|PRESTACIONES SIN BONIF")
-    return fingerprint(code, kind, (bonif == 0).cast("int"), (copago > 0).cast("int"), generic.cast("int"))
+
+    def parts(d: Column) -> Column:
+        kind = first_match([("MED", d.rlike("MEDIC|FARMAC|DROGA")), ("MAT", d.contains("MATER")), ("INS", d.contains("INSUM")), ("VAR", d.rlike("VARIOS|OTROS|MISCELAN"))], "OTRO")
+        generic = d.rlike("MATERIAL|MEDICAMENTO|INSUMO|VARIOS|PRESTACIONES SIN BONIF")
+        return fingerprint(code, kind, (bonif == 0).cast("int"), (copago > 0).cast("int"), generic.cast("int"))
+
+    return let(normalize_spaced(description), parts)
 
 
 def guards_pass(features: Column, requires: Column, forbids: Column) -> Column:
@@ -77,13 +80,13 @@ def heuristic(features: Column) -> Column:
 
 def decide(lines: DataFrame) -> DataFrame:
     """Decision by tiers: financial evidence, precedent, doctrine, heuristic. Needs financial_category, precedent columns, features."""
-    doc, heu = doctrine(F.col("features")), heuristic(F.col("features"))
     c = F.col
     tier = lambda cat, conf, source: F.struct(cat.alias("category"), conf.cast("double").alias("confidence"), F.lit(source).alias("source"))
-    d = first_match([
+    rules = F.struct(doctrine(c("features")).alias("doc"), heuristic(c("features")).alias("heu"))
+    d = let(rules, lambda r: first_match([
         (tier(c("financial_category"), F.lit(0.99), "FINANCIERO"), c("financial_category").isNotNull()),
         (tier(c("precedent_category"), c("precedent_confidence"), "PRECEDENTE"), c("precedent").isNotNull()),
-        (tier(doc["category"], doc["confidence"], "DOCTRINA"), doc.isNotNull())], tier(heu["category"], heu["confidence"], "HEURISTICA"))
+        (tier(r["doc"]["category"], r["doc"]["confidence"], "DOCTRINA"), r["doc"].isNotNull())], tier(r["heu"]["category"], r["heu"]["confidence"], "HEURISTICA")))
     return lines.withColumn("_d", d).select(*[x for x in lines.columns], "_d.*")
 
 

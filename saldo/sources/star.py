@@ -27,8 +27,18 @@ DOMAINS = ["MEDICAMENTOS_HOSP", "MATERIALES_CLINICOS", "OTROS", "HONORARIOS", "E
 CAP_KINDS = ["UF", "SIN_TOPE_EXPRESO", "CLP", "VAM", "VARIABLE"]
 
 
+LARGE = {"lineitem", "documents", "conversations", "pages", "events", "orders"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than there are cores; a scan with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LARGE else df
 
 
 def money(c: str | Column) -> Column:
