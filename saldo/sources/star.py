@@ -27,7 +27,7 @@ DOMAINS = ["MEDICAMENTOS_HOSP", "MATERIALES_CLINICOS", "OTROS", "HONORARIOS", "E
 CAP_KINDS = ["UF", "SIN_TOPE_EXPRESO", "CLP", "VAM", "VARIABLE"]
 
 
-LARGE = {"lineitem", "documents", "conversations", "pages", "events", "orders"}
+LARGE = {"documents", "conversations", "pages"}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bill items with descriptions. Spark picks the join from the sizes it knows."""
-    return charges(spark, sf_dir).join(parts(spark, sf_dir), "part")
+    return spread(charges(spark, sf_dir)).join(parts(spark, sf_dir), "part")
 
 
 def numbered(df: DataFrame) -> DataFrame:
