@@ -1 +1,8 @@
 """saldo: reconciliation of itemized bills, insurer settlements and coverage contracts on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -27,12 +27,22 @@ def local_session(cpus: int | str = 8, app: str = "saldo") -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the reliable folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where neither the configuration nor the context has one,
-    as in tests on a single machine.
+    Without that setting only a local master may use a folder of our own, as in tests; elsewhere each executor
+    would write to its own disk, so the call fails.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="saldo-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if configured:
+        return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="saldo-checkpoint-")
