@@ -79,3 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = sign
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def shipped(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows are counted to fit ``BROADCAST_BYTES``; else Spark shuffles it. Pass written rows."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

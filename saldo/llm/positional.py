@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from saldo.llm.common import BROADCAST_BYTES, fold, words
 from saldo.session import checkpoint
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words before A-Z are lower-cased.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def postings(docs: DataFrame, around: int | None = None) -> DataFrame:

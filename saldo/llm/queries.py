@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import apportion, positional, simhash, substrings
+from saldo.llm import apportion, identifiers, positional, simhash, substrings, warc
 from saldo.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,29 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archived(read(spark, sf_dir, "pages"))
+    mine = F.col("record_type") == "response"  # a revisit carries the size and digest of what it refers to
+    size, digest = F.when(mine, F.col("bytes_so_far")).otherwise(F.col("full_bytes")), F.when(mine, F.col("digest_so_far")).otherwise(F.col("full_digest"))
+    return back.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+SQL["op8_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN m ON m.h = p.h
+"""
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.find(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
