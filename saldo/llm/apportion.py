@@ -69,9 +69,26 @@ def number(*of: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("?")) for x in of])), 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of the document that the mix takes, repeats counted) of every row."""
-    sizes = checkpoint(docs.select("doc_id", F.col("source").cast("string"), F.size(words(F.col("text"))).cast("long").alias("size")))
+    return chosen(docs, **how).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents that the mix takes, with all their columns and taken; an older column taken is replaced."""
+    names = [c for c in docs.columns if c.lower() != "taken"]
+    of = chosen(docs, **how)
+    same = Window.partitionBy("doc_id", "source", "of")  # copies of one row share a number's words in any order
+    of = of.withColumn("_c", F.row_number().over(same.orderBy("taken"))).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("of").alias("_h"), "_c", "taken")
+    mine = docs.select(*names, F.col("source").cast("string").alias("_source"), F.xxhash64("text").alias("_of"))
+    mine = mine.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_source", "_of").orderBy(F.lit(0))))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_of") == F.col("_h")) & (F.col("_copy") == F.col("_c"))
+    return mine.join(of, on).select(*names, "taken")
+
+
+def chosen(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
+    """doc_id, source, of (a hash of the text), size, source_size, target and taken of every row."""
+    sizes = checkpoint(docs.select("doc_id", F.col("source").cast("string"), F.xxhash64("text").alias("of"), F.size(words(F.col("text"))).cast("long").alias("size")))
     of = targets(sizes, share, cap, weights)
     of = of.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"))
     total = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
@@ -111,4 +128,4 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     d = d.join(part, F.col("source").eqNullSafe(F.col("_t")) & (F.col("shard") == F.col("_k")) & (F.col("row") == F.col("_r")), "left")
     d = d.join(s, on, "left")
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + F.coalesce("extra", F.lit(0))).otherwise(0)
-    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return d.select("doc_id", "source", "of", "size", "source_size", "target", taken.cast("long").alias("taken"))

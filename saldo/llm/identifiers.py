@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import bounded, shipped
+from saldo.llm.common import BROADCAST_BYTES, bounded, shipped
 from saldo.session import checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
@@ -97,7 +97,7 @@ def instances(text: str, spans: list[tuple[int, int, int]]):
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """row, doc_id, counts by kind, base (spans as text) and the instances of every text."""
+    """row, doc_id, of (a hash of the text), counts by kind, base (spans as text) and the instances of every text."""
 
     def run(batches):
         item = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("token", pa.string()), ("l", pa.string()), ("r", pa.string()), ("known", pa.bool_())])
@@ -109,12 +109,12 @@ def scanned(docs: DataFrame) -> DataFrame:
                 counts.append([sum(x[0] == k for x in spans) for k in range(4)])
                 base.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans))
                 found.append([dict(zip(("s", "e", "token", "l", "r", "known"), x)) for x in instances(text, spans)])
-            cols = [b.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(base, pa.string()), pa.array(found, pa.list_(item))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "found"])
+            cols = [b.column(0), b.column(2), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(base, pa.string()), pa.array(found, pa.list_(item))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "of", *(f"n_{k}" for k in KINDS), "base", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, found array<struct<s:long,e:long,token:string,l:string,r:string,known:boolean>>"
-    rows = bounded(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, ddl)
+    ddl = f"doc_id {kind}, of long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, found array<struct<s:long,e:long,token:string,l:string,r:string,known:boolean>>"
+    rows = bounded(docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text"))).mapInArrow(run, ddl)
     return checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -146,7 +146,23 @@ def find(docs: DataFrame, support: int = SUPPORT, level: float = LEVEL, rounds:
     out = rows.join(at, F.col("row") == F.col("_r"), "left")
     ids = F.concat_ws(",", F.transform("ids", lambda x: F.concat(F.lit("id:"), x["s"], F.lit(":"), x["e"])))
     both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(ids != "", ids))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base", both.alias("spans"), "row")
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base", both.alias("spans"), "of")
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with a placeholder for each span; a column n_chars follows the text. All other columns stay."""
+    spans = checkpoint(find(docs).where("spans <> ''").select(F.col("doc_id").alias("_d"), F.col("of").alias("_of"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_of"]))
+    size = spans.agg(F.sum(F.octet_length("_spans") + 40)).first()[0] or 0
+    out = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_of")), "left")
+
+    def run(text: pa.Array, marks: pa.Array) -> pa.Array:
+        return pa.array([t if m is None else redacted(t, m) for t, m in zip(text.to_pylist(), marks.to_pylist())], pa.string())
+
+    run.__annotations__ = {"text": pa.Array, "marks": pa.Array, "return": pa.Array}
+    out = bounded(out).withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string"), "_spans"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*docs.columns)
 
 
 def redacted(text: str, spans: str) -> str:

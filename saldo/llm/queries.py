@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import apportion, identifiers, positional, simhash, substrings, warc
+from saldo.llm import apportion, identifiers, language, positional, quality, quotes, simhash, substrings, urls, warc
 from saldo.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id
 """
 
 
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup(read(spark, sf_dir, "documents"))
@@ -67,11 +72,26 @@ FROM w LEFT JOIN j ON j.doc_id = w.doc_id
 """
 
 
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(read(spark, sf_dir, "conversations"))
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archived(read(spark, sf_dir, "pages"))

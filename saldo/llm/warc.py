@@ -75,7 +75,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, archive_bytes: int
             for k in range(b.num_rows):
                 if out is None:
                     temp, records, size = f"{root}/.{part}-{no}-{uuid.uuid4().hex}", 0, 0
-                    out = fs.open_output_stream(temp)
+                    out = fs.open_output_stream(temp, compression=None)
                 payload = html[k].as_buffer()
                 pieces = range(0, payload.size, PIECE)
                 sha, view = hashlib.sha1(), memoryview(payload)
@@ -150,7 +150,7 @@ def read(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
         for b in batches:
             for at in b.column(0).to_pylist():
                 fs, path = FileSystem.from_uri(at)
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     rows, held = [], 0
                     for no, h, k, data, size, digest, last in records(inflated(stream), chunk):
                         rows.append((at, no, number(h["WARC-Record-ID"]), h["WARC-Type"], number(h.get("WARC-Refers-To")), int(h["X-Payload-Length"]), base64.b32decode(h["WARC-Payload-Digest"][5:]).hex(), k, data, size, digest, last))
