@@ -39,7 +39,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = positional.phrase_matches(docs, read(spark, sf_dir, "benchmark"))
+    found = positional.phrase_matches(positional.Index(docs, read(spark, sf_dir, "benchmark"), 10))
     return without(docs, checkpoint(found.select("doc_id").distinct()))
 
 

@@ -2,7 +2,7 @@
 
 Postings are (term, doc_id, pos) of every training token. A search counts how often the test terms occur in the whole
 corpus, takes the two rarest terms of each test window, stores their postings, shifts them by the term's offset in the window
-to the window's start, and intersects the two lists on (document, window, start). A rarest term's posting carries the words around
+to the window's start, and intersects the two lists on (document, window, start). A rarest term's posting keeps the words around
 it, so what the two lists share is settled against all other terms of the window without another look at the texts.
 Lists of frequent terms are never moved.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import BROADCAST_BYTES, fold, words
+from saldo.llm.common import BROADCAST_BYTES, fold, shipped, words
 from saldo.session import checkpoint
 
 #: Words before A-Z are lower-cased.
@@ -27,9 +27,12 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def postings(docs: DataFrame, around: int | None = None) -> DataFrame:
-    """(term, doc_id, pos), pos from 1; with ``around`` also the raw words ``around`` before and behind, and how many of them are before."""
+    """(term, doc_id, pos), pos from 1; the empty term stands behind a text's last word.
+
+    With ``around`` also the raw words ``around`` before and behind, and how many of them are before.
+    """
     cols = ["doc_id", F.posexplode("_w").alias("_p", "_t")] + (["_w"] if around is not None else [])
-    at = docs.select("doc_id", words(F.col("text"), TERM).alias("_w")).select(*cols)
+    at = docs.select("doc_id", F.concat(words(F.col("text"), TERM), F.array(F.lit(""))).alias("_w")).select(*cols)
     out = [fold(F.col("_t")).alias("term"), "doc_id", (F.col("_p") + 1).alias("pos")]
     if around is not None:
         first = F.greatest(F.lit(1), F.col("_p") + 1 - around)
@@ -44,7 +47,7 @@ def test_windows(items: DataFrame, width: int) -> DataFrame:
     last = F.greatest(F.size("w") - width, F.lit(0))
     of = of.select("item_id", "w", F.explode(F.sequence(F.lit(1), last + 1)).alias("i"))
     of = of.select("item_id", F.slice("w", F.col("i"), F.lit(width)).alias("terms")).distinct()
-    return of.select("item_id", "terms", F.size("terms").alias("size"), F.xxhash64("terms").alias("window"))
+    return of.select("item_id", "terms", F.size("terms").alias("size"))
 
 
 def sliced(df: DataFrame, key: str, row_bytes: Column) -> list[DataFrame]:
@@ -63,74 +66,78 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return out
 
 
-def lists(docs: DataFrame, windows: DataFrame, counts: DataFrame, depth: int, around: int) -> DataFrame:
-    """Postings of the ``depth`` rarest terms of each window, shifted to the window's start, with the rank of the term."""
-    at = windows.select("window", "terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    at = at.groupBy("window").agg(
-        F.first("terms").alias("terms"),
-        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("by"),
-        F.min(F.coalesce("n", F.lit(0))).alias("least"),
-    )  # a window is ``width`` terms
-    at = at.where("least > 0").select("window", "terms", F.posexplode(F.slice("by", 1, depth)).alias("rank", "x"))
-    # A term of several windows is looked up once.
-    at = at.groupBy(F.col("x.term").alias("term")).agg(
-        F.collect_list(F.struct("window", F.col("x.offset").alias("offset"), "rank", F.when(F.col("rank") == 0, F.col("terms")).alias("terms"))).alias("uses")
-    )
-    size = F.octet_length("term") + F.octet_length(F.to_json("uses")) + 40
-    out = None
-    for part in sliced(checkpoint(at), "term", size):
-        p = postings(docs, around).join(F.broadcast(part), "term")
-        p = p.select("doc_id", "pos", "near", "lead", F.explode("uses").alias("u"))
-        start = F.col("pos") - F.col("u.offset")
-        first = F.col("lead") - F.col("u.offset") + 1  # where the window begins in near
-        n = F.size("u.terms")
-        whole = (first >= 1) & (first + n - 1 <= F.size("near"))
-        p = p.where((F.col("u.rank") > 0) | whole).select(
-            "doc_id", F.col("u.window").alias("window"), start.alias("start"), F.col("u.rank").alias("rank"), F.col("u.terms").alias("terms"),
-            F.when(F.col("u.rank") == 0, F.slice("near", F.greatest(first, F.lit(1)), F.greatest(n, F.lit(0)))).alias("found"),
-        ).where("start >= 1")
-        out = p if out is None else out.unionByName(p)
-    return out
+class Index:
+    """Windows of a test set and the stored postings of their rarest terms.
 
+    ``windows``: window (a small number), terms, size; ``items``: item_id, terms. ``uses``: term, and where it is one of the ``depth`` rarest: window, offset, rank.
+    ``stored``: term, doc_id, pos, and for a window's rarest terms the words around; the empty term's posting tells a text's length.
+    """
 
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, depth: int = 2) -> DataFrame:
+    def __init__(self, docs: DataFrame, items: DataFrame, width: int, depth: int = 2):
+        self.depth = depth
+        self.items = checkpoint(test_windows(items, width))
+        self.windows = checkpoint(self.items.select("terms", "size").distinct().withColumn("window", F.monotonically_increasing_id()))
+        counts = checkpoint(term_counts(docs, self.windows.select(F.explode("terms").alias("term")).distinct()))
+        at = self.windows.select("window", "size", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
+        by = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))  # ``width`` terms at most
+        at = at.groupBy("window").agg(by.alias("by")).where(F.col("by")[0]["n"] > 0)
+        at = at.select("window", F.posexplode(F.slice("by", 1, depth)).alias("rank", "x")).select("window", "rank", "x.term", "x.offset")
+        self.uses = checkpoint(at)
+        terms = self.uses.groupBy("term").agg((F.min("rank") == 0).alias("rarest"))
+        ends = docs.sparkSession.createDataFrame([("", False)], terms.schema)
+        out = None
+        for part in sliced(checkpoint(terms.unionByName(ends)), "term", F.octet_length("term") + 40):
+            p = postings(docs, width - 1).join(F.broadcast(part), "term")
+            p = p.select("term", "doc_id", "pos", F.when(F.col("rarest"), F.col("near")).alias("near"), F.when(F.col("rarest"), F.col("lead")).alias("lead"))
+            out = p if out is None else out.unionByName(p)
+        self.stored = checkpoint(out)
+
+    def lengths(self) -> DataFrame:
+        """doc_id, n_words of every row."""
+        return self.stored.where("term = ''").select("doc_id", (F.col("pos") - 1).cast("long").alias("n_words"))
+
+    def shifted(self) -> DataFrame:
+        """doc_id, window, start, rank: postings moved to where their window would begin."""
+        p = self.stored.select("term", "doc_id", "pos").join(shipped(self.uses, 80), "term")
+        return p.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("start"), "rank").where("start >= 1")
+
+
+def phrase_matches(index: Index) -> DataFrame:
     """doc_id, item_id, start, size: every exact occurrence of a window of an item; start counts words from 1."""
-    windows = checkpoint(test_windows(items, width))
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    counts = checkpoint(term_counts(docs, terms))
-    every = windows.select("window", "terms").dropDuplicates(["window"])
-    stored = checkpoint(lists(docs, every, counts, depth, width - 1))
-    met = stored.groupBy("doc_id", "window", "start").agg(
-        F.count_distinct("rank").alias("lists"), F.max("terms").alias("terms"), F.max("found").alias("found")
-    )
-    met = met.where((F.col("lists") == F.least(F.lit(depth), F.size("terms"))) & (F.transform("found", fold) == F.col("terms")))
-    met = met.select("doc_id", "start", F.col("window").alias("w"), F.col("terms").alias("t"))
-    return met.join(windows, (F.col("w") == F.col("window")) & (F.col("t") == F.col("terms"))).select("doc_id", "item_id", "start", "size")
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 3) -> DataFrame:
+    # Intersect the lists of a window's rarest terms, shortest row first: three numbers and a bit.
+    met = index.shifted().groupBy("doc_id", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("lists"))
+    met = met.join(shipped(index.windows, 200), "window").where(F.col("lists") == F.expr(f"shiftleft(1, least({index.depth}, size)) - 1"))
+    rarest = index.uses.where("rank = 0").select("window", "term", "offset")
+    met = checkpoint(met.join(shipped(rarest, 60), "window").select(F.col("doc_id").alias("_d"), (F.col("start") + F.col("offset")).alias("_p"), F.col("term").alias("_t"), "terms", "offset", "size", "start"))
+    # The other terms, from the words that the rarest term's posting keeps.
+    near = index.stored.where("near IS NOT NULL")
+    found = near.join(shipped(met, 250), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("pos") == F.col("_p")) & (F.col("term") == F.col("_t")))
+    first = F.col("lead") - F.col("offset") + 1  # where the window begins in near
+    found = found.where((first >= 1) & (F.transform(F.slice("near", F.greatest(first, F.lit(1)), F.col("size")), fold) == F.col("terms")))
+    found = found.select("doc_id", "start", "size", F.col("terms").alias("_w"))
+    return found.join(index.items.select("item_id", "terms"), F.col("_w") == F.col("terms")).select("doc_id", "item_id", "start", "size")
+
+
+def proximity_matches(index: Index, slop: int = 3) -> DataFrame:
     """doc_id, item_id, start: windows whose two rarest terms stand at most ``slop`` words from where the window has them.
 
     Shifted postings of both terms meet in buckets of ``slop`` + 1 words and their neighbours, then are compared exactly.
     """
-    windows = checkpoint(test_windows(items, width))
-    counts = checkpoint(term_counts(docs, windows.select(F.explode("terms").alias("term")).distinct()))
-    every = windows.select("window", "terms").dropDuplicates(["window"])
-    stored = checkpoint(lists(docs, every, counts, 2, width - 1))
     bucket = F.floor(F.col("start") / (slop + 1))
-    a = stored.where("rank = 0").select("doc_id", "window", "start", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    b = stored.where("rank = 1").select("doc_id", "window", F.col("start").alias("other"), bucket.alias("bucket"))
+    p = index.shifted()
+    a = p.where("rank = 0").select("doc_id", "window", "start", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    b = p.where("rank = 1").select("doc_id", "window", F.col("start").alias("other"), bucket.alias("bucket"))
     near = a.join(b, ["doc_id", "window", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
-    return near.join(windows.select("window", "item_id"), "window").select("doc_id", "item_id", "start").distinct()
+    return near.join(index.windows, "window").join(index.items.select("item_id", "terms"), "terms").select("doc_id", "item_id", "start").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence), item_ids (sorted as strings) and contaminated of every row."""
-    found = checkpoint(phrase_matches(docs, items, width))
+    index = Index(docs, items, width)
+    found = checkpoint(phrase_matches(index))
     hit = found.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit")).select(F.col("doc_id").alias("_d"), "n_hit")
     by = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")).select(F.col("doc_id").alias("_e"), "item_ids")
-    all_ = docs.select("doc_id", F.size(words(F.col("text"), TERM)).cast("long").alias("n_words"))
-    out = all_.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left").join(by, F.col("doc_id").eqNullSafe(F.col("_e")), "left")
+    out = index.lengths().join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left").join(by, F.col("doc_id").eqNullSafe(F.col("_e")), "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n > 0).alias("contaminated"))
