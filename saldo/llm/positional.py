@@ -97,25 +97,23 @@ class Index:
         return self.stored.where("term = ''").select("doc_id", (F.col("pos") - 1).cast("long").alias("n_words"))
 
     def shifted(self) -> DataFrame:
-        """doc_id, window, start, rank: postings moved to where their window would begin."""
-        p = self.stored.select("term", "doc_id", "pos").join(shipped(self.uses, 80), "term")
-        return p.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("start"), "rank").where("start >= 1")
+        """doc_id, window, start, rank and whole: postings moved to where their window would begin.
+
+        ``whole``: the rarest term's words around are those of the window; null for the other terms.
+        """
+        uses = self.uses.join(self.windows, "window").select("term", "window", "offset", "rank", F.when(F.col("rank") == 0, F.col("terms")).alias("terms"))
+        p = self.stored.join(shipped(checkpoint(uses), 250), "term")
+        first = F.col("lead") - F.col("offset") + 1  # where the window begins in near
+        same = (first >= 1) & (F.transform(F.slice("near", F.greatest(first, F.lit(1)), F.size("terms")), fold) == F.col("terms"))
+        return p.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("start"), "rank", F.when(F.col("rank") == 0, same).alias("whole")).where("start >= 1")
 
 
 def phrase_matches(index: Index) -> DataFrame:
     """doc_id, item_id, start, size: every exact occurrence of a window of an item; start counts words from 1."""
-    # Intersect the lists of a window's rarest terms, shortest row first: three numbers and a bit.
-    met = index.shifted().groupBy("doc_id", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("lists"))
-    met = met.join(shipped(index.windows, 200), "window").where(F.col("lists") == F.expr(f"shiftleft(1, least({index.depth}, size)) - 1"))
-    rarest = index.uses.where("rank = 0").select("window", "term", "offset")
-    met = checkpoint(met.join(shipped(rarest, 60), "window").select(F.col("doc_id").alias("_d"), (F.col("start") + F.col("offset")).alias("_p"), F.col("term").alias("_t"), "terms", "offset", "size", "start"))
-    # The other terms, from the words that the rarest term's posting keeps.
-    near = index.stored.where("near IS NOT NULL")
-    found = near.join(shipped(met, 250), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("pos") == F.col("_p")) & (F.col("term") == F.col("_t")))
-    first = F.col("lead") - F.col("offset") + 1  # where the window begins in near
-    found = found.where((first >= 1) & (F.transform(F.slice("near", F.greatest(first, F.lit(1)), F.col("size")), fold) == F.col("terms")))
-    found = found.select("doc_id", "start", "size", F.col("terms").alias("_w"))
-    return found.join(index.items.select("item_id", "terms"), F.col("_w") == F.col("terms")).select("doc_id", "item_id", "start", "size")
+    # Rarest lists first: what the words around rule out is not moved. Then intersect: three numbers and a bit for each list.
+    lists = index.shifted().where("coalesce(whole, true)").groupBy("doc_id", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("lists"))
+    met = lists.where("(lists & 1) = 1").join(shipped(index.windows, 200), "window").where(F.col("lists") == F.expr(f"shiftleft(1, least({index.depth}, size)) - 1"))
+    return met.join(index.items.select("item_id", "terms"), "terms").select("doc_id", "item_id", "start", "size")
 
 
 def proximity_matches(index: Index, slop: int = 3) -> DataFrame:
