@@ -1,0 +1,272 @@
+"""Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from saldo.llm import apportion, identifiers, language, positional, quality, quotes, simhash, substrings, urls, warc
+
+R = random.Random(5)
+VOCAB = ["alpha", "Beta", "gamma,", "delta", "épsilon", "zeta.", "eta", "theta"]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) + str(r.randrange(40)) for _ in range(n))
+
+
+SHARED = prose(60, 99)
+ROWS = [
+    (1, prose(80, 1)), (2, prose(30, 2) + "\n" + SHARED + " " + prose(5, 3)), (3, SHARED), (4, None), (5, ""), (6, " \n\t "), (7, prose(80, 1)),
+    (8, "one two"), (9, prose(40, 9) + " " + SHARED + " " + SHARED), (10, prose(20000, 10)), (11, prose(79, 1)), (12, "tick " * 500), (13, "one two"),
+]
+
+
+def test_substrings(documents):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(documents(ROWS)).collect()}
+    seen, gone, tokens = set(), defaultdict(set), {i: (t or "").encode().split() for i, t in ROWS}
+    for i in sorted(tokens):
+        for k in range(len(tokens[i]) - 19):
+            w = tuple(tokens[i][k : k + 20])
+            if w in seen:
+                gone[i].update(range(k, k + 20))
+            seen.add(w)
+    for i, w in tokens.items():
+        assert got[i] == (len(w), len(gone[i]), b" ".join(x for k, x in enumerate(w) if k not in gone[i]).decode()), i
+
+
+def test_substrings_repeated_row_goes_and_empty_table(documents):
+    text = prose(50, 4)
+    got = substrings.dedup(documents([(1, text), (1, text), (None, text)])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 50), (1, 0), (1, 50)]
+    assert substrings.dedup(documents([])).count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(documents):
+    rows = ROWS + [(None, SHARED), (20, prose(300, 7)), (21, prose(300, 7) + " more"), (22, prose(300, 7).upper())]
+    got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(documents(rows), tile=3).collect()}
+    fp = [(i, brute_fingerprint(t)) for i, t in rows]
+    of = list(range(len(fp)))
+    for _ in fp:
+        for a in range(len(fp)):
+            for b in range(len(fp)):
+                if (fp[a][1] ^ fp[b][1]).bit_count() <= 4:
+                    of[a] = of[b] = min(of[a], of[b])
+    least = {c: min(fp[k][0] for k in range(len(fp)) if of[k] == c and fp[k][0] is not None) for c in of}
+    assert got == {(i, f"{f:016x}", least[of[k]]) for k, (i, f) in enumerate(fp)}
+    assert simhash.near_duplicates(documents([])).count() == 0
+
+
+def test_positional_index(documents, spark):
+    item = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda"
+    items = spark.createDataFrame([(1, item), (2, "One two"), (3, None), (4, "..."), (5, item), (None, "one two")], "item_id long, text string")
+    docs = documents([(1, "x ALPHA beta gamma-delta epsilon zeta eta theta iota kappa end"), (2, "one. two one two"), (3, None), (4, ""), (5, "alpha beta gamma delta epsilon zeta eta theta iota"), (6, prose(3000, 3)), (6, "two one")])
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["item_ids"]), r["contaminated"]) for r in positional.contaminated(docs, items).collect()}
+    assert got == {(1, 12, 10, "1,5", True), (2, 4, 4, "2", True), (3, 0, 0, "", False), (4, 0, 0, "", False), (5, 9, 0, "", False), (6, len(re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", prose(3000, 3).lower())), 0, "", False), (6, 2, 0, "", False)}
+    assert positional.contaminated(documents([]), items).count() == 0
+    assert not positional.contaminated(docs, items.limit(0)).where("contaminated").count()
+
+
+def test_proximity(documents, spark):
+    items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
+    index = positional.Index(documents([(1, "red old fox"), (2, "red a b c d fox"), (3, "fox red")]), items, 2)
+    assert {r["doc_id"] for r in positional.proximity_matches(index, 2).collect()} == {1, 3}
+    assert {r["doc_id"] for r in positional.phrase_matches(index).collect()} == set()
+
+
+def test_mix(documents):
+    rows = [(k, prose(1 + k % 90, k), "en", "big" if k % 3 == 0 else f"s{k % 7}") for k in range(300)] + [(900, "tiny words", "en", "t"), (901, None, "en", None), (902, "of none", "en", None), (903, "tiny words", "en", "t")]
+    got = apportion.mix(documents(rows), block=16, shard_words=500).collect()
+    size, taken, target = Counter(), Counter(), {}
+    source = {r[0]: r[3] for r in rows}
+    for r in got:
+        s = source[r["doc_id"]]
+        size[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    names = sorted(x for x in size if x is not None) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    open_, left, want = set(names), 1.5 * sum(size.values()), {}
+    while True:
+        line = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if line * weight[s] > 2 * size[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 2 * size[s]
+            left -= want[s]
+            open_.discard(s)
+    want |= {s: line * weight[s] for s in open_}
+    for s in names:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - want[s]) <= max(16, 0.03 * want[s]), s
+    again = apportion.mix(documents(rows), block=16, shard_words=500).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+    assert apportion.mix(documents([])).count() == 0
+
+
+def test_sainte_lague(spark):
+    votes = [("a", 53000), ("b", 24000), ("c", 23000), ("d", 500), ("e", 500)]
+    for seats in (1, 7, 20, 101):
+        got = {r["k"]: r["quota"] for r in apportion.apportioned(spark.createDataFrame([(k, v, seats) for k, v in votes], "k string, votes long, seats long"), [], ["k"]).collect()}
+        won = Counter()
+        for _ in range(seats):
+            won[max(votes, key=lambda x: (x[1] / (2 * won[x[0]] + 1), -ord(x[0])))[0]] += 1
+        assert got == {k: won[k] for k, _ in votes}
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "ü" * 3_000_000 + "</p>\r\n\r\n"
+    rows = [(1, "a" * 2000), (2, "a" * 2000), (3, None), (4, "short"), (5, "short"), (6, big), (7, big), (None, "a" * 2000), (8, "x\r\n\r\nWARC/1.0")]
+    pages = spark.createDataFrame([(*r, "y") for r in rows], "page_id long, html string, chunk string")
+    back = warc.read(warc.write(pages, f"file://{tmp_path}/w"), chunk=1 << 18).collect()
+    last = {r["page_id"]: r for r in back if r["last"]}
+    assert len([r for r in back if r["page_id"] == 7]) > 10
+    for i, html in rows:
+        data, r = (html or "").encode(), last[i]
+        assert (r["full_bytes"], r["full_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
+        to = {1: 2, None: 2, 6: 7}.get(i)
+        assert (r["record_type"], r["refers_to"]) == ("revisit" if to else "response", to)
+        if not to:
+            assert b"".join(x["chunk"] for x in sorted((x for x in back if x["page_id"] == i), key=lambda x: x["chunk_no"])) == data
+            assert r["digest_so_far"] == hashlib.sha1(data).hexdigest()
+    assert warc.archived(pages.limit(0)).count() == 0
+
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = k == 0 or (k == 1 and all(int(x) <= 255 for x in m.group().split("."))) or (k == 2 and 13 <= len(d) <= 19 and identifiers.luhn(d)) or (k == 3 and 9 <= len(d) <= 15)
+            if ok:
+                out.append((k, *m.span()))
+    return out
+
+
+def test_base_spans_follow_the_patterns():
+    r = random.Random(3)
+    for _ in range(20000):
+        text = "".join(r.choice("aZ09.@-+_% ()12345é") for _ in range(r.randrange(40)))
+        assert identifiers.base_spans(text) == plain_spans(text), text
+    assert identifiers.base_spans("1" * 200_000 + "@" * 1000) == []
+
+
+def test_identifiers(documents):
+    rows = [(k, f"please call me at user{k}@mail{k}.org today") for k in range(20)] + [(50, "please call me at KX-7731-B today"), (51, "version 4.0 today"), (52, None), (53, ""), (50, "no number")]
+    got = {(r["doc_id"], r["spans"]) for r in identifiers.find(documents(rows)).collect()}
+    assert (50, "id:18:27") in got and (51, "") in got and (52, "") in got and (53, "") in got and (50, "") in got
+    clean = {(r["doc_id"], r["text"]) for r in identifiers.redact(documents(rows)).collect()}
+    assert (0, "please call me at [EMAIL] today") in clean and (50, "please call me at [ID] today") in clean and (51, "version 4.0 today") in clean and (52, None) in clean
+    assert identifiers.find(documents([])).count() == 0
+
+
+def test_language(documents):
+    words = {"en": ["the", "and", "which", "through"], "de": ["der", "und", "schön", "nicht"], "xx": ["qzk", "zqx", "kkq"]}
+    rows = [(k, " ".join(random.Random(k).choices(words[x], k=12 + k % 30)), x) for k in range(300) for x in [list(words)[k % 3]]]
+    rows += [(1000, None, "en"), (1001, "12 34 --", "en"), (1002, "", None), (1003, "日本語 " * 400, None), (1004, "the and which " * 5000, "en")]
+    got = {r["doc_id"]: r for r in language.identify(documents(rows)).collect()}
+    assert all(got[k]["lang_pred"] == x for k, _, x in rows[:300]) and got[1004]["lang_pred"] == "en"
+    assert not any(got[k]["rejected"] for k in range(300)) and got[1003]["rejected"]
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1000, 1001, 1002))
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert language.identify(documents([])).count() == 0
+    assert {r["lang_pred"] for r in language.identify(documents([(1, "text", None)])).collect()} == {"und"}
+
+
+def test_quality(documents, spark):
+    rows = [(k, prose(60 + k % 9, k) if k < 900 else prose(60, k) + " ###" * 40) for k in range(1000)] + [(2000, None), (2001, "a\na\n\nb\na b a b a b"), (2002, "x y z " * 40)]
+    labels = spark.createDataFrame([(k, int(k < 900), 0) for k in range(1000)] + [(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judged(documents(rows), labels).collect()}
+    for i, t in rows:
+        w, lines = (t or "").split(), [x for x in (t or "").split("\n") if x.strip()]
+        tri = Counter(zip(w, w[1:], w[2:]))
+        hit = {p for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for p in range(k, k + 3)}
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)), i
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+    good, bad = [got[k]["kept"] for k in range(900)], [got[k]["kept"] for k in range(900, 1000)]
+    assert good.count(False) <= 18 and not any(bad)
+    assert quality.judged(documents([]), labels).count() == 0
+    assert quality.judged(documents(rows[:3]), labels.limit(0)).where("kept").count() == 3
+
+
+def test_allowed_is_the_exact_binomial_bound(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    for n in (1, 50, 400, 3000):
+        tail, k = 0.0, -1
+        while k + 1 <= n and tail + comb(n, k + 1) * 0.01 ** (k + 1) * 0.99 ** (n - k - 1) <= 0.001:
+            k += 1
+            tail += comb(n, k) * 0.01**k * 0.99 ** (n - k)
+        got = spark.createDataFrame([(n,)], "n long").select(quality.allowed(F.col("n"), 0.01, F.lit(0.001)).alias("k")).first()["k"]
+        assert got == k, n
+
+
+def test_urls(spark):
+    rows = [(1, "HTTP://WWW.Example.COM/en/a?b"), (2, "http://example.com/en/"), (3, "http://m.example.com/en/x"), (4, "http://a.net/es/1#q"), (5, "http://a.net/esp/"), (6, None), (7, "no scheme"), (8, "http://example.com"), (9, "x://notcom/"), (10, "http://com/")]
+    rows += [(100 + k, f"http://h{k}.com/good/{k}") for k in range(60)] + [(200 + k, f"http://h{k}.net/fr/casino-{k}") for k in range(60)] + [(300, "http://q.org/good/1"), (301, "http://q.org/casino-5"), (1, "http://com/")]
+    pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, text string")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged(pages).collect()]
+    assert len(got) == len(rows)
+    for x in [(1, "www.example.com", "/en/a", "www.example.com/en/", "allow"), (2, "example.com", "/en/", "example.com/en/", "block"), (3, "m.example.com", "/en/x", "example.com/en/", "block"), (4, "a.net", "/es/1", "net/es/", "block"), (10, "com", "/", "com/", "allow")]:
+        assert x in got
+    by = {x[0]: x for x in got if x[0] != 1}
+    assert by[5][3] is None and by[6][1:4] == ("", "", None) and by[7][1:4] == ("", "", None) and by[8][2:4] == ("", None) and by[9][3] is None
+    assert by[300][4] == "allow" and by[301][4] == "block"
+    assert urls.judged(pages.limit(0)).count() == 0
+
+
+def test_quotes(spark):
+    rows = [
+        ("c", 0, "user", "Hello   there\nsecond line"), ("c", 1, "assistant", "> hello there\n> second line\nMy answer"), ("c", 2, "user", ">> Hello there second line\n> my ANSWER\nThanks"),
+        ("c", 3, "user", "> never said\nok"), ("d", 0, "user", "> hello there\nx"), ("c", 4, "user", None), ("c", 5, "user", ""), (None, 6, "user", "> my answer"), ("c", None, "user", "q"), ("c", 3, "user", "> never said\nok"),
+    ]
+    got = [(r["conv_id"], r["turn"], r["text"], r["n_quoted"], r["n_linked"], r["reply_to"], r["thread"], r["depth"]) for r in quotes.linked(spark.createDataFrame([(*r, "k") for r in rows], "conv_id string, turn long, role string, text string, key string")).collect()]
+    assert len(got) == len(rows)
+    for x in [("c", 0, "Hello   there\nsecond line", 0, 0, None, 0, 0), ("c", 1, "My answer", 1, 1, 0, 0, 1), ("c", 2, "Thanks", 2, 2, 1, 0, 2), ("c", 3, "ok", 1, 0, None, 3, 0), ("d", 0, "x", 1, 0, None, 0, 0), ("c", 4, None, 0, 0, None, 4, 0)]:
+        assert x in got, x
+
+
+def test_pipeline_stages(documents, spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, prose(120, k)) for k in range(60)] + [(100, prose(120, 1)), (101, None), (102, prose(50, 3) + " mail bob@site.org now"), (103, prose(120, 5) + " alpha beta gamma delta epsilon zeta eta theta iota kappa")]
+    documents(rows).drop("taken").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "mix" or docs.columns == columns
+        ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "language":
+            assert ids == {i for i, t in rows if t}
+        if name == "near_duplicates":
+            assert 1 in ids and 100 not in ids
+        if name == "decontamination":
+            assert 103 not in ids and 2 in ids
+        if name == "personal_data":
+            assert "[EMAIL] now" in docs.where("doc_id = 102").first()["text"]
+    assert docs.where("taken <= 0").count() == 0 and docs.count() > 30
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
