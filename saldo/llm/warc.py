@@ -104,11 +104,11 @@ def inflated(stream):
     while raw := stream.read(PIECE):
         while raw:
             yield z.decompress(raw, PIECE)
-            while z.unconsumed_tail:
-                yield z.decompress(z.unconsumed_tail, PIECE)
-            raw = z.unused_data
+            raw = z.unused_data if z.eof else z.unconsumed_tail
             if z.eof:
                 z = zlib.decompressobj(31)
+    while not z.eof and (rest := z.decompress(b"", PIECE)):
+        yield rest
 
 
 def records(pieces, chunk: int):
