@@ -3,7 +3,7 @@
 A text is the TF-IDF vector of its hashed byte 2- and 3-grams, normalised. Document frequencies are counted over all training rows. Each language
 has several centroids, found by spherical k-means on a sample of about ``SAMPLE`` of its training rows, drawn by a hash of the id. A text gets the
 language of the centroid with the largest cosine. It is rejected if it has no letter, or if the cosine lies under ``SLACK`` times the smallest
-that the language's sample rows of about the same length have: too far from everything that was learned.
+that the language's sample rows of about the same length (else the next shorter one) have: too far from everything that was learned.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing could be learned. Null languages are not
 learned. A null doc_id is not held out. Ties go to the language first in order. Other columns are ignored.
@@ -69,6 +69,10 @@ class Model:
     idf: np.ndarray
     least: dict[tuple[str, int], float]
 
+    def bound(self, lang: str, size: int) -> float:
+        """The least cosine of a length; of a length not learned, that of the next shorter one, as cosines grow with length."""
+        return next((self.least[lang, k] for k in range(size, -1, -1) if (lang, k) in self.least), 0.0)
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and whether it is rejected, of each text."""
         n = len(texts)
@@ -85,7 +89,7 @@ class Model:
                 if ok:
                     name = self.languages[best[k]]
                     lang[lo + k], score[lo + k] = name, min(1.0, max(0.0, float(sims[k, best[k]])))
-                    rejected[lo + k] = score[lo + k] < self.least.get((name, int(size[k])), 0.0)
+                    rejected[lo + k] = score[lo + k] < self.bound(name, int(size[k]))
         return lang, score, rejected
 
 
