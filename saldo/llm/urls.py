@@ -118,7 +118,7 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
         return p.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull() | yes, F.lit("allow")).otherwise("block").alias("verdict"), F.when(F.col("rule").isNull(), F.lit(0.0)).alias("score"))
     test = examples.where("held")
     least = border(scored(test, model, order).join(test.select("text", "yes", "no"), "text"))
-    scores = scored(p.where("rule IS NULL").select("text").distinct(), model, order).withColumnRenamed("text", "_x")
+    scores = shipped(checkpoint(scored(p.where("rule IS NULL").select("text").distinct(), model, order).withColumnRenamed("text", "_x")), 150)
     out = p.join(scores, (F.col("text") == F.col("_x")) & F.col("rule").isNull(), "left")
     good = F.when(F.col("rule").isNotNull(), yes).otherwise(F.coalesce(F.col("score"), F.lit(0.0)) >= least)
     return out.select("page_id", "host", "path", "rule", F.when(good, F.lit("allow")).otherwise("block").alias("verdict"), "score")
