@@ -223,7 +223,8 @@ P16_SQL = f"""CASE WHEN regexp_matches({T_}, 'UNBUNDLING|EVENTO|FRAGMENTA|DUPLIC
   WHEN regexp_matches({T_}, 'SIGNOS VITALES|CURACION|INSTALACION VIA|FLEBOCLISIS|ENFERMERIA|TOMA DE MUESTRA') OR contains({G_}, 'ENFERMERIA') THEN 'A'
   WHEN regexp_matches({T_}, 'PROPOFOL|FENTANILO|SEVOFLURANO|MIDAZOLAM|ANESTESIA|ROCURONIO|VECURONIO') AND regexp_matches({T_}, 'PABELLON|QUIROFANO') THEN 'A'
   WHEN regexp_matches({G_}, 'VARIOS|AJUSTE|DIFERENCIA|ESTADO DE CUENTA OPACO') OR regexp_matches({T_}, 'VARIOS|AJUSTE|BORROSO|SIN DESGLOSE') THEN 'A'
-  WHEN regexp_matches({T_}, 'UPCODING|INFLA|PRECIO EXCESIVO|DOSIS COMPLETA') THEN 'A' ELSE 'B' END"""
+  WHEN regexp_matches({T_}, 'UPCODING|INFLA|PRECIO EXCESIVO|DOSIS COMPLETA') THEN 'A'
+  WHEN regexp_matches({T_}, 'EVENTO UNICO|URGENCIA.*INTEGRADO|URGENCIA.*HOSPITALIZACION') THEN 'A' ELSE 'B' END"""
 
 
 @query("p16_finding_category", f"WITH {FIND} SELECT account, {P16_SQL} AS cat, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM finds GROUP BY ALL")

@@ -255,6 +255,7 @@ def finding_category(label: Column, rationale: Column) -> Column:
         ("A", t.rlike("PROPOFOL|FENTANILO|SEVOFLURANO|MIDAZOLAM|ANESTESIA|ROCURONIO|VECURONIO") & t.rlike("PABELLON|QUIROFANO|FARMACIA PABELLON")),
         ("A", g.rlike("VARIOS|AJUSTE|DIFERENCIA|ESTADO DE CUENTA OPACO") | t.rlike("VARIOS|AJUSTE|BORROSO|SIN DESGLOSE")),
         ("A", t.rlike("UPCODING|INFLA|PRECIO EXCESIVO|DOSIS COMPLETA")),
+        ("A", t.rlike("EVENTO UNICO|URGENCIA.*INTEGRADO|URGENCIA.*HOSPITALIZACION")),
         ("B", drug & t.rlike("DESGLOSE|OPACIDAD|CAJA")),
     ], "B")
 
