@@ -105,7 +105,7 @@ class Index:
         p = self.stored.join(shipped(checkpoint(uses), 250), "term")
         first = F.col("lead") - F.col("offset") + 1  # where the window begins in near
         same = (first >= 1) & (F.transform(F.slice("near", F.greatest(first, F.lit(1)), F.size("terms")), fold) == F.col("terms"))
-        return p.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("start"), "rank", F.when(F.col("rank") == 0, same).alias("whole")).where("start >= 1")
+        return p.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("start"), "rank", F.when(F.col("rank") == 0, same).alias("whole"))
 
 
 def phrase_matches(index: Index) -> DataFrame:
