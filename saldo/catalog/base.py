@@ -92,10 +92,9 @@ def tokens(c: str) -> str:
 
 
 def largest(c: str) -> str:
-    t = f"list_filter({tokens(c)}, lambda x: x < 100000000)"
-    return f"CAST(coalesce(floor(coalesce(list_max(list_filter({t}, lambda x: x >= 1000)), list_max({t})) + 0.5), 0) AS BIGINT)"
+    return f"CAST(coalesce(floor(list_max({tokens(c)}) + 0.5), 0) AS BIGINT)"
 
 
 def charge(c: str) -> str:
-    t = f"list_filter({tokens(c)}, lambda x: x < 100000000)"
+    t = tokens(c)
     return f"CASE WHEN len({t}) < 2 THEN 0 ELSE CAST(floor(greatest(({t})[-1], ({t})[-2]) + 0.5) AS BIGINT) END"

@@ -16,7 +16,7 @@ ND, NS = strict("description"), strict("section")
 BOTH = f"{ITEMS}, {LINES_ONLY}"
 CUM = f"{NUMBERED}, {LINES_ONLY}, cum AS (SELECT *, sum(total) OVER (PARTITION BY account ORDER BY pos) AS upto FROM items)"
 DIST = f"""{BOTH}, anc AS (SELECT account, pos AS ap FROM items WHERE {any_like(ND, lx.ANCHOR_SURGERY + lx.ANCHOR_STAY)}),
-  dist AS (SELECT i.account, i.pos, coalesce(min(abs(i.pos - ap)), 999999) AS distance FROM items i LEFT JOIN anc USING (account) GROUP BY ALL)"""
+  dist AS (SELECT i.account, i.pos, min(abs(i.pos - ap)) AS distance FROM items i LEFT JOIN anc USING (account) GROUP BY ALL)"""
 
 
 def _items(spark, sf):
@@ -45,7 +45,7 @@ def w03(spark, sf):
     return M.residual_segments(rest).select("account", "pos", "segment")
 
 
-@query("g01_unit_items", f"""WITH {ITEMS}, e AS (SELECT *, qty > 1 AND qty <= 20 AND unit_price > 0 AND abs(total - qty * CAST(round(total / qty) AS BIGINT)) < total * 0.05 + 10 AS sp, CAST(round(total / qty) AS BIGINT) AS u FROM items)
+@query("g01_unit_items", f"""WITH {ITEMS}, e AS (SELECT *, qty > 1 AND unit_price > 0 AND abs(total - qty * CAST(round(total / qty) AS BIGINT)) < total * 0.05 + 10 AS sp, CAST(round(total / qty) AS BIGINT) AS u FROM items)
   SELECT account, pos, sum(CASE WHEN sp THEN ceil(qty) ELSE 1 END)::BIGINT AS units, CAST(sum(CASE WHEN sp THEN u * ceil(qty) ELSE total END) AS BIGINT) AS amount FROM e GROUP BY ALL""")
 def g01(spark, sf):
     items = _items(spark, sf).withColumn("unit_price", F.round(F.col("total") / F.col("qty")).cast("long"))
@@ -76,7 +76,7 @@ def match_sql(coarse: int) -> str:
     cut = lambda c: f"{c} // {coarse}" if coarse > 1 else c
     return f"""{DIST}, it AS (SELECT i.account, i.pos, i.item_id, {cut('i.total')} AS amount, distance, nd, ns FROM (SELECT *, {ND} AS nd, {NS} AS ns FROM items) i JOIN dist USING (account, pos)),
   fit AS (SELECT *, {DRUG_SQL} AS drug, {SUPPLY_SQL} AS supply FROM it), ln AS (SELECT account, line_id, code, {cut('valor')} AS valor, CASE WHEN code LIKE '320%' THEN 'C' WHEN code = '3101001' OR contains({ND}, 'medicamento') THEN 'D' WHEN code = '3101002' OR contains({ND}, 'material') THEN 'S' END AS dom FROM lines),
-  c AS (SELECT ln.*, f.pos, f.item_id, count(f.pos) OVER (PARTITION BY line_id) AS n, row_number() OVER (PARTITION BY line_id ORDER BY distance, CASE dom WHEN 'D' THEN NOT drug WHEN 'S' THEN NOT supply ELSE false END, f.pos) AS r FROM ln LEFT JOIN fit f ON f.account = ln.account AND f.amount = ln.valor),
+  c AS (SELECT ln.*, f.pos, f.item_id, count(f.pos) OVER (PARTITION BY line_id) AS n, row_number() OVER (PARTITION BY line_id ORDER BY distance NULLS LAST, CASE dom WHEN 'D' THEN NOT drug WHEN 'S' THEN NOT supply ELSE false END, f.pos) AS r FROM ln LEFT JOIN fit f ON f.account = ln.account AND f.amount = ln.valor),
   am AS (SELECT account, line_id, code, n AS candidates, CASE WHEN n = 0 THEN 'FAIL' WHEN n = 1 THEN 'OK' ELSE 'PARTIAL' END AS status, pos, item_id FROM c WHERE r = 1)"""
 
 

@@ -45,7 +45,7 @@ def q03(spark, sf):
     return Q.line_by_line(star.bill_rows(spark, sf))
 
 
-@query("q04_list_items", f"WITH {DESCRIBED} SELECT account, CAST(row_number() OVER (PARTITION BY account ORDER BY page, description, part, provider, total, qty, folio, ts) AS INT) AS n, page, description, total FROM described QUALIFY n <= 800")
+@query("q04_list_items", f"WITH {DESCRIBED} SELECT account, CAST(row_number() OVER (PARTITION BY account ORDER BY page, description, part, provider, total, qty, folio, ts) AS INT) AS n, page, description, total FROM described")
 def q04(spark, sf):
     return Q.list_items(star.described(spark, sf))
 
@@ -57,7 +57,7 @@ def _has(c, terms):
 @query("q05_where_and_how_much", f"""WITH {ROWS}, i AS (SELECT account, count(*) AS items, CAST(sum(bonif) AS BIGINT) AS fi FROM described WHERE {_has(PLAIN, TERMS + SHORT)} GROUP BY account),
   r AS (SELECT *, strip_accents(lower(text)) AS plain, {charge('text')} AS charge, {largest('text')} AS big FROM rws WHERE {_has("strip_accents(lower(text))", TERMS + SHORT)}),
   br AS (SELECT account, count(*) AS rows, CAST(sum(big) AS BIGINT) AS fr, bool_or(kind = 'item_primary') AS prim FROM r GROUP BY account),
-  d AS (SELECT account, page, charge, substr(plain, 1, 40) AS px, bool_or(kind = 'item_primary') AS p FROM r WHERE charge > 0 GROUP BY ALL),
+  d AS (SELECT account, page, charge, plain, bool_or(kind = 'item_primary') AS p FROM r WHERE charge > 0 GROUP BY ALL),
   ch AS (SELECT account, sum(charge) AS a, sum(charge) FILTER (WHERE p) AS m FROM d GROUP BY account),
   j AS (SELECT account, coalesce(items, 0) AS items, coalesce(rows, 0) AS rows, coalesce(fi, 0) AS fi, coalesce(fr, 0) AS fr, CAST(coalesce(CASE WHEN prim THEN m ELSE a END, 0) AS BIGINT) AS fc FROM br LEFT JOIN ch USING (account) FULL JOIN i USING (account))
   SELECT account, items, rows, CASE WHEN fc > 0 AND (fi = 0 OR fc > fi * 1.4) THEN fc WHEN fi = 0 THEN fr ELSE fi END AS amount FROM j""")
@@ -76,7 +76,7 @@ def q06(spark, sf):
     return Q.find_product(star.described(spark, sf), "vicryl")
 
 
-@query("q06_first_matches", f"WITH {DESCRIBED} SELECT account, CAST(row_number() OVER (PARTITION BY account ORDER BY page, part, provider, total, qty, folio, ts) AS INT) AS n, page, description, total FROM described WHERE contains({PLAIN}, 'vicryl') QUALIFY n <= 120")
+@query("q06_first_matches", f"WITH {DESCRIBED} SELECT account, CAST(row_number() OVER (PARTITION BY account ORDER BY page, part, provider, total, qty, folio, ts) AS INT) AS n, page, description, total FROM described WHERE contains({PLAIN}, 'vicryl')")
 def q06b(spark, sf):
     return Q.first_matches(star.described(spark, sf), "vicryl")
 
@@ -86,7 +86,7 @@ def q07(spark, sf):
     return Q.surgery_total(star.described(spark, sf))
 
 
-@query("q08_items_with_page_subtotal", f"WITH {CHARGES} SELECT account, page, CAST(row_number() OVER (PARTITION BY account, page ORDER BY part, provider, total, qty, folio, ts) AS INT) AS n, part, total, CAST(sum(total) OVER (PARTITION BY account, page) AS BIGINT) AS subtotal FROM charges WHERE page > 0 AND total > 0 QUALIFY n <= 120")
+@query("q08_items_with_page_subtotal", f"WITH {CHARGES} SELECT account, page, CAST(row_number() OVER (PARTITION BY account, page ORDER BY part, provider, total, qty, folio, ts) AS INT) AS n, part, total, CAST(sum(total) OVER (PARTITION BY account, page) AS BIGINT) AS subtotal FROM charges WHERE page > 0 AND total > 0")
 def q08(spark, sf):
     return Q.items_with_page_subtotal(star.charges(spark, sf))
 
@@ -112,7 +112,7 @@ def q11(spark, sf):
     return Q.one_folio(_lines(spark, sf), "NF")
 
 
-@query("q11_folio_items", f"WITH {CHARGES} SELECT account, CAST(row_number() OVER (PARTITION BY account ORDER BY page, part, provider, total, qty, ts) AS INT) AS n, part, total AS valor, copago FROM charges WHERE folio = 'NF' QUALIFY n <= 120")
+@query("q11_folio_items", f"WITH {CHARGES} SELECT account, CAST(row_number() OVER (PARTITION BY account ORDER BY page, part, provider, total, qty, ts) AS INT) AS n, part, total AS valor, copago FROM charges WHERE folio = 'NF'")
 def q11b(spark, sf):
     return Q.folio_items(_lines(spark, sf), "NF")
 
@@ -137,7 +137,7 @@ def q15(spark, sf):
     return Q.settlement_overview(_lines(spark, sf))
 
 
-@query("j42_page_slices", f"""WITH {DESCRIBED}, h AS (SELECT DISTINCT account, page FROM described WHERE {_has(PLAIN, TERMS)}), k AS (SELECT account, page FROM h QUALIFY row_number() OVER (PARTITION BY account ORDER BY page) <= 6)
-  SELECT account, page, CAST(row_number() OVER (PARTITION BY account, page ORDER BY part, provider, total, qty, folio, ts) AS INT) AS n, description, total FROM described SEMI JOIN k USING (account, page) QUALIFY n <= 180""")
+@query("j42_page_slices", f"""WITH {DESCRIBED}, k AS (SELECT DISTINCT account, page FROM described WHERE {_has(PLAIN, TERMS)})
+  SELECT account, page, CAST(row_number() OVER (PARTITION BY account, page ORDER BY part, provider, total, qty, folio, ts) AS INT) AS n, description, total FROM described SEMI JOIN k USING (account, page)""")
 def j42(spark, sf):
     return Q.page_slices(star.described(spark, sf), TERMS)

@@ -206,7 +206,7 @@ def charge_text(df):
 
 @query("f22_number_tokens", f"""WITH {DESCRIBED}, d AS (SELECT DISTINCT description, qty, total, copago FROM described), l AS (SELECT {LINE_TEXT_SQL} AS raw FROM d),
   t AS (SELECT raw, list_filter(list_transform(regexp_extract_all(raw, '\\d{{1,3}}(?:\\.\\d{{3}})+(?:,\\d+)?|\\d+(?:,\\d+)?'), lambda x: CAST(replace(replace(x, '.', ''), ',', '.') AS DOUBLE)), lambda x: x > 0) AS n FROM l)
-  SELECT raw, n AS numbers, CAST(floor(coalesce(list_max(list_filter(n, lambda x: x >= 1000)), list_max(n)) + 0.5) AS BIGINT) AS largest,
+  SELECT raw, n AS numbers, CAST(floor(list_max(n) + 0.5) AS BIGINT) AS largest,
     CASE WHEN len(n) < 2 THEN 0 ELSE CAST(floor(greatest(n[-1], n[-2]) + 0.5) AS BIGINT) END AS charge FROM t""")
 def f22(spark, sf):
     lines = charge_text(star.described(spark, sf).select("description", "qty", "total", "copago").distinct())

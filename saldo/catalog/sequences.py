@@ -52,7 +52,7 @@ def w08(spark, sf):
 AB = f"""{LNS}, mk AS (SELECT contract_id, line_no, size AS value, noun IN ('ring', 'bolt') AS is_point, noun = 'gear' AS is_stop FROM lns),
   sp AS (SELECT p.contract_id, p.line_no, p.value, (SELECT max(line_no) FROM mk s WHERE s.contract_id = p.contract_id AND s.is_stop AND s.line_no <= p.line_no) AS st, (SELECT min(line_no) FROM mk s WHERE s.contract_id = p.contract_id AND s.is_stop AND s.line_no > p.line_no) AS en,
     lag(line_no) OVER (PARTITION BY contract_id ORDER BY line_no) AS pv, lead(line_no) OVER (PARTITION BY contract_id ORDER BY line_no) AS nx FROM mk p WHERE is_point),
-  ab AS (SELECT contract_id, line_no, value, CASE WHEN pv IS NULL OR pv < coalesce(st, 0) THEN coalesce(st, 0) ELSE pv + 1 END AS first_line, least(coalesce(en, 9999), coalesce(nx, 9999) - 1) AS last_line FROM sp)"""
+  ab AS (SELECT contract_id, line_no, value, CASE WHEN pv IS NULL OR pv < coalesce(st, 0) THEN coalesce(st, 0) ELSE pv + 1 END AS first_line, least(en, nx - 1) AS last_line FROM sp)"""
 
 
 def annual(spark, sf):
@@ -65,10 +65,10 @@ def w09(spark, sf):
     return annual(spark, sf)
 
 
-@query("j37_lines_in_blocks", f"WITH {AB} SELECT l.contract_id, l.line_no, b.line_no AS block FROM lns l JOIN ab b ON b.contract_id = l.contract_id AND l.line_no BETWEEN b.first_line AND b.last_line")
+@query("j37_lines_in_blocks", f"WITH {AB} SELECT l.contract_id, l.line_no, b.line_no AS block FROM lns l JOIN ab b ON b.contract_id = l.contract_id AND l.line_no >= b.first_line AND (b.last_line IS NULL OR l.line_no <= b.last_line)")
 def j37(spark, sf):
     from saldo.operators import spatial
-    blocks = annual(spark, sf).select("contract_id", F.col("line_no").alias("block"), "first_line", "last_line").filter("first_line <= last_line")
+    blocks = annual(spark, sf).select("contract_id", F.col("line_no").alias("block"), "first_line", "last_line")
     return spatial.lines_in_blocks(contract_lines(spark, sf).select("contract_id", "line_no"), blocks, K).select("contract_id", "line_no", "block")
 
 

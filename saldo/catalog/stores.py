@@ -103,7 +103,7 @@ def k04(spark, sf):
     return stores.upsert(old, new, "id", F.lit("new"))
 
 
-@query("k05_examples", "WITH l AS (SELECT doc_id AS example_id, lang AS tag, substr(text, 1, 1000) AS text, n_chars AS seen FROM documents) SELECT example_id, tag, md5(text) AS digest FROM l QUALIFY row_number() OVER (PARTITION BY tag ORDER BY seen DESC, example_id DESC) <= 2")
+@query("k05_examples", "WITH l AS (SELECT doc_id AS example_id, lang AS tag, text, n_chars AS seen FROM documents) SELECT example_id, tag, md5(text) AS digest FROM l QUALIFY row_number() OVER (PARTITION BY tag ORDER BY seen DESC, example_id DESC) <= 2")
 def k05(spark, sf):
     e = star.table(spark, sf, "documents").select(F.col("doc_id").alias("example_id"), F.col("lang").alias("tag"), "text", F.col("n_chars").alias("at"))
     return stores.latest_by_tag(stores.keep_examples(e)).select("example_id", "tag", F.md5("text").alias("digest"))

@@ -93,20 +93,15 @@ def number_tokens(c: Column) -> Column:
     return F.filter(F.transform(found, parse_token), lambda v: v > 0)
 
 
-CEILING = 100_000_000
-
-
 def largest_amount(c: Column) -> Column:
-    """Largest number of a line below the ceiling, preferring those from 1000 up; zero without any."""
-    usable = F.filter(number_tokens(c), lambda v: v < CEILING)
-    large = F.filter(usable, lambda v: v >= 1000)
-    best = F.when(F.size(large) > 0, F.array_max(large)).otherwise(F.array_max(usable))
-    return round_half_up(best)
+    """Largest number of a line, of any size; zero without any."""
+    usable = number_tokens(c)
+    return round_half_up(F.array_max(usable))
 
 
 def primary_charge(c: Column) -> Column:
     """The larger of the last two numbers of a line; zero with fewer than two."""
-    usable = F.filter(number_tokens(c), lambda v: v < CEILING)
+    usable = number_tokens(c)
     last, prev = F.try_element_at(usable, F.lit(-1)), F.try_element_at(usable, F.lit(-2))
     return F.when(F.size(usable) < 2, F.lit(0)).otherwise(round_half_up(F.greatest(last, prev))).cast("long")
 

@@ -192,7 +192,7 @@ def nutrition_match(lines: DataFrame, items: DataFrame) -> DataFrame:
     from saldo.operators import matching
 
     food = items.filter(F.upper("description").rlike(any_of(lx.NUTRITION)))
-    return matching.subset_match(nutrition_targets(lines), food, [F.desc("total"), F.col("pos")])
+    return matching.subset_match(nutrition_targets(lines), food, [-F.col("total"), F.col("pos")])
 
 
 def precedent_stats(precedents: DataFrame) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from saldo.functions.rules import first_match, search
 from saldo.operators import sequence
 
-END = 9999
-
-
 def sticky_percent(lines: DataFrame, keys: list[str], default: int = 90) -> DataFrame:
     """Percent of each line: its own, else the last explicit one, else the default. A section title ends the carrying after itself."""
     own = F.regexp_extract("text", r"(\d{1,3})\s*%", 1).try_cast("int")
@@ -62,14 +59,14 @@ def annual_blocks(marks: DataFrame, keys: list[str]) -> DataFrame:
     """Span of each annual cap point. marks: keys, line_no, value, is_point, is_stop; one row per line.
 
     The first point of a section reaches up to its start, the next ones follow the previous point, all end before
-    the next point or at the next section.
+    the next point or at the next section. ``last_line`` is null where neither follows: the block runs to the end.
     """
     point, stop = F.when(F.col("is_point"), F.col("line_no")), F.when(F.col("is_stop"), F.col("line_no"))
     c = sequence.carry(marks, keys, ["line_no"], sequence.by_pos("line_no"), lasts={"_start": stop}, follows={"_end": stop, "_next": point}, priors={"_prev": point})
     start = F.coalesce("_start", F.lit(0))
     first = F.col("_prev").isNull() | (F.col("_prev") < start)
     return c.filter("is_point").select(*keys, "line_no", "value", F.when(first, start).otherwise(F.col("_prev") + 1).alias("first_line"),
-                                       F.least(F.coalesce("_end", F.lit(END)), F.coalesce("_next", F.lit(END)) - 1).alias("last_line"))
+                                       F.least(F.col("_end"), F.col("_next") - 1).alias("last_line"))
 
 
 def row_groups(rows: DataFrame, keys: list[str]) -> DataFrame:

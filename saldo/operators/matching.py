@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +23,6 @@ from saldo.operators import sequence
 from saldo.operators.containment import contained
 from saldo.session import checkpoint
 
-FAR = 999999
-
-
 # -- preparation --------------------------------------------------------------
 
 def fill_sections(items: DataFrame) -> DataFrame:
@@ -40,12 +37,11 @@ def fill_sections(items: DataFrame) -> DataFrame:
 
 
 def anchor_distance(items: DataFrame) -> DataFrame:
-    """Distance in positions to the nearest package item (operating room or bed-day)."""
+    """Distance in positions to the nearest package item (operating room or bed-day); null in an account without one."""
     d = normalize_strict(F.col("description"))
     anchor = F.when(contains_any(d, lx.ANCHOR_SURGERY) | contains_any(d, lx.ANCHOR_STAY), F.col("pos"))
     c = sequence.carry(items, ["account"], ["pos"], sequence.by_pos(), lasts={"_before": anchor}, nexts={"_after": anchor})
-    far = F.lit(FAR)
-    near = F.least(F.coalesce(F.col("pos") - F.col("_before"), far), F.coalesce(F.col("_after") - F.col("pos"), far))
+    near = F.least(F.col("pos") - F.col("_before"), F.col("_after") - F.col("pos"))
     return c.withColumn("distance", near).drop("_before", "_after")
 
 
@@ -55,9 +51,9 @@ def residual_segments(items: DataFrame, gap: int = 2) -> DataFrame:
 
 
 def unit_items(items: DataFrame) -> DataFrame:
-    """Items of 2 to 20 units with a consistent price become one row per unit."""
+    """Items of two or more units with a consistent price become one row per unit."""
     q, u, t = F.col("qty"), F.col("unit_price"), F.col("total")
-    splits = (q > 1) & (q <= 20) & (u > 0) & (F.abs(t - q * u) < t * 0.05 + 10)
+    splits = (q > 1) & (u > 0) & (F.abs(t - q * u) < t * 0.05 + 10)
     n = F.when(splits, F.ceil(q)).otherwise(1).cast("int")
     e = items.withColumn("_n", n).withColumn("unit", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return e.withColumns({"total": F.when(F.col("_n") > 1, u).otherwise(t), "qty": F.when(F.col("_n") > 1, F.lit(1.0)).otherwise(q)}).drop("_n")
@@ -97,7 +93,7 @@ def amount_match(lines: DataFrame, items: DataFrame, on: str = "valor") -> DataF
     """
     s, d = F.col("section"), F.col("description")
     fits = {"DRUG": K.is_drug(s, d), "SUPPLY": K.is_supply(s, d)}
-    pick = lambda fit: F.min(F.struct("distance", (~fit).alias("misfit"), "pos", "item_id"))
+    pick = lambda fit: F.min(F.struct(F.isnull("distance").alias("far"), "distance", (~fit).alias("misfit"), "pos", "item_id"))
     by_amount = items.groupBy("account", F.col("total").alias(on)).agg(
         F.count(F.lit(1)).alias("candidates"), pick(F.lit(True)).alias("any"), *[pick(f).alias(n) for n, f in fits.items()])
     j = lines.join(by_amount, ["account", on], "left")
@@ -288,42 +284,45 @@ def pair_match(lines: DataFrame, pool: DataFrame) -> DataFrame:
     return lines.select("account", "line_id", "valor").join(best, ["account", "valor"]).select("account", "line_id", "valor", "b.pos_a", "b.pos_b")
 
 
-MAX_CANDIDATES = 300
-
-
 def _first_subset(values: np.ndarray, target: int) -> list[int]:
-    """Indexes of the subset reached first when items are added in order; empty when there is none."""
-    reach: dict[int, tuple[int, int]] = {0: (-1, 0)}
+    """Indexes of the subset reached first when items are added in order; empty when there is none.
+
+    Each item adds the sums it reaches first, so a sum is stored once, with its item's layer: eight bytes a different
+    sum. Sums above the target, and sums that the items still to come cannot raise to it, are left out.
+    """
+    values = np.asarray(values, dtype=np.int64)
+    if target <= 0 or not len(values):
+        return []
+    unit = int(np.gcd.reduce(values))
+    if target % unit:
+        return []
+    values, target = values // unit, target // unit
+    rest = np.cumsum(values[::-1])[::-1]
+    sums, layers = np.zeros(1, np.int64), []
     for i, v in enumerate(values.tolist()):
-        if len(reach) > 200_000:
-            return _first_subset_dense(values, target)
-        new = {s + v: (i, s) for s in reach if s + v <= target and s + v not in reach}
-        reach.update(new)
-        if target in reach:
-            out, s = [], target
-            while s > 0:
-                i, s = reach[s]
-                out.append(i)
-            return out
+        sums = sums[np.searchsorted(sums, target - rest[i]) :]
+        if not len(sums):
+            return []
+        new = sums[: np.searchsorted(sums, target - v, side="right")] + v
+        new = new[sums[np.searchsorted(sums[:-1], new)] != new]
+        layers.append(new)
+        if len(new) and new[-1] == target:
+            return _members(values, layers, target)
+        sums = np.sort(np.concatenate([sums, new]), kind="stable")
     return []
 
 
-def _first_subset_dense(values: np.ndarray, target: int) -> list[int]:
-    """The same over an array of sums, for pools with many different sums."""
-    dp = np.full(target + 1, -1, dtype=np.int16)
-    dp[0] = -2
-    for i, v in enumerate(values.tolist()):
-        if v > target:
-            continue
-        fresh = (dp[v:] == -1) & (dp[: target + 1 - v] != -1)
-        dp[v:][fresh] = i
-        if dp[target] != -1:
-            out, s = [], target
-            while s > 0:
-                out.append(int(dp[s]))
-                s -= int(values[dp[s]])
-            return out
-    return []
+def _members(values: np.ndarray, layers: list[np.ndarray], target: int) -> list[int]:
+    """Items of the sum that the last layer reached: each sum goes back to the layer that stored it."""
+    out, s = [], target
+    for i in range(len(layers) - 1, -1, -1):
+        k = np.searchsorted(layers[i], s)
+        if k < len(layers[i]) and layers[i][k] == s:
+            out.append(i)
+            s -= int(values[i])
+            if s == 0:
+                break
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -331,23 +330,32 @@ def subset_indexes(values: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([_first_subset(np.asarray(v, dtype=np.int64), int(t)) for v, t in zip(values, target)])
 
 
-def subset_candidates(lines: DataFrame, pool: DataFrame, order: list[Column], limit: int = MAX_CANDIDATES) -> DataFrame:
-    """The first ``limit`` pool items not above the line, in order: the bound is part of the search."""
-    target = lines.filter("valor > 0").select("account", "line_id", "valor")
-    j = target.join(pool.filter("total > 0"), "account").filter("total <= valor")
-    return sequence.best(j, ["line_id"], order, limit, rank="n")
+def subset_of(candidates: DataFrame, order: list[Column]) -> DataFrame:
+    """Subset of each line's candidates, in order, that adds up to the line. One row per line and member.
 
-
-def subset_match(lines: DataFrame, pool: DataFrame, order: list[Column]) -> DataFrame:
-    """Subset of at most 300 ordered candidates that adds up to the line. One row per line and member."""
-    cand = subset_candidates(lines, pool, order)
-    g = cand.groupBy("account", "line_id", "valor").agg(F.sort_array(F.collect_list(F.struct("n", "pos", "total"))).alias("c"))
-    enough = g.filter(F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["total"]) >= F.col("valor"))
-    hit = enough.withColumn("i", subset_indexes(F.col("c.total"), F.col("valor"))).filter(F.size("i") > 0)
+    candidates: account, line_id, valor, pos, total. Of equal amounts only so many copies as fit into the line are looked
+    at, the first in order: further ones reach no sum that the earlier ones do not.
+    """
+    c = candidates.filter("valor > 0 and total > 0 and total <= valor")
+    nth = F.row_number().over(Window.partitionBy("account", "line_id", "total").orderBy(*order))
+    c = c.repartition("account", "line_id").withColumn("_nth", nth).filter(F.col("_nth") * F.col("total") <= F.col("valor"))
+    keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
+    g = c.groupBy("account", "line_id", "valor").agg(
+        F.sort_array(F.collect_list(F.struct(*keys, "pos", "total"))).alias("c"), F.sum("total").alias("_all"))
+    hit = g.filter("_all >= valor").withColumn("i", subset_indexes(F.col("c.total"), F.col("valor"))).filter(F.size("i") > 0)
     return hit.select("account", "line_id", "valor", F.explode("i").alias("i"), "c").select(
         "account", "line_id", "valor", F.element_at("c", F.col("i") + 1)["pos"].alias("pos"), F.element_at("c", F.col("i") + 1)["total"].alias("total"))
 
 
+def subset_match(lines: DataFrame, pool: DataFrame, order: list[Column]) -> DataFrame:
+    """Subset of the ordered pool items that adds up to the line. One row per line and member.
+
+    ``order`` are ascending expressions; the search sees all items of the account that are not above the line.
+    """
+    target = lines.filter("valor > 0").select("account", "line_id", "valor")
+    return subset_of(target.join(pool.select("account", "pos", "total"), "account"), order)
+
+
 def anchored_bundle(lines: DataFrame, pool: DataFrame) -> DataFrame:
     """Largest item per bundle word (an item serves one word); what the bundle leaves open of the line."""
     d = normalize_strict(F.col("description"))

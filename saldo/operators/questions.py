@@ -1,6 +1,6 @@
 """Named questions over bills and settlements, answered for every account at once.
 
-``limit`` arguments are part of a question (the first 800 items, the first 120 matches); totals and
+Answers are whole; a ``limit`` shows only the first rows of each group where the caller sets one. Totals and
 counts always cover everything.
 """
 
@@ -53,11 +53,10 @@ def line_by_line(rows: DataFrame) -> DataFrame:
     return n.select("account", "page", "n", F.trim("text").alias("text"))
 
 
-def list_items(items: DataFrame, limit: int = 800) -> DataFrame:
-    """First items of each account by page and description."""
-    order = [F.col(c) for c in ("page", "description", "part", "provider", "total", "qty", "folio", "ts")]
-    first = sequence.best(items, ["account"], order, limit, rank="n")
-    return first.select("account", "n", "page", F.substring("description", 1, 140).alias("description"), "total")
+def list_items(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of each account by page and description."""
+    order = ["page", "description", "part", "provider", "total", "qty", "folio", "ts"]
+    return sequence.ranked(items, ["account"], order, F.col("page").cast("long"), limit).select("account", "n", "page", "description", "total")
 
 
 def where_and_how_much(items: DataFrame, rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -67,7 +66,7 @@ def where_and_how_much(items: DataFrame, rows: DataFrame, terms: list[str]) -> D
     r = rows.withColumn("plain", _plain("text")).filter(_any_term(F.col("plain"), terms)).withColumn("charge", primary_charge(F.col("text")))
     by_row = r.groupBy("account").agg(F.count(F.lit(1)).alias("rows"), F.sum(largest_amount(F.col("text"))).alias("from_rows"),
                                       F.bool_or(F.col("kind") == "item_primary").alias("_primary"))
-    once = r.filter("charge > 0").groupBy("account", "page", "charge", F.substring("plain", 1, 40).alias("prefix")).agg(
+    once = r.filter("charge > 0").groupBy("account", "page", "charge", "plain").agg(
         F.bool_or(F.col("kind") == "item_primary").alias("_p"))
     charges = once.groupBy("account").agg(F.sum("charge").alias("_all"), F.sum(F.when(F.col("_p"), F.col("charge"))).alias("_main"))
     zero = F.lit(0)
@@ -89,10 +88,10 @@ def find_product(items: DataFrame, term: str) -> DataFrame:
     return items.filter(_plain("description").contains(term)).groupBy("account").agg(F.count(F.lit(1)).alias("items"), F.sum("total").alias("amount"))
 
 
-def first_matches(items: DataFrame, term: str, limit: int = 120) -> DataFrame:
+def first_matches(items: DataFrame, term: str, limit: int | None = None) -> DataFrame:
     hits = items.filter(_plain("description").contains(term))
-    order = [F.col(c) for c in ("page", "part", "provider", "total", "qty", "folio", "ts")]
-    return sequence.best(hits, ["account"], order, limit, rank="n").select("account", "n", "page", "description", "total")
+    order = ["page", "part", "provider", "total", "qty", "folio", "ts"]
+    return sequence.ranked(hits, ["account"], order, F.col("page").cast("long"), limit).select("account", "n", "page", "description", "total")
 
 
 # Words of surgery charges.
@@ -104,12 +103,12 @@ def surgery_total(items: DataFrame) -> DataFrame:
     return hits.groupBy("account").agg(F.count(F.lit(1)).alias("items"), F.sum("total").alias("amount"))
 
 
-def items_with_page_subtotal(items: DataFrame, limit: int = 120) -> DataFrame:
-    """First items of each page beside the subtotal of the whole page."""
+def items_with_page_subtotal(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of each page beside the subtotal of the whole page."""
     usable = items.filter("page > 0 and total > 0")
     sub = usable.groupBy("account", "page").agg(F.sum("total").alias("subtotal"))
-    order = [F.col(c) for c in ("part", "provider", "total", "qty", "folio", "ts")]
-    top = sequence.best(usable, ["account", "page"], order, limit, rank="n")
+    order = ["part", "provider", "total", "qty", "folio", "ts"]
+    top = sequence.ranked(usable, ["account", "page"], order, sequence.by_pos("part"), limit)
     return top.join(sub, ["account", "page"]).select("account", "page", "n", "part", "total", "subtotal")
 
 
@@ -144,9 +143,9 @@ def one_folio(lines: DataFrame, folio: str) -> DataFrame:
         F.count(F.lit(1)).alias("items"), *[F.sum(c).alias(c) for c in ("valor", "bonif", "copago")], F.count_distinct("provider").alias("providers"))
 
 
-def folio_items(lines: DataFrame, folio: str, limit: int = 120) -> DataFrame:
-    order = [F.col(c) for c in ("page", "part", "provider", "valor", "qty", "ts")]
-    return sequence.best(lines.filter(F.col("folio") == folio), ["account"], order, limit, rank="n").select("account", "n", "part", "valor", "copago")
+def folio_items(lines: DataFrame, folio: str, limit: int | None = None) -> DataFrame:
+    order = ["page", "part", "provider", "valor", "qty", "ts"]
+    return sequence.ranked(lines.filter(F.col("folio") == folio), ["account"], order, F.col("page").cast("long"), limit).select("account", "n", "part", "valor", "copago")
 
 
 def provider_totals(lines: DataFrame) -> DataFrame:
@@ -172,9 +171,11 @@ def settlement_overview(lines: DataFrame) -> DataFrame:
                      *[F.sum(c).alias(c) for c in ("valor", "bonif", "copago")])
 
 
-def page_slices(items: DataFrame, terms: list[str], pages: int = 6, rows: int = 180) -> DataFrame:
-    """All rows of the first pages that mention a term, capped per page as the slice is."""
-    hit = sequence.best(term_pages(items, terms), ["account"], [F.col("page")], pages)
+def page_slices(items: DataFrame, terms: list[str], pages: int | None = None, rows: int | None = None) -> DataFrame:
+    """All rows of the pages that mention a term, or of the first ``pages``, each cut after ``rows``."""
+    hit = term_pages(items, terms)
+    if pages is not None:
+        hit = sequence.best(hit, ["account"], [F.col("page")], pages)
     on_page = items.join(hit, ["account", "page"], "left_semi")
-    order = [F.col(c) for c in ("part", "provider", "total", "qty", "folio", "ts")]
-    return sequence.best(on_page, ["account", "page"], order, rows, rank="n").select("account", "page", "n", "description", "total")
+    order = ["part", "provider", "total", "qty", "folio", "ts"]
+    return sequence.ranked(on_page, ["account", "page"], order, sequence.by_pos("part"), rows).select("account", "page", "n", "description", "total")

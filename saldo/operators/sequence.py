@@ -89,6 +89,13 @@ def number(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name
     return carry(df, keys, order, chunk, sums={name: F.lit(1).cast("long")})
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], chunk: Column, limit: int | None = None, name: str = "n") -> DataFrame:
+    """Rows numbered from 1 inside the group: all of them, or the first ``limit``."""
+    if limit is None:
+        return number(df, keys, order, chunk, name).withColumn(name, F.col(name).cast("int"))
+    return best(df, keys, [F.col(c) for c in order], limit, rank=name)
+
+
 def islands(df: DataFrame, keys: list[str], pos: str, gap: Column | int, name: str = "segment", chunk: Column | None = None) -> DataFrame:
     """Segment number: a new segment starts where the step from the previous row exceeds ``gap``."""
     c = by_pos(pos) if chunk is None else chunk

@@ -72,7 +72,9 @@ def unflagged_zones(zones: DataFrame) -> DataFrame:
 
 
 def lines_in_blocks(lines: DataFrame, blocks: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
-    """Contract lines with the blocks whose span holds them."""
+    """Contract lines with the blocks whose span holds them; a block without a last line runs to the end of its contract."""
+    last = lines.groupBy(*keys).agg(F.max("line_no").alias("_last"))
+    blocks = blocks.join(last, keys).withColumn("last_line", F.coalesce("last_line", "_last")).drop("_last").filter("first_line <= last_line")
     return ranges.point_in_interval(lines, blocks, keys, "line_no", "first_line", "last_line", width)
 
 
@@ -180,15 +182,27 @@ def resolve_paths(references: DataFrame, paths: DataFrame) -> DataFrame:
     return r.join(p, "path_id").select("benefit_id", "pct", "provider").distinct()
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Depth and root of every node of a forest given as (id, parent): level by level, until a level is empty."""
+def flatten_tree(nodes: DataFrame) -> DataFrame:
+    """Depth and root of every node of a forest given as (id, parent), of any depth.
+
+    Every node points at its parent and each round doubles how far up it points, so rounds grow with the logarithm of the
+    depth. Nodes that reach no root (a missing parent, a cycle) are not in the result.
+    """
     from saldo.session import checkpoint
 
-    level = checkpoint(nodes.filter("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
-    out = level
-    for d in range(1, max_depth + 1):
-        level = checkpoint(nodes.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(d).alias("depth")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"tree deeper than {max_depth}")
+    roots = checkpoint(nodes.filter("parent is null").select("id"))
+    out = roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
+    top = roots.select(F.col("id").alias("up"))
+    done = None
+    rest = checkpoint(nodes.filter("parent is not null").select("id", F.col("parent").alias("up"), F.lit(1).alias("depth")))
+    while True:
+        new = checkpoint(rest.join(top.distinct(), "up", "left_semi"))
+        if new.isEmpty():
+            break
+        open_ = rest.join(top.distinct(), "up", "left_anti")
+        done = new if done is None else done.unionByName(new)
+        jump = done.unionByName(open_).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
+        rest = checkpoint(open_.join(jump, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth")))
+    if done is None:
+        return out
+    return out.unionByName(done.join(top, "up").select("id", F.col("up").alias("root"), "depth"))

@@ -56,10 +56,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, now: Column) -> D
         F.when(F.col("_i").isNotNull(), now).otherwise(F.col("_e.updated_at")).alias("updated_at"))
 
 
-def keep_examples(examples: DataFrame, length: int = 1000) -> DataFrame:
-    """Latest version of each example with the first letters of its text, as the store keeps them."""
+def keep_examples(examples: DataFrame) -> DataFrame:
+    """Latest version of each example, with its whole text."""
     last = examples.groupBy("example_id").agg(F.max_by(F.struct("tag", "text", "at"), "at").alias("r"))
-    return last.select("example_id", "r.tag", F.substring("r.text", 1, length).alias("text"), "r.at")
+    return last.select("example_id", "r.tag", "r.text", "r.at")
 
 
 def latest_by_tag(examples: DataFrame, k: int = 2) -> DataFrame:

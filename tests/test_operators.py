@@ -102,11 +102,50 @@ def test_subset_indexes():
         sums = {0}
         for x in v.tolist():
             sums |= {s + x for s in sums}
-        for f in (M._first_subset, M._first_subset_dense):
-            i = f(v, t)
-            assert bool(i) == (t in sums and t > 0)
-            if i:
-                assert len(set(i)) == len(i) and int(v[i].sum()) == t
+        i = M._first_subset(v, t)
+        assert bool(i) == (t in sums and t > 0)
+        if i:
+            assert len(set(i)) == len(i) and int(v[i].sum()) == t
+
+
+def test_subset_search_has_no_item_limit(spark):
+    pool = spark.range(1, 401).select(F.lit("a").alias("account"), F.col("id").alias("pos"), F.lit(1).cast("long").alias("total"))
+    big = spark.createDataFrame([("b", 1, 1_500_000_001), ("b", 2, 7), ("b", 3, 499_999_999)], "account string, pos long, total long")
+    lines = spark.createDataFrame([("a", "l1", 350), ("a", "l2", 401), ("b", "l3", 2_000_000_000), ("b", "l4", 2_000_000_001)], "account string, line_id string, valor long")
+    hit = M.subset_match(lines, pool.union(big), [F.col("pos")]).groupBy("line_id").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("d"), F.sum("total").alias("s"))
+    assert rows(hit, "line_id", "n", "d", "s") == [("l1", 350, 350, 350), ("l3", 2, 2, 2_000_000_000)]
+
+
+def test_large_items_are_split_into_units(spark):
+    items = spark.createDataFrame([("a", 1, 21.0, 10, 210), ("a", 2, 5000.0, 2, 10000), ("a", 3, 1.0, 5, 5)], "account string, pos long, qty double, unit_price long, total long")
+    assert rows(M.unit_items(items).groupBy("pos").agg(F.count("*").alias("n")), "pos", "n") == [(1, 21), (2, 5000), (3, 1)]
+
+
+def test_distance_is_null_without_an_anchor_and_any_size_with_one(spark):
+    items = spark.createDataFrame([("a", 1, "PABELLON"), ("a", 2_000_001, "GASA"), ("b", 1, "GASA")], "account string, pos long, description string")
+    assert rows(M.anchor_distance(items), "account", "pos", "distance") == [("a", 1, 0), ("a", 2_000_001, 2_000_000), ("b", 1, None)]
+
+
+def test_blocks_reach_past_any_line(spark):
+    marks = spark.createDataFrame([("k", n, n in (11_000, 12_000)) for n in range(1, 20_001)], "k string, line_no long, is_point boolean").withColumns(
+        {"value": F.lit(1), "is_stop": F.lit(False)})
+    b = L.annual_blocks(marks, ["k"])
+    assert sorted(tuple(r) for r in b.select("line_no", "first_line", "last_line").collect()) == [(11_000, 0, 11_999), (12_000, 11_001, None)]
+    held = spatial.lines_in_blocks(marks.select("k", "line_no"), b.select("k", F.col("line_no").alias("block"), "first_line", "last_line"), ["k"])
+    assert held.groupBy("block").count().orderBy("block").collect() == [(11_000, 11_999), (12_000, 9_000)]
+
+
+def test_deep_trees_with_cycles_and_lost_parents(spark):
+    nodes = [(i, i - 1 if i else None) for i in range(40)] + [(100, None), (101, 100), (200, 201), (201, 200), (300, 999)]
+    got = spatial.flatten_tree(spark.createDataFrame(nodes, "id long, parent long"))
+    assert rows(got, "id", "root", "depth") == [(i, 0, i) for i in range(40)] + [(100, 100, 0), (101, 100, 1)]
+
+
+def test_amounts_of_any_size(spark):
+    from saldo.functions.money import largest_amount, primary_charge
+
+    t = spark.createDataFrame([("total 250.000.000 12",), ("x 5",), ("none",)], "t string")
+    assert t.select(largest_amount(F.col("t")).alias("l"), primary_charge(F.col("t")).alias("p")).collect() == [(250_000_000, 250_000_000), (5, 0), (0, 0)]
 
 
 def test_amount_match_prefers_near_fitting_and_early(spark):
