@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from saldo.session import checkpoint
 
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
+#: Stand before a passage and behind its level; in texts they count as blanks.
+CUT, LEVEL = "\u0002", "\u0003"
 
 
 def level(line: Column) -> Column:
@@ -26,22 +28,22 @@ def level(line: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[\x02\x03\s ]+", " "))
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """row, conv_id, turn, level, said (normalised passage or line), whole (is it the whole passage)."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r?\n")
     m = messages.select("row", "conv_id", "turn", F.transform(lines, lambda x: F.struct(level(x).alias("level"), normal(F.regexp_replace(x, MARKS, "")).alias("said"))).alias("l"))
-    # Passages: fold a message's lines, a new passage where the level changes or a line is blank.
-    none = F.array().cast("array<struct<level:int,said:string>>")
-
-    def step(acc, x):
-        more = (F.size(acc) > 0) & (x["said"] != "") & (F.coalesce(F.try_element_at(acc, F.lit(-1))["level"], F.lit(-1)) == x["level"]) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["said"], F.lit("")) != "")
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.try_element_at(acc, F.lit(-1))["said"], x["said"]).alias("said"))))
-        return F.when(more, joined).otherwise(F.concat(acc, F.array(x)))
-
-    m = m.withColumn("p", F.aggregate("l", none, step))
+    # Passages: a new one where the level changes or a line is blank. Marked in the lines, joined and split again, so the work follows the text's length.
+    def marked(x, i):
+        last = F.get(F.col("l"), i - 1)
+        more = (i > 0) & (x["said"] != "") & (last["said"] != "") & (last["level"] == x["level"])
+        return F.concat(F.when(more, F.lit(" ")).otherwise(F.concat(F.lit(CUT), x["level"].cast("string"), F.lit(LEVEL))), x["said"])
+
+    m = m.withColumn("j", F.slice(F.split(F.array_join(F.transform("l", marked), ""), CUT), 2, 1 << 30))
+    part = lambda x, k: F.get(F.split(x, LEVEL), F.lit(k))
+    m = m.withColumn("p", F.transform("j", lambda x: F.struct(part(x, 0).cast("int").alias("level"), part(x, 1).alias("said"))))
     tagged = lambda c, whole: F.transform(c, lambda x: F.struct(x["level"].alias("level"), x["said"].alias("said"), F.lit(whole).alias("whole")))
     return m.select("row", "conv_id", "turn", F.explode(F.concat(tagged("p", True), tagged("l", False))).alias("x")).select("row", "conv_id", "turn", "x.level", "x.said", "x.whole").where("said <> ''")
 

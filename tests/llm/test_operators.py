@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -236,6 +237,23 @@ def test_urls(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
+def test_passages_follow_levels_and_blanks(spark):
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["", "> ", ">> ", "> > "]) + rng.choice(["", "A b", "c\u0002d", "e"]) for _ in range(rng.randrange(9))) for _ in range(60)] + ["> x\n" * 30_000, "", None]
+    rows = spark.createDataFrame([(k, "c", k, t) for k, t in enumerate(texts)], "row long, conv_id string, turn long, text string")
+    want = Counter()
+    for k, t in enumerate(texts):
+        lines = [(len(m := re.match(r"(?:[ \t]*>)*", x).group()) - len(m.replace(">", "")), " ".join(re.sub(r"^(?:[ \t]*>)+[ \t]?", "", x).lower().replace("\u0002", " ").split())) for x in (t or "").split("\n")]
+        for whole, parts in ((False, [[x] for x in lines]), (True, [list(g) for _, g in itertools.groupby(enumerate(lines), lambda z: (z[1][0], z[1][1] == "") if z[1][1] else z[0])])):
+            for g in parts:
+                g = [x[1] if whole else x for x in g]
+                said = " ".join(x[1] for x in g)
+                if said:
+                    want[k, g[0][0], said, whole] += 1
+    got = Counter((r["row"], r["level"], r["said"], r["whole"]) for r in quotes.passages(rows).collect())
+    assert got == want
+
+
 def test_quotes(spark):
     rows = [
         ("c", 0, "user", "Hello   there\nsecond line"), ("c", 1, "assistant", "> hello there\n> second line\nMy answer"), ("c", 2, "user", ">> Hello there second line\n> my ANSWER\nThanks"),
