@@ -231,7 +231,11 @@ def j13(spark, sf):
     return p.groupBy("line_id", "domain").agg(F.count("*").alias("items"), F.sum("total").alias("amount"))
 
 
-@query("a11_running_subtotals")
+@query("a11_running_subtotals", f"""WITH RECURSIVE {NUMBERED}, l AS (SELECT account, pos, CAST(1 + total // 1000000 AS BIGINT) AS t, row_number() OVER (PARTITION BY account ORDER BY pos) AS k FROM items WHERE 1 + total // 1000000 > 0),
+  w AS (SELECT account, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(pos BIGINT, t BIGINT)[]) AS open, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS amount, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS first_pos FROM (SELECT DISTINCT account FROM l)
+  UNION ALL SELECT account, k, CASE WHEN n IS NULL THEN list_append(open, {{'pos': pos, 't': t}}) ELSE open[:len(open) - n] END, pos, t, n, open[len(open) - n + 1].pos FROM (
+    SELECT w.account, l.k, w.open, l.pos, l.t, list_filter(range(1, len(w.open) + 1), lambda m: abs(list_sum(list_transform(w.open[len(w.open) - m + 1:], lambda o: o.t)) - l.t) < 2)[1] AS n FROM w JOIN l ON l.account = w.account AND l.k = w.k + 1))
+  SELECT account, 'B_' || CAST(pos AS VARCHAR) AS item_id, amount, first_pos, pos AS closer_pos, n FROM w WHERE n > 1""")
 def a11(spark, sf):
     coarse = _bare(spark, sf).withColumns({"total": F.expr("1 + total div 1000000"), "item_id": F.concat(F.lit("B_"), F.col("pos").cast("string"))})
     return M.running_subtotals(coarse)
