@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from saldo.catalog.base import CHARGES, DESCRIBED, ITEMS, LINES
 from saldo.catalog.registry import query
 from saldo.catalog.reports import LINE_FINDS, LSUMS, line_findings
+from saldo.functions import lexicon as lx
 from saldo.operators import balance as B
 from saldo.operators import findings as FO
 from saldo.operators import reports as R
@@ -71,7 +72,24 @@ def a17(spark, sf):
     return B.net_families(net_findings(spark, sf)).select("account", "pos", "category", "amount")
 
 
-@query("a18_subsumption")
+_ROW = "STRUCT(id VARCHAR, category VARCHAR, amount BIGINT, macro BOOLEAN, generic BOOLEAN, ref VARCHAR, material BOOLEAN)"
+
+
+def _up(pattern: str) -> str:
+    return f"regexp_matches(upper(label), '{pattern}')"
+
+
+@query("a18_subsumption", f"""WITH RECURSIVE {ITEMS}, {NF}, d AS (SELECT *, {_up(lx.MACRO_FINDING)} AS macro FROM nf WHERE abs(amount) >= 1),
+  f AS (SELECT account, row_number() OVER (PARTITION BY account ORDER BY category <> 'A', macro, -abs(amount), pos) AS k, {_up(FO.GLOBAL_MACRO)} AS is_global, {_up(FO.MATERIAL_MACRO)} AS material_macro,
+    CAST({{'id': account || ':' || pos, 'category': category, 'amount': abs(amount), 'macro': macro, 'generic': {_up(FO.GENERIC_HOLDER)}, 'ref': 'PAM:' || label, 'material': {_up(FO.MATERIAL_ITEM)}}} AS {_ROW}) AS f FROM d),
+  w AS (SELECT account, CAST(0 AS BIGINT) AS k, CAST([] AS {_ROW}[]) AS kept FROM (SELECT DISTINCT account FROM f)
+  UNION ALL SELECT account, k, CASE WHEN twin IS NOT NULL THEN list_transform(kept, lambda o, i: CASE WHEN i = twin AND o.category = f.category AND NOT f.macro AND o.generic THEN f ELSE o END)
+      WHEN NOT f.macro OR over = 0 THEN list_append(kept, f) WHEN f.amount - over <= 500 THEN kept
+      ELSE list_append(kept, CAST({{'id': f.id, 'category': f.category, 'amount': f.amount - over, 'macro': f.macro, 'generic': f.generic, 'ref': f.ref, 'material': f.material}} AS {_ROW})) END FROM (
+    SELECT w.account, f.k, w.kept, f.f, list_filter(range(1, len(w.kept) + 1), lambda i: abs(w.kept[i].amount - f.f.amount) < 100)[1] AS twin,
+      CAST(coalesce(list_sum(list_transform(w.kept, lambda o: CASE WHEN f.is_global OR f.f.ref = o.ref OR (f.material_macro AND o.material) THEN o.amount ELSE 0 END)), 0) AS BIGINT) AS over
+    FROM w JOIN f ON f.account = w.account AND f.k = w.k + 1)),
+  e AS (SELECT account, unnest(max_by(kept, k)) AS o FROM w GROUP BY account) SELECT account, o.id AS finding_id, o.category AS category, o.amount AS amount, o.macro AS macro FROM e""")
 def a18(spark, sf):
     f = net_findings(spark, sf)
     return FO.subsume(f.withColumns({"finding_id": F.concat_ws(":", F.col("account").cast("string"), F.col("pos").cast("string")), "ref": F.concat(F.lit("PAM:"), "label")}))
