@@ -217,7 +217,11 @@ def j11b(spark, sf):
     return hit.groupBy("account", "line_id", "valor").agg(F.sum("total").alias("matched"), (F.count_distinct("pos") == F.count("*")).alias("once"))
 
 
-@query("j12_anchored_bundle")
+@query("j12_anchored_bundle", f"""WITH RECURSIVE {ITEMS}, {LINES_ONLY}, c AS (SELECT account, list({{'pos': pos, 'total': total, 'nd': {strict('description')}}} ORDER BY total DESC, pos) AS its FROM items WHERE {any_like(strict('description'), lx.BUNDLE_WORDS)} GROUP BY account),
+  w AS (SELECT account, 0 AS k, its, its[:0] AS chosen FROM c
+  UNION ALL SELECT account, k + 1, its, list_concat(chosen, list_filter(its, lambda x: contains(x.nd, {list(lx.BUNDLE_WORDS)}[k + 1]) AND NOT list_contains(list_transform(chosen, lambda a: a.pos), x.pos))[:1]) FROM w WHERE k < {len(lx.BUNDLE_WORDS)}),
+  b AS (SELECT account, CAST(len(chosen) AS INTEGER) AS n, CAST(list_sum(list_transform(chosen, lambda a: a.total)) AS BIGINT) AS sum FROM w WHERE k = {len(lx.BUNDLE_WORDS)})
+  SELECT account, line_id, valor, n, sum, valor - sum AS gap FROM lines JOIN b USING (account) WHERE code LIKE '320%'""")
 def j12(spark, sf):
     lines = star.settlement_lines(spark, sf).filter("code like '320%'")
     return M.anchored_bundle(lines, _items(spark, sf))
