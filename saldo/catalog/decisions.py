@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from saldo.catalog.base import ACCOUNTS, CHARGES, DESCRIBED, ITEMS, LINES, LINES_ONLY, RULES
 from saldo.catalog.registry import query
 from saldo.catalog.reports import LINE_FINDS, line_findings
+from saldo.functions import lexicon as lx
+from saldo.functions.text import any_of
 from saldo.operators import classify as K
 from saldo.operators import decisions as D
 from saldo.sources import star
@@ -160,6 +162,10 @@ def _food_lines(spark, sf):
     return l.withColumn("description", F.when(F.col("bonif") == 0, F.lit("PRESTACIONES SIN BONIFICACION")).otherwise(F.col("description")))
 
 
-@query("j31_nutrition_match")
+@query("j31_nutrition_match", f"""WITH RECURSIVE {ITEMS}, {LINES_ONLY}, r AS (SELECT account, line_id, copago AS valor, row_number() OVER (PARTITION BY account ORDER BY copago DESC, line_id DESC) AS r FROM lines WHERE bonif = 0 AND copago > 0), t AS (SELECT account, line_id, valor FROM r WHERE r = 1),
+  f AS (SELECT account, valor, pos, total, row_number() OVER (PARTITION BY account ORDER BY total DESC, pos) AS k FROM t JOIN items USING (account) WHERE total BETWEEN 1 AND valor AND regexp_matches(upper(description), '{any_of(lx.NUTRITION)}')),
+  w AS (SELECT account, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS sum, CAST([] AS BIGINT[]) AS picks FROM t UNION ALL SELECT w.account, f.k, w.sum + f.total, list_append(picks, f.k) FROM w JOIN f ON f.account = w.account AND f.k > w.k AND w.sum + f.total <= f.valor),
+  h AS (SELECT w.account, min(picks) AS picks FROM w JOIN t ON t.account = w.account AND w.sum = t.valor GROUP BY ALL), m AS (SELECT h.account, f.pos, f.total FROM h JOIN f ON f.account = h.account AND list_contains(picks, f.k))
+  SELECT t.account, line_id, valor, pos, total, pos IS NOT NULL AS matched FROM t LEFT JOIN m ON m.account = t.account""")
 def j31b(spark, sf):
     return D.nutrition_match(_food_lines(spark, sf), star.bill_items(spark, sf))

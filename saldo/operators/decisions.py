@@ -186,13 +186,15 @@ def nutrition_targets(lines: DataFrame) -> DataFrame:
 
 
 def nutrition_match(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Food items that add up to the nutrition charge of the account."""
+    """Food items that add up to the nutrition charge of the account; a charge without them is one row, not matched."""
     from saldo.functions import lexicon as lx
     from saldo.functions.text import any_of
     from saldo.operators import matching
 
     food = items.filter(F.upper("description").rlike(any_of(lx.NUTRITION)))
-    return matching.subset_match(nutrition_targets(lines), food, [-F.col("total"), F.col("pos")])
+    targets = nutrition_targets(lines)
+    hits = matching.subset_match(targets, food, [-F.col("total"), F.col("pos")]).select("account", "line_id", "pos", "total")
+    return targets.join(hits, ["account", "line_id"], "left").select("account", "line_id", "valor", "pos", "total", F.col("pos").isNotNull().alias("matched"))
 
 
 def precedent_stats(precedents: DataFrame) -> DataFrame:
