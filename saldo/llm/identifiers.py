@@ -2,8 +2,10 @@
 
 Fixed patterns (email, ip, card, phone) give the base spans, which are the seeds. Tokens with a digit or an at sign are instances; the
 word before and the word behind an instance are lexical patterns. Spark scores the graph of both in rounds: a pattern's score is the share of
-its occurrences whose instance is believed, an instance's score the mean over its occurrences of its patterns' scores; seeds stay
-at 1, and a pattern needs ``SUPPORT`` different seeds. Instances that reach ``LEVEL`` are new identifiers, marked wherever they stand.
+its occurrences whose instance is believed, an instance's score the mean over its occurrences; seeds stay at 1, and a pattern needs
+``SUPPORT`` different seeds. An occurrence has the score of the word before it, or the mean of both words if that is more: a word before
+is a cue whatever follows, a word behind is one alone only where no word stands before. Patterns that are not scored count 0.
+Instances that reach ``LEVEL`` are new identifiers, marked wherever they stand.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows that repeat a doc_id are judged apart.
 """
@@ -120,22 +122,32 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def discovered(rows: DataFrame, support: int = SUPPORT, level: float = LEVEL, rounds: int = ROUNDS) -> DataFrame:
     """token of every new identifier of ``scanned`` rows."""
-    at = rows.select(F.explode("found").alias("x")).select(F.col("x.token").alias("token"), F.col("x.known").alias("known"), F.explode(F.array(F.concat(F.lit("l:"), "x.l"), F.concat(F.lit("r:"), "x.r"))).alias("pattern"))
-    edges = checkpoint(at.groupBy("token", "pattern", "known").agg(F.count("*").alias("n")))
+    at = rows.select(F.explode("found").alias("x")).select("x.token", "x.known", F.concat(F.lit("l:"), "x.l").alias("l"), F.concat(F.lit("r:"), "x.r").alias("r"))
+    places = checkpoint(at.groupBy("token", "l", "r", "known").agg(F.count("*").alias("n")))
+    edges = places.select("token", "known", "n", F.explode(F.array("l", "r")).alias("pattern")).where(F.length("pattern") > 2)
+    edges = checkpoint(edges.groupBy("token", "pattern", "known").agg(F.sum("n").alias("n")))
     ready = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("known").cast("long")).alias("sure"))
-    ready = checkpoint(ready.where((F.col("seeds") >= support) & (F.length("pattern") > 2)))
+    ready = checkpoint(ready.where(F.col("seeds") >= support))
     score = ready.select("pattern", (F.col("sure") / F.col("all")).alias("score"))
     unknown = edges.where("NOT known")
     for k in range(rounds):
-        told = unknown.join(shipped(checkpoint(score), 120), "pattern", "left")
-        token = told.groupBy("token").agg((F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.sum("n")).alias("belief"))
-        token = checkpoint(token.where("belief > 0"))
+        token = checkpoint(beliefs(places.where("NOT known"), checkpoint(score)).where("belief > 0"))
         if k + 1 < rounds:
             more = unknown.join(token, "token").groupBy("pattern").agg(F.sum(F.col("n") * F.when(F.col("belief") >= level, F.col("belief")).otherwise(0.0)).alias("more"))
             score = ready.join(more, "pattern", "left").select("pattern", ((F.col("sure") + F.coalesce("more", F.lit(0.0))) / F.col("all")).alias("score"))
     return token.where(F.col("belief") >= level).select("token")
 
 
+def beliefs(places: DataFrame, score: DataFrame) -> DataFrame:
+    """token and belief: the mean over the token's ``places`` of what their patterns' scores say."""
+    told = places
+    for side in ("l", "r"):
+        told = told.join(shipped(score.select(F.col("pattern").alias(side), F.col("score").alias(f"{side}_score")), 120), side, "left")
+    left, right = F.coalesce("l_score", F.lit(0.0)), F.coalesce("r_score", F.lit(0.0))
+    best = F.when(F.col("l") == "l:", right).otherwise(F.greatest(left, (left + right) / 2))
+    return told.groupBy("token").agg(F.round(F.sum(F.col("n") * best) / F.sum("n"), 9).alias("belief"))
+
+
 def find(docs: DataFrame, support: int = SUPPORT, level: float = LEVEL, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base and spans (kind:start:end, comma-joined; base spans, then kind id by start) of every row."""
     rows = scanned(docs)

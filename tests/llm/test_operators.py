@@ -20,6 +20,7 @@ def prose(n, seed):
 
 
 SHARED = prose(60, 99)
+VARIED = ["".join(x) for x in itertools.product("bdf", "aei", "klm")]
 ROWS = [
     (1, prose(80, 1)), (2, prose(30, 2) + "\n" + SHARED + " " + prose(5, 3)), (3, SHARED), (4, None), (5, ""), (6, " \n\t "), (7, prose(80, 1)),
     (8, "one two"), (9, prose(40, 9) + " " + SHARED + " " + SHARED), (10, prose(20000, 10)), (11, prose(79, 1)), (12, "tick " * 500), (13, "one two"),
@@ -179,6 +180,13 @@ def test_identifiers(documents):
     assert identifiers.find(documents([])).count() == 0
 
 
+def test_identifiers_with_a_cue_on_one_side(documents):
+    rows = [(k, f"{VARIED[k]} call me at user{k}@mail{k}.org {VARIED[-k]} or") for k in range(20)] + [(100 + k, f"user{k}@site{k}.org is mine") for k in range(20)]
+    rows += [(50, "call me at KX-7731-B"), (51, "call me at QZ-12 sometime"), (52, "RT-99 is theirs"), (53, "version 4.0"), (54, "about 17 is")]
+    got = {r["doc_id"]: r["spans"] for r in identifiers.find(documents(rows)).collect() if r["doc_id"] in range(50, 60)}
+    assert got == {50: "id:11:20", 51: "id:11:16", 52: "id:0:5", 53: "", 54: ""}
+
+
 def test_language(documents):
     words = {"en": ["the", "and", "which", "through"], "de": ["der", "und", "schön", "nicht"], "xx": ["qzk", "zqx", "kkq"]}
     rows = [(k, " ".join(random.Random(k).choices(words[x], k=12 + k % 30)), x) for k in range(300) for x in [list(words)[k % 3]]]
