@@ -2,10 +2,11 @@
 
 Fixed patterns (email, ip, card, phone) give the base spans, which are the seeds. Tokens with a digit or an at sign are instances; the
 word before and the word behind an instance are lexical patterns. Spark scores the graph of both in rounds: a pattern's score is the share of
-its occurrences whose instance is believed, an instance's score the mean over its occurrences; seeds stay at 1, and a pattern needs
-``SUPPORT`` different seeds. An occurrence has the score of the word before it, or the mean of both words if that is more: a word before
+its occurrences whose instance is believed, an instance's score the mean over its occurrences; seeds stay believed, and a pattern needs
+``SUPPORT`` different believed instances. Instances that reach ``LEVEL`` are believed in the next round, and induce patterns as seeds do,
+until a round adds none. An occurrence has the score of the word before it, or the mean of both words if that is more: a word before
 is a cue whatever follows, a word behind is one alone only where no word stands before. Patterns that are not scored count 0.
-Instances that reach ``LEVEL`` are new identifiers, marked wherever they stand.
+What is believed at the end are new identifiers, marked wherever they stand.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows that repeat a doc_id are judged apart.
 """
@@ -22,7 +23,7 @@ from saldo.llm.common import BROADCAST_BYTES, bounded, shipped
 from saldo.session import checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, LEVEL, ROUNDS = 5, 0.6, 3
+SUPPORT, LEVEL = 5, 0.6
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: After the sign. Possessive where the next character cannot be given back.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -120,22 +121,25 @@ def scanned(docs: DataFrame) -> DataFrame:
     return checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def discovered(rows: DataFrame, support: int = SUPPORT, level: float = LEVEL, rounds: int = ROUNDS) -> DataFrame:
+def discovered(rows: DataFrame, support: int = SUPPORT, level: float = LEVEL) -> DataFrame:
     """token of every new identifier of ``scanned`` rows."""
     at = rows.select(F.explode("found").alias("x")).select("x.token", "x.known", F.concat(F.lit("l:"), "x.l").alias("l"), F.concat(F.lit("r:"), "x.r").alias("r"))
     places = checkpoint(at.groupBy("token", "l", "r", "known").agg(F.count("*").alias("n")))
     edges = places.select("token", "known", "n", F.explode(F.array("l", "r")).alias("pattern")).where(F.length("pattern") > 2)
     edges = checkpoint(edges.groupBy("token", "pattern", "known").agg(F.sum("n").alias("n")))
-    ready = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("known").cast("long")).alias("sure"))
-    ready = checkpoint(ready.where(F.col("seeds") >= support))
-    score = ready.select("pattern", (F.col("sure") / F.col("all")).alias("score"))
-    unknown = edges.where("NOT known")
-    for k in range(rounds):
-        token = checkpoint(beliefs(places.where("NOT known"), checkpoint(score)).where("belief > 0"))
-        if k + 1 < rounds:
-            more = unknown.join(token, "token").groupBy("pattern").agg(F.sum(F.col("n") * F.when(F.col("belief") >= level, F.col("belief")).otherwise(0.0)).alias("more"))
-            score = ready.join(more, "pattern", "left").select("pattern", ((F.col("sure") + F.coalesce("more", F.lit(0.0))) / F.col("all")).alias("score"))
-    return token.where(F.col("belief") >= level).select("token")
+    base = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("long")).alias("seeds"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("known").cast("long")).alias("sure"))
+    base, edges, places = checkpoint(base), edges.where("NOT known"), places.where("NOT known")
+    found, size = base.select(F.lit("").alias("token")).limit(0), 0
+    while True:
+        more = edges.join(shipped(found, 80), "token").groupBy("pattern").agg(F.count("*").alias("new"), F.sum("n").alias("more"))
+        both = base.where("seeds > 0").join(more, "pattern", "left") if not size else base.join(more, "pattern", "left")
+        score = both.where(F.col("seeds") + F.coalesce("new", F.lit(0)) >= support)
+        score = checkpoint(score.select("pattern", ((F.col("sure") + F.coalesce("more", F.lit(0))) / F.col("all")).alias("score")))
+        # A larger set never lowers a score, so the set only grows and ends.
+        found = checkpoint(beliefs(places, score).where(F.col("belief") >= level).select("token"))
+        before, size = size, found.count()
+        if size == before:
+            return found
 
 
 def beliefs(places: DataFrame, score: DataFrame) -> DataFrame:
@@ -148,10 +152,10 @@ def beliefs(places: DataFrame, score: DataFrame) -> DataFrame:
     return told.groupBy("token").agg(F.round(F.sum(F.col("n") * best) / F.sum("n"), 9).alias("belief"))
 
 
-def find(docs: DataFrame, support: int = SUPPORT, level: float = LEVEL, rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT, level: float = LEVEL) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base and spans (kind:start:end, comma-joined; base spans, then kind id by start) of every row."""
     rows = scanned(docs)
-    new = shipped(checkpoint(discovered(rows, support, level, rounds)), 80)
+    new = shipped(checkpoint(discovered(rows, support, level)), 80)
     at = rows.select("row", F.explode("found").alias("x")).where("NOT x.known").select("row", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.token").alias("token"))
     # The spans of one text, bounded by its length.
     at = at.join(new, "token").groupBy(F.col("row").alias("_r")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("ids"))

@@ -187,6 +187,14 @@ def test_identifiers_with_a_cue_on_one_side(documents):
     assert got == {50: "id:11:20", 51: "id:11:16", 52: "id:0:5", 53: "", 54: ""}
 
 
+def test_identifiers_induce_new_cues(documents):
+    rows = [(k, f"call me at user{k}@mail{k}.org") for k in range(260)]
+    rows += [(1000 + k, f"call me at KX-{k % 6}") for k in range(72)] + [(1100 + k, f"badge KX-{k % 6}") for k in range(18)]
+    rows += [(1200 + k, f"badge AB-{k} desk") for k in range(6)] + [(1300, "CD-2 desk"), (1301, "page 7")]
+    got = {r["doc_id"]: r["spans"] for r in identifiers.find(documents(rows)).collect() if r["doc_id"] >= 1000}
+    assert got.pop(1301) == "" and got.pop(1300) == "id:0:4" and got[1200] == "id:6:10" and all(got.values())
+
+
 def test_language(documents):
     words = {"en": ["the", "and", "which", "through"], "de": ["der", "und", "schön", "nicht"], "xx": ["qzk", "zqx", "kkq"]}
     rows = [(k, " ".join(random.Random(k).choices(words[x], k=12 + k % 30)), x) for k in range(300) for x in [list(words)[k % 3]]]
