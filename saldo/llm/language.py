@@ -2,8 +2,9 @@
 
 A text is the TF-IDF vector of its hashed byte 2- and 3-grams, normalised. Document frequencies are counted over all training rows. Each language
 has several centroids, found by spherical k-means on a sample of about ``SAMPLE`` of its training rows, drawn by a hash of the id. A text gets the
-language of the centroid with the largest cosine. It is rejected if it has no letter, or if the cosine lies under ``SLACK`` times the smallest
-that the language's sample rows of about the same length (else the next shorter one) have: too far from everything that was learned.
+language of the centroid with the largest cosine. It is rejected if it has no letter, or if the cosine lies under ``SLACK`` times the low
+quantile ``LOW`` of the language's sample rows of about the same length (else the next shorter one): too far from everything that was
+learned. For that a sample row is held against centroids fitted without it (``FOLDS``), and lengths are pooled to ``POOL`` rows.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if nothing could be learned. Null languages are not
 learned. A null doc_id is not held out. Ties go to the language first in order. Other columns are ignored.
@@ -12,6 +13,7 @@ learned. A null doc_id is not held out. Ties go to the language first in order.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from saldo.session import checkpoint
 
 #: Buckets of hashed grams; centroids of a language; rows of a language's sample, about; languages at most.
 BUCKETS, CENTROIDS, SAMPLE, LANGUAGES = 4096, 4, 1000, 1000
-SLACK = 0.5
+SLACK, LOW, FOLDS, POOL = 0.5, 0.01, 5, 50
 #: Letters lower-cased, other ASCII as one blank.
 CHARS = np.arange(256, dtype=np.uint8)
 CHARS[65:91] += 32
@@ -115,6 +117,27 @@ def fitted(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def unseen(x: np.ndarray, k: int) -> np.ndarray:
+    """Cosine of each row with centroids fitted on the other folds; equal rows share a fold. NaN if there are no others."""
+    fold, out = np.array([zlib.crc32(y.tobytes()) % FOLDS for y in x]), np.full(len(x), np.nan)
+    for f in np.unique(fold):
+        if (fold != f).any():
+            out[fold == f] = (x[fold == f] @ fitted(x[fold != f], k).T).max(axis=1)
+    return out
+
+
+def bounds(cosine: np.ndarray, size: np.ndarray) -> list[tuple[int, float]]:
+    """Low quantile of the cosines at each length, of neighbouring lengths pooled from the shortest; what is left joins the last pool."""
+    cosine, size = cosine[~np.isnan(cosine)], size[~np.isnan(cosine)]
+    pools, n = [[]], 0
+    for s in np.unique(size):
+        if n >= POOL and (size >= s).sum() >= POOL:
+            pools, n = [*pools, []], 0
+        pools[-1].append(int(s))
+        n += int((size == s).sum())
+    return [(s, float(np.quantile(cosine[np.isin(size, p)], LOW))) for p in pools for s in p]
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, buckets: int = BUCKETS, slack: float = SLACK) -> Model:
     """Fit a model on the training rows of ``docs``."""
     rows = training(docs)
@@ -153,9 +176,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, buc
         order = np.lexsort(x[:, :8].T)  # the same centroids whatever order rows come in
         x = x[order]
         c = fitted(x, centroids)
-        cosine, of = (x @ c.T).max(axis=1), length_class(t.column("size").to_numpy())[order]
+        least = bounds(unseen(x, centroids), length_class(t.column("size").to_numpy())[order])
         lang = t.column("lang")[0].as_py()
-        rows = [(lang, j, 0.0, y.astype(np.float32).tobytes()) for j, y in enumerate(c)] + [(lang, -1 - int(s), slack * float(cosine[of == s].min()), None) for s in np.unique(of)]
+        rows = [(lang, j, 0.0, y.astype(np.float32).tobytes()) for j, y in enumerate(c)] + [(lang, -1 - s, slack * y, None) for s, y in least]
         return pa.Table.from_arrays([pa.array(y) for y in zip(*rows)], names=["lang", "no", "least", "c"])
 
     found = bounded(drawn.select("lang", "text"), 500).mapInArrow(vectored, "lang string, size long, v binary")

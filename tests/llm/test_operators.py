@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from saldo.llm import apportion, identifiers, language, positional, quality, quotes, simhash, substrings, urls, warc
@@ -208,6 +209,20 @@ def test_language(documents):
     assert {r["lang_pred"] for r in language.identify(documents([(1, "text", None)])).collect()} == {"und"}
 
 
+def test_language_keeps_clean_texts_outside_the_sample(documents):
+    pools = {x: [f"{a}{b}{x}{c}" for a in "bcdfgh" for b in y for c in "klmnprst"] for x, y in {"en": "aeo", "de": "iuy"}.items()}
+    rows = []
+    for k in range(1200):
+        r, x = random.Random(k), ["en", "de"][k % 2]
+        rows.append((k, " ".join(r.choices(pools[x], k=2 if r.random() < 0.08 else 40)), x))
+    docs = documents(rows)
+    for sample in (40, 60):
+        model = language.learn(docs, sample=sample)
+        got = docs.select("doc_id", language.predicted(model, docs["text"]).alias("p")).where("p.rejected").count()
+        assert got <= 2
+    assert model.predict(pa.array(["日本語 " * 40]))[2][0]
+
+
 def test_quality(documents, spark):
     rows = [(k, prose(60 + k % 9, k) if k < 1500 else prose(60, k) + " ###" * 40) for k in range(1600)] + [(2000, None), (2001, "a\na\n\nb\na b a b a b"), (2002, "x y z " * 40)]
     labels = spark.createDataFrame([(k, int(k < 1500), 0) for k in range(1600)] + [(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
