@@ -1,8 +1,8 @@
 """The training-data pipeline: documents through five stages, each written as Parquet and read again.
 
 1. language: documents whose language is rejected go.
-2. near_duplicates: of each group linked by SimHash the smallest doc_id stays (of repeated rows with that id, all).
-3. decontamination: documents that hold a benchmark window go.
+2. near_duplicates: of each group linked by SimHash one row stays, the least by doc_id (null last) and a hash of the text.
+3. decontamination: documents that hold a benchmark window go; other texts under the same doc_id stay.
 4. personal_data: personal data and discovered identifiers become placeholders.
 5. mix: documents with the words that the mix takes of them; those of which it takes none go.
 
@@ -21,10 +21,15 @@ from saldo.llm.common import bounded, read
 from saldo.session import checkpoint, shared_folder
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``; a null doc_id matches a null."""
-    out = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """text, and as doc_id what tells rows apart: the id (null last) and a hash of the text."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of")).alias("doc_id"), "text")
+
+
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with doc_ids of ``keyed``; a null id matches a null."""
+    out = keys.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.of").alias("_of"))
+    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_of")), how)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +39,17 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    groups = simhash.near_duplicates(keyed(docs))
+    rows = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    odd = checkpoint(rows.where("n > 1 OR NOT stays"))
+    # Of rows with the same doc_id and text, the least by their other columns.
+    again = matched(docs, odd.where("stays"), "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return matched(docs, odd, "left_anti").unionByName(again.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = positional.phrase_matches(positional.Index(docs, read(spark, sf_dir, "benchmark"), 10))
-    return without(docs, checkpoint(found.select("doc_id").distinct()))
+    found = positional.phrase_matches(positional.Index(keyed(docs), read(spark, sf_dir, "benchmark"), 10))
+    return matched(docs, checkpoint(found.select("doc_id").distinct()), "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

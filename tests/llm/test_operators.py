@@ -319,3 +319,17 @@ def test_pipeline_stages(documents, spark, tmp_path):
             assert "[EMAIL] now" in docs.where("doc_id = 102").first()["text"]
     assert docs.where("taken <= 0").count() == 0 and docs.count() > 30
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_removes_rows_not_ids(documents, spark, tmp_path):
+    import corpus_pipeline
+
+    window = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, window)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, prose(120, k)) for k in range(10)] + [(7, prose(120, 20)), (7, prose(120, 21)), (9, prose(120, 22)), (9, prose(120, 23))]
+    bad = [(None, prose(120, 30) + " " + window), (7, prose(120, 31) + " " + window)]
+    got = corpus_pipeline.drop_contaminated(spark, documents(rows + bad), str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(rows)
+    copies = [(None, prose(120, 22)), (11, prose(120, 22)), (7, prose(120, 20)), (9, prose(120, 20)), (None, prose(120, 3)), (9, prose(120, 21) + " ")]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, documents(rows + copies), str(tmp_path))
+    assert got.columns == documents([]).columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(rows)
