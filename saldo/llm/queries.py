@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import apportion, identifiers, language, positional, quality, quotes, simhash, substrings, urls, warc
+from saldo.llm import apportion, density, identifiers, language, positional, quality, quotes, runs, simhash, substrings, urls, variants, warc
 from saldo.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,105 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def slipped(doc_id, run: str) -> str:
+    """A run of letters, less one letter where 97 divides the checksum of its document and itself. A null doc_id counts as no digits."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    if h % 97:
+        return run
+    k = h % len(run)
+    return run[:k] + run[k + 1 :]
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.counted(read(spark, sf_dir, "documents"), change=slipped))
+
+
+#: CRC-32 of a text ``s``, by the one list ``t`` of ``crc``.
+CRC_TABLE = """crc AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce([k::BIGINT] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+      FROM (SELECT unnest(range(256)) AS k)))"""
+CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode(s))), lambda i: (instr('0123456789ABCDEF', substr(hex(encode(s)), (2 * i + 1)::INT, 1)) - 1) * 16
+      + instr('0123456789ABCDEF', substr(hex(encode(s)), (2 * i + 2)::INT, 1)) - 1), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"""
+
+SQL["op11_spelling_variants"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w
+      FROM documents) GROUP BY ALL),
+h AS (SELECT w, n, {CRC} AS h FROM (SELECT w, n, coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM r), crc),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM d GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT word, n, left(word, i - 1) || '_' || substr(word, i + 1) AS k FROM k),
+l AS (SELECT word, n, left(word, i - 1) || substr(word, i + 1) AS k FROM k),
+p AS (SELECT DISTINCT a.word AS a, b.word AS b FROM g a JOIN g b ON a.k = b.k AND a.word <> b.word),
+e AS (SELECT DISTINCT l.word AS a, v.word AS b FROM l JOIN v ON v.word = l.k),
+near AS (SELECT a, b FROM p UNION SELECT a, b FROM e UNION SELECT b, a FROM e),
+best AS (SELECT a, count(*) AS n_near, arg_min(b, (-v.n, b)) AS b, max(v.n) AS m FROM near JOIN v ON v.word = near.b GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN b END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON best.a = v.word),
+up AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL),
+z AS (SELECT up.word, up.at AS root FROM up JOIN f ON f.word = up.at WHERE f.form IS NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, coalesce(z.root, f.word) AS root FROM f LEFT JOIN z ON z.word = f.word
+"""
+
+
+def looped(doc_id, text: str | None) -> list[bytes]:
+    """Words of a text; those of one document in ten repeat from some word on. A text without doc_id stays as it is."""
+    words = runs.split(doc_id, text)
+    g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if doc_id is None or tenth or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic(read(spark, sf_dir, "documents"), read=looped)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    milli = F.expr("1000 * top.length div top.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli,
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+SQL["op12_periodic_runs"] = rf"""
+WITH {CRC_TABLE},
+w0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC} AS h
+       FROM (SELECT doc_id, text, coalesce(doc_id::VARCHAR, '') AS s FROM documents), crc),
+w1 AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 AND doc_id IS NOT NULL THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM w0),
+w AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE w[1:a] || list_transform(range(len(w) - a), lambda k: w[(a + k % (1 + (len(w) - a) // (3 + g % 8)) + 1)::BIGINT]) END AS w FROM w1),
+t AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS t, len(w) AS n FROM w WHERE len(w) >= 24),
+-- Every nine words of a run stand once more in it, a period away: these distances are the periods to try.
+k AS (SELECT doc_id, i, n, hash(array_agg(t) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)) AS nine FROM t QUALIFY i + 9 <= n),
+s AS (SELECT DISTINCT doc_id, j - i AS q FROM (SELECT doc_id, n, i, lead(i) OVER (PARTITION BY doc_id, nine ORDER BY i) AS j FROM k) WHERE (j - i) * 3 <= n),
+e AS (SELECT s.doc_id, s.q, a.i FROM s JOIN t a ON a.doc_id = s.doc_id JOIN t b ON b.doc_id = s.doc_id AND b.i = a.i + s.q AND b.t = a.t),
+o AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM e) GROUP BY doc_id, q, g
+      HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.doc_id = o.doc_id AND x.q < o.q AND x.start <= o.start AND x.start + x.length >= o.start + o.length)),
+c AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q)) AS runs FROM r GROUP BY 1),
+m AS (SELECT doc_id, start, length, q AS period FROM r
+      WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.doc_id = r.doc_id AND (x.length * r.q > r.length * x.q OR (x.length * r.q = r.length * x.q AND (x.start, x.q) < (r.start, r.q))))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+kept AS (SELECT t.doc_id, sha256(string_agg(t.t, ' ' ORDER BY t.i)) AS kept FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, m.start, m.length::BIGINT AS length, m.period, (1000 * m.length // m.period)::BIGINT AS exponent_milli,
+       coalesce(c.runs, sha256('')) AS runs_sha256, coalesce(kept.kept, sha256(array_to_string(w.w, ' '))) AS collapsed_sha256
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+
+@query
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.extracted(read(spark, sf_dir, "pages"))
+
+
+#: On these pages one article element holds the main text.
+SQL["op13_main_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|em|strong|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(h, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
