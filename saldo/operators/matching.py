@@ -9,11 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from saldo.functions import lexicon as lx
 from saldo.functions.rules import first_match
@@ -21,6 +18,7 @@ from saldo.functions.text import contains_any, normalize_strict
 from saldo.operators import classify as K
 from saldo.operators import sequence
 from saldo.operators.containment import contained
+from saldo.operators.subsets import subset_match, subset_of  # noqa: F401
 from saldo.session import checkpoint
 
 # -- preparation --------------------------------------------------------------
@@ -284,78 +282,6 @@ def pair_match(lines: DataFrame, pool: DataFrame) -> DataFrame:
     return lines.select("account", "line_id", "valor").join(best, ["account", "valor"]).select("account", "line_id", "valor", "b.pos_a", "b.pos_b")
 
 
-def _first_subset(values: np.ndarray, target: int) -> list[int]:
-    """Indexes of the subset reached first when items are added in order; empty when there is none.
-
-    Each item adds the sums it reaches first, so a sum is stored once, with its item's layer: eight bytes a different
-    sum. Sums above the target, and sums that the items still to come cannot raise to it, are left out.
-    """
-    values = np.asarray(values, dtype=np.int64)
-    if target <= 0 or not len(values):
-        return []
-    unit = int(np.gcd.reduce(values))
-    if target % unit:
-        return []
-    values, target = values // unit, target // unit
-    rest = np.cumsum(values[::-1])[::-1]
-    sums, layers = np.zeros(1, np.int64), []
-    for i, v in enumerate(values.tolist()):
-        sums = sums[np.searchsorted(sums, target - rest[i]) :]
-        if not len(sums):
-            return []
-        new = sums[: np.searchsorted(sums, target - v, side="right")] + v
-        new = new[sums[np.searchsorted(sums[:-1], new)] != new]
-        layers.append(new)
-        if len(new) and new[-1] == target:
-            return _members(values, layers, target)
-        sums = np.sort(np.concatenate([sums, new]), kind="stable")
-    return []
-
-
-def _members(values: np.ndarray, layers: list[np.ndarray], target: int) -> list[int]:
-    """Items of the sum that the last layer reached: each sum goes back to the layer that stored it."""
-    out, s = [], target
-    for i in range(len(layers) - 1, -1, -1):
-        k = np.searchsorted(layers[i], s)
-        if k < len(layers[i]) and layers[i][k] == s:
-            out.append(i)
-            s -= int(values[i])
-            if s == 0:
-                break
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def subset_indexes(values: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([_first_subset(np.asarray(v, dtype=np.int64), int(t)) for v, t in zip(values, target)])
-
-
-def subset_of(candidates: DataFrame, order: list[Column]) -> DataFrame:
-    """Subset of each line's candidates, in order, that adds up to the line. One row per line and member.
-
-    candidates: account, line_id, valor, pos, total. Of equal amounts only so many copies as fit into the line are looked
-    at, the first in order: further ones reach no sum that the earlier ones do not.
-    """
-    c = candidates.filter("valor > 0 and total > 0 and total <= valor")
-    nth = F.row_number().over(Window.partitionBy("account", "line_id", "total").orderBy(*order))
-    c = c.repartition("account", "line_id").withColumn("_nth", nth).filter(F.col("_nth") * F.col("total") <= F.col("valor"))
-    keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
-    g = c.groupBy("account", "line_id", "valor").agg(
-        F.sort_array(F.collect_list(F.struct(*keys, "pos", "total"))).alias("c"), F.sum("total").alias("_all"))
-    hit = g.filter("_all >= valor").withColumn("i", subset_indexes(F.col("c.total"), F.col("valor"))).filter(F.size("i") > 0)
-    return hit.select("account", "line_id", "valor", F.explode("i").alias("i"), "c").select(
-        "account", "line_id", "valor", F.element_at("c", F.col("i") + 1)["pos"].alias("pos"), F.element_at("c", F.col("i") + 1)["total"].alias("total"))
-
-
-def subset_match(lines: DataFrame, pool: DataFrame, order: list[Column]) -> DataFrame:
-    """Subset of the ordered pool items that adds up to the line. One row per line and member.
-
-    ``order`` are ascending expressions; the search sees all items of the account that are not above the line.
-    """
-    target = lines.filter("valor > 0").select("account", "line_id", "valor")
-    return subset_of(target.join(pool.select("account", "pos", "total"), "account"), order)
-
-
 def anchored_bundle(lines: DataFrame, pool: DataFrame) -> DataFrame:
     """Largest item per bundle word (an item serves one word); what the bundle leaves open of the line."""
     d = normalize_strict(F.col("description"))

@@ -14,7 +14,7 @@ from saldo.operators import episodes as E
 from saldo.operators import findings as FO
 from saldo.operators import layout as L
 from saldo.operators import matching as M
-from saldo.operators import ranges, sequence, spatial
+from saldo.operators import ranges, sequence, spatial, subsets
 from saldo.plans import matcher
 
 
@@ -102,7 +102,7 @@ def test_subset_indexes():
         sums = {0}
         for x in v.tolist():
             sums |= {s + x for s in sums}
-        i = M._first_subset(v, t)
+        i = subsets.first_subset(v, t)
         assert bool(i) == (t in sums and t > 0)
         if i:
             assert len(set(i)) == len(i) and int(v[i].sum()) == t
