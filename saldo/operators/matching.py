@@ -7,8 +7,10 @@ it meets the lines, so repeated amounts or texts never multiply.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,31 +320,65 @@ def pool_for(lines: DataFrame, items: DataFrame) -> DataFrame:
 
 # -- running subtotals ----------------------------------------------------------
 
-def running_subtotals(items: DataFrame, tolerance: int = 2) -> DataFrame:
-    """Items that equal the sum of the open items just before them and close them.
+def closed_items(items: DataFrame, tolerance: int = 2, rows: int = sequence.CHUNK) -> DataFrame:
+    """account, pos, closer_pos: the items that each closing item takes.
 
-    A closing item takes the shortest run of open items that adds up to it; those items are no longer
-    open and the closing item never is. Each round settles the first closing item of every account that
-    still has one, found through sums as in contiguous_match; accounts without one drop out.
+    In order, an item equal to the sum of the open items just before it (the fewest that add up to it) closes them: they
+    are no longer open, and it never is. Accounts are cut into chunks of ``rows`` items; a round runs the next chunk of every
+    account on top of the open items it can reach, so there are as many rounds as chunks in the longest account.
     """
-    left = checkpoint(items.filter("total > 0").select("account", "pos", "item_id", "total"))
-    done = None
-    while True:
-        p = sequence.carry(left, ["account"], ["pos"], sequence.by_pos(), sums={"rank": F.lit(1).cast("long"), "upto": F.col("total")})
-        p = p.withColumn("before", F.col("upto") - F.col("total"))
-        wants = p.select("account", F.col("rank").alias("closer"), F.col("pos").alias("closer_pos"), F.col("item_id"), "total",
-                         F.explode(F.array(*[F.col("before") - F.col("total") + d for d in range(1 - tolerance, tolerance)])).alias("before"))
-        runs = wants.join(p.select("account", "before", F.col("rank").alias("first"), F.col("pos").alias("first_pos")), ["account", "before"]).filter("first < closer")
-        first = runs.groupBy("account").agg(F.min(F.struct(F.col("closer"), (-F.col("first")).alias("f"), "first_pos", "closer_pos", "item_id", "total")).alias("b"))
-        step = checkpoint(first.select("account", "b.item_id", F.col("b.total").alias("amount"), "b.first_pos", "b.closer_pos",
-                                       (F.col("b.closer") + F.col("b.f")).alias("n")))
-        if step.isEmpty():
-            break
-        done = step if done is None else done.unionByName(step)
-        open_ = left.join(step.select("account", "first_pos", "closer_pos"), "account").filter("pos < first_pos or pos > closer_pos")
-        left = checkpoint(open_.select("account", "pos", "item_id", "total"))
-    out = step if done is None else done
-    return out.filter("n > 1")
+    left = items.filter("total > 0").select("account", "pos", "total")
+    ranked = checkpoint(sequence.number(left, ["account"], ["pos"], sequence.by_pos(), name="_n").withColumn("_k", F.floor((F.col("_n") - 1) / rows)))
+    last = ranked.agg(F.max("_k")).first()[0]
+    closed = below = None
+    for k in range((last if last is not None else -1) + 1):
+        chunk = ranked.filter(F.col("_k") == k).select("account", "pos", "total")
+        runs = chunk.withColumn("fresh", F.lit(True))
+        if below is not None:
+            reach = chunk.groupBy("account").agg(F.max("total").alias("_most"))
+            above = sequence.carry(below.withColumn("_back", -F.col("pos")), ["account"], ["_back"], F.floor(F.col("_back") / rows).cast("long"), sums={"_sum": F.col("total")})
+            near = above.join(reach, "account").filter(F.col("_sum") < F.col("_most") + tolerance)
+            runs = runs.unionByName(near.select("account", "pos", "total", F.lit(False).alias("fresh")))
+        done = checkpoint(_close(runs.repartition("account").sortWithinPartitions("account", "pos"), tolerance))
+        closed = done if closed is None else closed.unionByName(done)
+        if k < last:
+            gone = done.select("account", "pos").union(done.select("account", "closer_pos")).distinct()
+            open_ = chunk if below is None else below.unionByName(chunk)
+            below = checkpoint(open_.join(gone, ["account", "pos"], "left_anti").join(ranked.filter(F.col("_k") > k).select("account").distinct(), "account", "left_semi"))
+    return left.select("account", "pos", F.col("pos").alias("closer_pos")).limit(0) if closed is None else closed
+
+
+def _close(runs: DataFrame, tolerance: int) -> DataFrame:
+    """Stack of open items along account and position; rows that are not ``fresh`` lie open from the start."""
+
+    def run(batches):
+        account, stack, sums = None, [], [0]
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for a, p, v, fresh in zip(*(c.to_pylist() for c in b.columns)):
+                if a != account:
+                    account, stack, sums = a, [], [0]
+                # sums[j] is what lies below item j: the fewest items are the greatest j.
+                j = bisect_right(sums, sums[-1] - v + tolerance - 1, 0, len(stack)) - 1 if fresh else -1
+                if j >= 0 and sums[-1] - sums[j] < v + tolerance:
+                    out[0] += [a] * (len(stack) - j)
+                    out[1] += stack[j:]
+                    out[2] += [p] * (len(stack) - j)
+                    del stack[j:], sums[j + 1 :]
+                else:
+                    stack.append(p)
+                    sums.append(sums[-1] + v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, (b.schema.field(0), b.schema.field(1), b.schema.field(1)))], names=["account", "pos", "closer_pos"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    return runs.select("account", "pos", "total", "fresh").mapInArrow(run, f"account {kinds['account']}, pos {kinds['pos']}, closer_pos {kinds['pos']}")
+
+
+def running_subtotals(items: DataFrame, tolerance: int = 2) -> DataFrame:
+    """Items that equal the sum of the (two or more) open items just before them and close them."""
+    g = closed_items(items, tolerance).groupBy("account", "closer_pos").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos")).filter("n > 1")
+    closers = items.select("account", F.col("pos").alias("closer_pos"), "item_id", F.col("total").alias("amount"))
+    return g.join(closers, ["account", "closer_pos"]).select("account", "item_id", "amount", "first_pos", "closer_pos", "n")
 
 
 # -- trace ----------------------------------------------------------------------

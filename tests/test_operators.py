@@ -92,6 +92,30 @@ def test_running_subtotals(spark):
     assert rows(got, "account", "closer_pos", "n") == sorted(want)
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 700, 8192])
+def test_running_subtotals_of_a_long_account(spark, chunk):
+    """Five thousand rows (fewer where chunks are tiny) with nested subtotals: every chunk size closes what one stack closes."""
+    rnd, rows_ = random.Random(chunk), []
+    size = 60 if chunk < 100 else 5000
+    while len(rows_) < size:
+        part = [rnd.randint(1, 60) for _ in range(rnd.randint(1, 40))]
+        rows_ += [*part, sum(part) + rnd.choice([0, 1, -1, 2])] + ([sum(part)] if rnd.random() < 0.3 else [])
+    stack, want = [], []
+    for p, v in enumerate(rows_):
+        total = 0
+        for j in range(len(stack) - 1, -1, -1):
+            total += stack[j][1]
+            if abs(total - v) < 2:
+                want += [(q, p) for q, _ in stack[j:]]
+                del stack[j:]
+                break
+        else:
+            stack.append((p, v))
+    data = spark.createDataFrame([("a", p, v) for p, v in enumerate(rows_)] + [("b", 1, 5), ("b", 2, 5), ("c", 9, 0)], "account string, pos long, total long")
+    got = M.closed_items(data, rows=chunk)
+    assert rows(got, "account", "pos", "closer_pos") == sorted([("a", *x) for x in want] + [("b", 1, 2)])
+
+
 def test_subset_indexes():
     import numpy as np
 
