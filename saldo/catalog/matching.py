@@ -227,6 +227,45 @@ def j12(spark, sf):
     return M.anchored_bundle(lines, _items(spark, sf))
 
 
+def _units(spark, sf):
+    """Items; those of two units have a unit price."""
+    return _items(spark, sf).withColumn("unit_price", F.when(F.col("qty") == 2, F.expr("total div 2")))
+
+
+COMBINED = f"""{BOTH}, u AS (SELECT account, pos, unnest(range(1, m + 1)) AS unit, total // m AS total, description, nd, ns, {DRUG_SQL} AS drug, {SUPPLY_SQL} AS supply FROM (SELECT *, {ND} AS nd, {NS} AS ns, CASE WHEN qty = 2 AND total >= 2 THEN 2 ELSE 1 END AS m FROM items)),
+  o AS (SELECT line_id, valor, cand, pos, unit, u.total, nd, ns, row_number() OVER (PARTITION BY line_id, cand ORDER BY CASE cand WHEN 1 THEN ns ELSE '' END, CASE cand WHEN 2 THEN -u.total ELSE 0 END, pos, unit) - 1 AS i
+    FROM lines l JOIN u ON u.account = l.account, (VALUES (0), (1), (2)) v(cand) WHERE u.total > 0 AND u.total <= valor AND (code NOT LIKE '320%' OR NOT (drug OR supply))),
+  li AS (SELECT line_id, cand, valor, list(total ORDER BY i) AS ts FROM o GROUP BY ALL HAVING sum(total) >= valor),
+  mk AS (SELECT line_id, cand, list_filter(range(1, 1 << len(ts)), lambda m: list_sum(list_transform(range(len(ts)), lambda k: CASE WHEN (m >> k) & 1 = 1 THEN ts[k + 1] ELSE 0 END)) = valor)[1] AS m FROM li),
+  mem AS (SELECT o.*, pos - row_number() OVER (PARTITION BY line_id, cand ORDER BY pos) AS isl FROM o JOIN mk USING (line_id, cand) WHERE (m >> i) & 1 = 1),
+  ru AS (SELECT line_id, cand, max(n) AS run FROM (SELECT line_id, cand, isl, count(*) AS n FROM mem GROUP BY ALL) GROUP BY ALL),
+  fa AS (SELECT line_id, cand, count(*) AS size, count(DISTINCT ns) AS sections, bool_or(regexp_matches(ns, 'pabellon|quirurgico')) AS pav, count(*) FILTER (WHERE {any_like('nd', COMFORT)}) AS cf, count(*) FILTER (WHERE {any_like('nd', lx.CLINICAL_WORDS)}) AS cl, sum(total) AS s FROM mem GROUP BY ALL),
+  sc AS (SELECT fa.line_id, cand, size, CAST(CASE WHEN run > 1 THEN run * 5 ELSE 0 END + CASE WHEN run = size THEN 10 ELSE 0 END + CASE WHEN code NOT LIKE '310%' THEN CASE WHEN sections = 1 THEN 50 ELSE -(sections - 1) * 15 END ELSE 0 END
+   - CASE WHEN regexp_matches({strict('description')}, 'dia cama|hospitalizacion') AND pav AND code NOT LIKE '310%' THEN 80 ELSE 0 END - CASE WHEN size > 8 THEN (size - 8) * 2 ELSE 0 END + CASE WHEN code IN ('3201001', '3201002') AND cf * 2 >= size THEN 30 ELSE 0 END
+   + CASE WHEN code LIKE '310%' AND least(abs(s - copago), abs(s - bonif), abs(s - copago - bonif)) < 2 THEN 40 ELSE 0 END - CASE WHEN code LIKE '320%' THEN cl * 50 ELSE 0 END AS BIGINT) AS score FROM fa JOIN ru USING (line_id, cand) JOIN lines l USING (line_id)),
+  be AS (SELECT line_id, cand, score FROM sc QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY score DESC, cand) = 1)"""
+
+
+@query("j11_best_combination", f"""WITH {COMBINED} SELECT line_id, cand, score, CASE WHEN score < 20 THEN 'AMBIGUOUS' ELSE 'PARTIAL' END AS status, pos, total FROM mem JOIN be USING (line_id, cand)""")
+def j11c(spark, sf):
+    return M.combination_match(star.settlement_lines(spark, sf), _units(spark, sf)).select("line_id", "cand", "score", "status", "pos", "total")
+
+
+@query("j12_filled_bundle", f"""WITH RECURSIVE {ITEMS}, {LINES_ONLY}, c AS (SELECT account, list({{'pos': pos, 'total': total, 'nd': {strict('description')}}} ORDER BY total DESC, pos) AS its FROM items WHERE {any_like(strict('description'), lx.BUNDLE_WORDS)} GROUP BY account),
+  w AS (SELECT account, 0 AS k, its, its[:0] AS chosen FROM c
+  UNION ALL SELECT account, k + 1, its, list_concat(chosen, list_filter(its, lambda x: contains(x.nd, {list(lx.BUNDLE_WORDS)}[k + 1]) AND NOT list_contains(list_transform(chosen, lambda a: a.pos), x.pos))[:1]) FROM w WHERE k < {len(lx.BUNDLE_WORDS)}),
+  b AS (SELECT account, list_transform(chosen, lambda a: a.pos) AS taken, CAST(len(chosen) AS INTEGER) AS n, CAST(list_sum(list_transform(chosen, lambda a: a.total)) AS BIGINT) AS sum FROM w WHERE k = {len(lx.BUNDLE_WORDS)}),
+  g AS (SELECT account, line_id, valor, n, sum, valor - sum AS gap, taken FROM lines JOIN b USING (account) WHERE code LIKE '320%' AND valor > {lx.BUNDLE_LEAST}),
+  r AS (SELECT g.line_id, g.gap, list(i.total ORDER BY i.total DESC, i.pos) AS ts, list(i.pos ORDER BY i.total DESC, i.pos) AS ps FROM g JOIN items i ON i.account = g.account AND NOT list_contains(g.taken, i.pos) AND i.total > 0 AND i.total <= g.gap GROUP BY ALL),
+  f AS (SELECT line_id, ps, list_sort(list_transform(list_filter(range(1, 1 << len(ts)), lambda m: bit_count(m) <= 4 AND list_sum(list_transform(range(len(ts)), lambda k: CASE WHEN (m >> k) & 1 = 1 THEN ts[k + 1] ELSE 0 END)) = gap),
+    lambda m: list_filter(range(len(ts)), lambda k: (m >> k) & 1 = 1)))[1] AS ix FROM r),
+  j AS (SELECT g.*, list_transform(ix, lambda k: ps[k + 1]) AS fill FROM g LEFT JOIN f USING (line_id))
+  SELECT line_id, valor, n, CAST(sum + CASE WHEN fill IS NULL THEN 0 ELSE gap END AS BIGINT) AS sum, array_to_string(coalesce(fill, []), ',') AS fill, CASE WHEN n + len(coalesce(fill, [])) >= 3 AND CASE WHEN fill IS NULL THEN abs(gap) ELSE 0 END < 2 THEN 'OK' ELSE 'FAIL' END AS status FROM j""")
+def j12b(spark, sf):
+    lines = star.settlement_lines(spark, sf).filter("code like '320%'")
+    return M.filled_bundle(lines, _items(spark, sf)).select("line_id", "valor", "n", "sum", F.array_join(F.col("fill").cast("array<string>"), ",").alias("fill"), "status")
+
+
 @query("j13_pool_for_line", f"""WITH {BOTH}, i AS (SELECT account, pos, total, {DRUG_SQL} AS drug, {SUPPLY_SQL} AS supply, {CLASS_SQL['amenity']} AS amenity FROM (SELECT *, {ND} AS nd, {NS} AS ns FROM items)),
   l AS (SELECT account, line_id, valor, CASE WHEN code LIKE '320%' THEN 'CATCH_ALL' WHEN code = '3101001' OR contains({ND}, 'medicamento') THEN 'DRUG' WHEN code = '3101002' OR contains({ND}, 'material') THEN 'SUPPLY' END AS domain FROM lines)
   SELECT line_id, domain, count(*) AS items, CAST(sum(total) AS BIGINT) AS amount FROM l JOIN i ON i.account = l.account AND total <= valor AND CASE domain WHEN 'DRUG' THEN drug WHEN 'SUPPLY' THEN supply WHEN 'CATCH_ALL' THEN amenity ELSE true END GROUP BY ALL""")

@@ -11,7 +11,7 @@ from bisect import bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.functions import lexicon as lx
@@ -206,14 +206,18 @@ def longest_run(members: DataFrame) -> DataFrame:
     return runs.groupBy("line_id", "cand").agg(F.max("n").alias("run"), F.sum("n").alias("size"))
 
 
-def score_candidates(members: DataFrame, lines: DataFrame, boost: int = 0) -> DataFrame:
-    """Score of each candidate set: contiguity, sections, mixing, size, comfort affinity, numeric confidence."""
+def score_candidates(members: DataFrame, lines: DataFrame, boost: int = 0, pure: bool = False) -> DataFrame:
+    """Score of each candidate set: contiguity, sections, mixing, size, comfort affinity, numeric confidence.
+
+    With ``pure`` each clinical item takes 50 from a set of a catch-all line.
+    """
     section, d = normalize_strict(F.col("section")), normalize_strict(F.col("description"))
     # Comfort words of the affinity bonus.
     comfort = ["calzon", "aseo", "termometro", "delantal", "mangas", "medias", "confort", "lubricante", "removedor", "adhesivo"]
     facts = members.groupBy("account", "line_id", "cand").agg(
         F.count_distinct(section).alias("sections"), F.bool_or(section.rlike("pabellon|quirurgico")).alias("pavilion"),
-        F.count_if(contains_any(d, comfort)).alias("comfort"), F.sum("total").alias("sum"))
+        F.count_if(contains_any(d, comfort)).alias("comfort"), F.sum("total").alias("sum"),
+        *([F.count_if(contains_any(d, lx.CLINICAL_WORDS)).alias("clinical")] if pure else []))
     c = F.col
     j = facts.join(longest_run(members), ["line_id", "cand"]).join(lines.select("line_id", "code", "description", "valor", "bonif", "copago"), "line_id")
     pool = c("code").startswith("310")
@@ -224,6 +228,8 @@ def score_candidates(members: DataFrame, lines: DataFrame, boost: int = 0) -> Da
              - on(~pool & (c("sections") > 1), (c("sections") - 1) * 15) - on(stay & c("pavilion") & ~pool, 80)
              - on(c("size") > 8, (c("size") - 8) * 2) + on(c("code").isin(lx.NOT_COVERED_CODES) & (c("comfort") * 2 >= c("size")), 30)
              + on(pool & exact, 40) + boost)
+    if pure:
+        score = score - on(c("code").startswith("320"), c("clinical") * 50)
     return j.select("account", "line_id", "cand", "size", "run", "sections", score.cast("long").alias("score"))
 
 
@@ -284,8 +290,38 @@ def pair_match(lines: DataFrame, pool: DataFrame) -> DataFrame:
     return lines.select("account", "line_id", "valor").join(best, ["account", "valor"]).select("account", "line_id", "valor", "b.pos_a", "b.pos_b")
 
 
-def anchored_bundle(lines: DataFrame, pool: DataFrame) -> DataFrame:
-    """Largest item per bundle word (an item serves one word); what the bundle leaves open of the line."""
+#: Orders in which the candidates of a combination are added: as printed, by section, largest first.
+ORDERS = [["pos", "unit"], ["section_key", "pos", "unit"], ["-total", "pos", "unit"]]
+
+
+def combination_match(lines: DataFrame, items: DataFrame, domain: bool = False) -> DataFrame:
+    """Best-scored subset that adds up to each line: account, line_id, cand (its order), score, status and its rows (pos, total).
+
+    Items of several units come as units (where ``items`` has qty and unit_price). The subsets of three orders are scored; the
+    first of equal scores stays. With ``domain`` a drug or supply line sees its own items only; drugs and supplies never
+    enter a catch-all line. OK: within the domain and at least 50; AMBIGUOUS: below 20.
+    """
+    units = unit_items(items) if {"qty", "unit_price"} <= set(items.columns) else items.withColumn("unit", F.lit(1))
+    p = pools(units).select("account", "pos", "unit", "total", normalize_strict(F.col("section")).alias("section_key"), "drug", "supply")
+    k = lines.filter("valor > 0").select("account", "line_id", "valor", "code", K.line_domain(F.col("code"), F.col("description")).alias("domain"))
+    c = F.col
+    fits = [(~c("drug") & ~c("supply"), c("domain") == "CATCH_ALL")] + ([(c("drug"), c("domain") == "DRUG"), (c("supply"), c("domain") == "SUPPLY")] if domain else [])
+    open_ = k.join(p, "account").filter(first_match(fits, F.lit(True)) & (c("total") > 0) & (c("total") <= c("valor")))
+    found = None
+    for n, order in enumerate(ORDERS):
+        hit = subset_of(open_, [F.expr(o) for o in order]).select("account", "line_id", "pos", "total", F.lit(n).alias("cand"))
+        found = hit if found is None else found.unionByName(hit)
+    found = checkpoint(found)
+    members = found.join(items.select("account", "pos", "section", "description"), ["account", "pos"])
+    # A subset's rows in order; its adjacent positions share pos - k.
+    members = members.withColumn("k", F.row_number().over(Window.partitionBy("account", "line_id", "cand").orderBy("pos")))
+    best = sequence.best(score_candidates(members, lines, pure=True), ["line_id"], [F.desc("score"), F.col("cand")])
+    status = first_match([("OK", F.lit(domain) & (c("score") >= 50)), ("AMBIGUOUS", c("score") < 20)], "PARTIAL")
+    return found.join(best.select("account", "line_id", "cand", "score", status.alias("status")), ["account", "line_id", "cand"])
+
+
+def bundle_anchors(pool: DataFrame) -> DataFrame:
+    """account, chosen: the largest item per bundle word; an item serves one word."""
     d = normalize_strict(F.col("description"))
     words = F.array(*[F.when(d.contains(w), F.struct(F.lit(i).alias("w"))) for i, w in enumerate(lx.BUNDLE_WORDS)])
     per_word = pool.select("account", "pos", "total", F.explode(F.array_compact(words)).alias("w")).select("account", "pos", "total", F.col("w.w").alias("w"))
@@ -297,11 +333,56 @@ def anchored_bundle(lines: DataFrame, pool: DataFrame) -> DataFrame:
         "ws", F.array().cast("array<struct<pos:bigint,total:bigint>>"),
         lambda acc, w: F.concat(acc, F.slice(F.transform(F.filter(w["c"], lambda x: ~F.array_contains(F.transform(acc, lambda a: a["pos"]), x["pos"])),
                                                          lambda x: F.struct(x["pos"].cast("long").alias("pos"), x["total"].alias("total"))), 1, 1)))
-    b = words_in_order.select("account", chosen.alias("chosen"))
+    return words_in_order.select("account", chosen.alias("chosen"))
+
+
+def anchored_bundle(lines: DataFrame, pool: DataFrame) -> DataFrame:
+    """Largest item per bundle word (an item serves one word); what the bundle leaves open of the line."""
+    b = bundle_anchors(pool)
     sums = b.select("account", F.size("chosen").alias("n"), F.aggregate("chosen", F.lit(0).cast("long"), lambda a, x: a + x["total"]).alias("sum"))
     return lines.select("account", "line_id", "valor").join(sums, "account").withColumn("gap", F.col("valor") - F.col("sum"))
 
 
+def filled_bundle(lines: DataFrame, pool: DataFrame, least: int = lx.BUNDLE_LEAST) -> DataFrame:
+    """Bundles with up to four more items that close the gap: account, line_id, valor, n, sum, fill (positions), status.
+
+    Of the items that are no anchors, largest first, the combination that comes first in that order fills the gap. Sums of
+    two are a table of pairs; three and four are a pair that meets an item or a pair of the missing sum, both behind it: a pair
+    is open to that while it stands before the last such item or pair. OK: three members and no gap of two or more.
+    """
+    anchors = checkpoint(bundle_anchors(pool))
+    wanted = lines.filter((F.abs(F.col("valor") - lx.BUNDLE_AMOUNT) < 5) | (F.col("code").startswith("320") & (F.col("valor") > least)))
+    sums = anchors.select("account", F.size("chosen").alias("n"), F.aggregate("chosen", F.lit(0).cast("long"), lambda a, x: a + x["total"]).alias("sum"))
+    base = checkpoint(wanted.select("account", "line_id", "valor").join(sums, "account").withColumn("gap", F.col("valor") - F.col("sum")))
+    gaps = base.filter("gap > 0")
+    used = anchors.select("account", F.explode("chosen.pos").alias("pos"))
+    most = gaps.groupBy("account").agg(F.max("gap").alias("_most"))
+    rest = pool.select("account", "pos", "total").join(used, ["account", "pos"], "left_anti").join(most, "account").filter("total > 0 and total <= _most")
+    # A fifth copy of an amount never comes in.
+    copies = F.row_number().over(Window.partitionBy("account", "total").orderBy("pos"))
+    one = checkpoint(rest.withColumn("_c", copies).filter("_c <= 4").select("account", "total", F.struct((-F.col("total")).alias("d"), "pos").alias("i"), "_most"))
+    two = one.alias("a").join(one.alias("b"), "account").filter("a.i < b.i and a.total + b.total <= a._most")
+    two = checkpoint(two.select("account", F.expr("a.total + b.total").alias("total"), F.col("a.i").alias("i"), F.col("b.i").alias("j")))
+    behind = one.select("account", "total", "i").unionByName(two.select("account", "total", "i")).groupBy("account", "total").agg(F.max("i").alias("last"))
+    asked = gaps.select("account", "line_id", "gap")
+    whole = asked.withColumnRenamed("gap", "total")
+    exact = whole.join(one.select("account", "total", F.array("i").alias("fill")), ["account", "total"]).unionByName(
+        whole.join(two.select("account", "total", F.array("i", "j").alias("fill")), ["account", "total"]))
+    halves = asked.join(two.select("account", F.col("total").alias("half")).distinct(), "account").filter("half < gap").withColumn("total", F.col("gap") - F.col("half"))
+    open_ = halves.join(behind, ["account", "total"]).select("account", "line_id", "half", F.col("total").alias("need"), "last")
+    first = open_.join(two.withColumnRenamed("total", "half"), ["account", "half"]).filter("j < last").groupBy("account", "line_id").agg(F.min(F.struct("i", "j", "need")).alias("f"))
+    first = checkpoint(first.select("account", "line_id", "f.i", "f.j", F.col("f.need").alias("total")))
+    ends = one.select("account", "total", F.col("i").alias("e"), F.array("i").alias("tail")).unionByName(two.select("account", "total", F.col("i").alias("e"), F.array("i", "j").alias("tail")))
+    longer = first.join(ends, ["account", "total"]).filter("e > j").select("account", "line_id", F.concat(F.array("i", "j"), "tail").alias("fill"))
+    best = exact.select("account", "line_id", "fill").unionByName(longer).groupBy("account", "line_id").agg(F.min("fill").alias("fill"))
+    j = base.join(best, ["account", "line_id"], "left")
+    fill = F.coalesce(F.col("fill.pos"), F.array().cast("array<long>"))
+    closes = F.when(F.col("fill").isNotNull(), 0).otherwise(F.abs("gap"))
+    ok = (F.col("n") + F.size(fill) >= 3) & (closes < 2)
+    return j.select("account", "line_id", "valor", "n", (F.col("sum") + F.when(F.col("fill").isNotNull(), F.col("gap")).otherwise(0)).alias("sum"), fill.alias("fill"),
+                    F.when(ok, "OK").otherwise("FAIL").alias("status"))
+
+
 def pools(items: DataFrame) -> DataFrame:
     """Which pools an item belongs to: drug, supply, amenity, unspecific."""
     s, d = F.col("section"), F.col("description")
