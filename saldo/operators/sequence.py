@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saldo.session import checkpoint
+
 CHUNK = 8192
 _C = "_chunk"
 
@@ -84,6 +86,20 @@ def carry(
     return j.select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *[v.alias(n) for n, v in out.items()])
 
 
+def spread(df: DataFrame, keys: list[str], order: list[str], name: str = "_n") -> DataFrame:
+    """Written rows with a number that grows along ``order`` inside a group and is cut by ranges of it: its ``reach`` is a chunk for ``carry``.
+
+    Spark samples the ranges, so a group of any size is dealt evenly, whatever its values are.
+    """
+    cut = [*keys, *order]
+    return checkpoint(df.repartitionByRange(*cut).sortWithinPartitions(*cut).withColumn(name, F.monotonically_increasing_id()))
+
+
+def reach(name: str = "_n") -> Column:
+    """Chunk of a row that ``spread`` has numbered."""
+    return F.shiftright(name, 33)
+
+
 def number(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "pos") -> DataFrame:
     """1-based position inside the group. ``order`` must be unique inside a group."""
     return carry(df, keys, order, chunk, sums={name: F.lit(1).cast("long")})
