@@ -1,6 +1,6 @@
 """Mixing sources to target weights: Sainte-Lague quotas of equal-token blocks.
 
-A source's documents are dealt into shards by a seeded hash and laid end to end there; every ``block`` words are a block. The mix's blocks go
+A source's documents are dealt into shards by a seeded hash of doc_id and text and laid end to end there; every ``block`` words are a block. The mix's blocks go
 to the sources one by one by the highest quotient target / (2 k + 1), where k is what a source has; a source's blocks go to its shards
 the same way by the shard's words. Both are settled at once from the ordered quotients. Inside a shard whole rounds take every word,
 and a seeded order of blocks says which are taken once more; a last block is cut where the source's target ends.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saldo.llm.common import words
+from saldo.llm.common import BROADCAST_BYTES, hidden, place, words
 from saldo.session import checkpoint
 
 #: Words in a block.
@@ -76,14 +76,15 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes, with all their columns and taken; an older column taken is replaced."""
-    names = [c for c in docs.columns if c.lower() != "taken"]
     of = chosen(docs, **how)
     same = Window.partitionBy("doc_id", "source", "of")  # copies of one row share a number's words in any order
     of = of.withColumn("_c", F.row_number().over(same.orderBy("taken"))).where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("of").alias("_h"), "_c", "taken")
-    mine = docs.select(*names, F.col("source").cast("string").alias("_source"), F.xxhash64("text").alias("_of"))
-    mine = mine.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_source", "_of").orderBy(F.lit(0))))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_of") == F.col("_h")) & (F.col("_copy") == F.col("_c"))
-    return mine.join(of, on).select(*names, "taken")
+    doc_id, source, text = (f"c{place(docs, c)}" for c in ("doc_id", "source", "text"))
+    mine = hidden(docs).withColumn("_source", F.col(source).cast("string")).withColumn("_of", F.xxhash64(text))
+    mine = mine.withColumn("_copy", F.row_number().over(Window.partitionBy(doc_id, "_source", "_of").orderBy(F.lit(0))))
+    on = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_of") == F.col("_h")) & (F.col("_copy") == F.col("_c"))
+    kept = [F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() != "taken"]
+    return mine.join(of, on).select(*kept, "taken")
 
 
 def chosen(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 7) -> DataFrame:
@@ -95,12 +96,13 @@ def chosen(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple
     of = checkpoint(of.select(*of.columns, F.col("target").alias("votes"), total.alias("seats")))
     won = apportioned(of, [], [F.col("source").isNull(), "source"]).select(F.col("source").alias("_s"), F.col("quota"))
     of = checkpoint(of.join(won, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "shards", F.coalesce("quota", F.lit(0)).alias("quota")))
-    few = of.count() <= 100_000  # else the join is a shuffle, whose hot keys Spark splits
+    bytes_ = of.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
+    few = bytes_ <= BROADCAST_BYTES  # else the join is a shuffle, whose hot keys Spark splits
     to = of.select(F.col("source").alias("_s"), "source_size", "target", "shards")
     d = sizes.join(F.broadcast(to) if few else to, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    d = d.withColumn("shard", F.pmod(number(F.lit(seed), F.col("doc_id")), F.col("shards")))
-    line = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "size")
-    d = d.withColumn("turn", number(F.lit(seed + 1), F.col("doc_id")))
+    d = d.withColumn("shard", F.pmod(number(F.lit(seed), F.col("doc_id"), F.col("of")), F.col("shards")))
+    line = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "of", "size")
+    d = d.withColumn("turn", number(F.lit(seed + 1), F.col("doc_id"), F.col("of")))
     d = checkpoint(d.withColumn("hi", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("size")).withColumn("row", F.row_number().over(line)))
 
     # Blocks of each shard, by Sainte-Lague; what a source's target has besides goes to its largest shard.

@@ -28,6 +28,21 @@ def bounded(df: DataFrame, records: int = 2000, size: str = "8m") -> DataFrame:
     return df
 
 
+def place(docs: DataFrame, name: str) -> int:
+    """Number of a column, whatever the case of its letters."""
+    return next(k for k, c in enumerate(docs.columns) if c.lower() == name)
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ...: names of the columns that an operator adds cannot clash with those."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def shown(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in rows of ``hidden``, under their own names."""
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def words(text: Column, pattern: str = WORD) -> Column:
     """All words of a text in order; a null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))

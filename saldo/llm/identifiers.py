@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import BROADCAST_BYTES, bounded, shipped
+from saldo.llm.common import BROADCAST_BYTES, bounded, hidden, place, shipped, shown
 from saldo.session import checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
@@ -93,10 +93,38 @@ def instances(text: str, spans: list[tuple[int, int, int]]):
             b -= 1
         if a < b:
             todo.append((a, b, False))
-    for a, b, known in todo:
-        before, behind = text[max(0, a - 40) : a].split(), text[b : b + 40].split()
-        clean = lambda w: w[0].lower().strip(EDGE) if w else ""
-        yield a, b, text[a:b], clean(before[-1:]), clean(behind[:1] if not behind or behind[0].strip(EDGE) else behind[1:2]), known
+    todo.sort()
+    for k, (a, b, known) in enumerate(todo):
+        floor, ceiling = todo[k - 1][1] if k else 0, todo[k + 1][0] if k + 1 < len(todo) else len(text)
+        yield a, b, text[a:b], word_before(text, a, floor).lower().strip(EDGE), word_behind(text, b, ceiling).lower().strip(EDGE), known
+
+
+def word_before(text: str, at: int, floor: int) -> str:
+    """The whole word that ends before ``at``; where that is the beginning of the same word, it begins at ``floor`` at the least."""
+    end = at
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    start, least = end, floor if end == at else 0
+    while start > least and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end]
+
+
+def word_behind(text: str, at: int, ceiling: int) -> str:
+    """The whole word that begins behind ``at``, and the one behind that if it is punctuation; the end of the same word is cut at ``ceiling``."""
+    for _ in range(2):
+        start = at
+        while start < len(text) and text[start].isspace():
+            start += 1
+        end, most = start, ceiling if start == at else len(text)
+        while end < most and not text[end].isspace():
+            end += 1
+        if text[start:end].strip(EDGE):
+            break
+        if end == most < len(text):
+            return ""  # the next instance follows in the same word
+        at = end
+    return text[start:end]
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -169,16 +197,19 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with a placeholder for each span; a column n_chars follows the text. All other columns stay."""
     spans = checkpoint(find(docs).where("spans <> ''").select(F.col("doc_id").alias("_d"), F.col("of").alias("_of"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_of"]))
     size = spans.agg(F.sum(F.octet_length("_spans") + 40)).first()[0] or 0
-    out = docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_of")), "left")
+    rows, text = hidden(docs), f"c{place(docs, 'text')}"
+    same = rows[f"c{place(docs, 'doc_id')}"].eqNullSafe(F.col("_d")) & (F.xxhash64(rows[text]) == F.col("_of"))
+    out = rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, same, "left")
 
     def run(text: pa.Array, marks: pa.Array) -> pa.Array:
         return pa.array([t if m is None else redacted(t, m) for t, m in zip(text.to_pylist(), marks.to_pylist())], pa.string())
 
     run.__annotations__ = {"text": pa.Array, "marks": pa.Array, "return": pa.Array}
-    out = bounded(out).withColumn("text", F.arrow_udf(run, "string")(F.col("text").cast("string"), "_spans"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    out = bounded(out).withColumn(text, F.arrow_udf(run, "string")(F.col(text).cast("string"), "_spans"))
+    if "n_chars" in [c.lower() for c in docs.columns]:
+        n = f"c{place(docs, 'n_chars')}"
+        out = out.withColumn(n, F.when(F.col("_spans").isNull(), F.col(n)).otherwise(F.length(text)))
+    return shown(out, docs)
 
 
 def redacted(text: str, spans: str) -> str:

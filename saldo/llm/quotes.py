@@ -49,7 +49,7 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), n_quoted (quoted passages), n_linked (those found), reply_to, thread, depth and place of every row."""
+    """conv_id, turn, role, text (without quotes), n_quoted (quoted passages), n_linked (those found), reply_to, thread, depth and place (their struct with turn, which orders a conversation) of every row."""
     m = messages.select(F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text").cast("string").alias("text"))
     m = checkpoint(m.withColumn("row", F.monotonically_increasing_id()))
     key = F.sha2(F.concat_ws("\u0001", F.col("conv_id").cast("string"), "said"), 256)
@@ -80,8 +80,7 @@ def linked(messages: DataFrame) -> DataFrame:
     m = m.join(up.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "up", "depth"), (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
     plain = F.array_join(F.filter(F.split("text", "\n"), lambda x: level(x) == 0), "\n")
     thread, depth = F.coalesce("up", "turn"), F.coalesce("depth", F.lit(0))
-    pad = lambda c: F.lpad(c.cast("string"), 12, "0")
     return m.select(
         "conv_id", "turn", "role", F.when(F.col("n_quoted") > 0, plain).otherwise(F.col("text")).alias("text"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"),
-        F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", thread.alias("thread"), depth.alias("depth"), F.concat_ws("/", pad(thread), pad(depth), pad(F.col("turn"))).alias("place"),
+        F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", thread.alias("thread"), depth.alias("depth"), F.struct(thread.alias("thread"), depth.alias("depth"), "turn").alias("place"),
     )

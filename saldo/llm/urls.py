@@ -56,12 +56,19 @@ def grams(texts: DataFrame, size: int) -> DataFrame:
 
 
 def models(examples: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> DataFrame:
-    """gram, ratio: log-likelihood difference of the last character after the others, for every gram of up to ``order`` + 1 characters."""
+    """size, gram, seen, ratio: log-likelihood differences for grams of up to ``order`` + 1 characters.
+
+    Of a gram that was seen, the ratio is the last character's after the others; of its context (``seen`` false, one character less), what
+    a character that was never seen there adds to its ratio after the shorter context.
+    """
     longest = checkpoint(grams(examples, order + 1).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
-    known = None
+    known = backs = None
     for n in range(1, order + 2):
         now = longest.groupBy(F.substring("gram", order + 2 - n, n).alias("gram")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
         before = now.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
+        before = checkpoint(before)
+        back = before.select(F.lit(n).alias("size"), F.col("context").alias("gram"), F.lit(False).alias("seen"), (F.log(F.col("all_no") + weight) - F.log(F.col("all_yes") + weight)).alias("ratio"))
+        backs = back if backs is None else backs.unionByName(back)
         now = now.withColumn("context", F.substring("gram", 1, n - 1)).join(before, "context")
         if known is None:
             now = now.withColumns({"p": F.lit(1.0 / ALPHABET), "q": F.lit(1.0 / ALPHABET)})
@@ -71,23 +78,35 @@ def models(examples: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> D
         mixed = lambda c, a, b: (F.col(c) + weight * F.col(b)) / (F.col(a) + weight)
         now = now.select("gram", mixed("yes", "all_yes", "p").alias("p"), mixed("no", "all_no", "q").alias("q"))
         known = checkpoint(now if known is None else known.unionByName(now))
-    return known.select("gram", (F.log("p") - F.log("q")).alias("ratio"))
+    return known.select(F.length("gram").alias("size"), "gram", F.lit(True).alias("seen"), (F.log("p") - F.log("q")).alias("ratio")).unionByName(backs)
 
 
 def scored(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """text, score: mean ratio of a text's characters, each after the longest context that the models know."""
-    at = grams(texts.select("text"), order + 1).groupBy("text", "gram").agg(F.count("*").alias("n"))
-    best = None
-    for n in range(order + 1, 0, -1):
-        part = shipped(checkpoint(model.where(F.length("gram") == n).select(F.col("gram").alias(f"g{n}"), F.col("ratio").alias(f"r{n}"))), 40)
-        at = at.join(part, F.substring("gram", order + 2 - n, n) == F.col(f"g{n}"), "left").drop(f"g{n}")
-        best = F.col(f"r{n}") if best is None else F.coalesce(best, f"r{n}")
-    return at.groupBy("text").agg((F.sum(F.col("n") * F.coalesce(best, F.lit(0.0))) / F.sum("n")).alias("score"))
+    """text, score: mean log-likelihood difference of a text's characters under the two interpolated models."""
+    at = grams(texts.select("text"), order + 1)
+    each = checkpoint(at.groupBy("gram").agg(F.count("*").alias("n")))  # every different gram is looked up once
+    best = F.lit(0.0)
+    for n in range(1, order + 2):
+        for seen, size in ((True, n), (False, n - 1)):
+            name = f"{'r' if seen else 'b'}{n}"
+            part = shipped(checkpoint(model.where((F.col("size") == n) & (F.col("seen") == F.lit(seen))).select(F.col("gram").alias("_g"), F.col("ratio").alias(name))), 40)
+            each = each.join(part, F.substring("gram", order + 2 - n, size) == F.col("_g"), "left").drop("_g")
+        # A character not seen in this context has the shorter context's ratio, times the context's weight for unseen ones.
+        best = F.coalesce(F.col(f"r{n}"), F.coalesce(f"b{n}", F.lit(0.0)) + best)
+    ratios = shipped(checkpoint(each.select(F.col("gram").alias("_g"), best.alias("ratio"))), 40)
+    of = at.join(ratios, F.col("gram") == F.col("_g")).groupBy("text").agg(F.sum("ratio").alias("sum"), F.count("*").alias("n"))
+    return of.select("text", (F.col("sum") / F.col("n")).alias("score"))
 
 
 def border(scores: DataFrame) -> float:
-    """The score that best parts held-out examples (columns yes, no): equal weight for both kinds. Ties go to the lower one."""
-    low, high = -4.0, 4.0
+    """The score that best parts held-out examples (columns yes, no): equal weight for both kinds. Ties go to the lower one.
+
+    Scores are counted in bins between the least and the greatest of them.
+    """
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    if low is None:
+        return 0.0
+    high = max(high, low + 1e-9)
     slot = F.greatest(F.least(F.floor((F.col("score") - low) / (high - low) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
     bins = sorted(scores.groupBy(slot.alias("b")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect())  # at most BINS rows
     yes, no = sum(r["yes"] for r in bins), sum(r["no"] for r in bins)
@@ -117,7 +136,7 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     if not some[0] or not some[1]:
         return p.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull() | yes, F.lit("allow")).otherwise("block").alias("verdict"), F.when(F.col("rule").isNull(), F.lit(0.0)).alias("score"))
     test = examples.where("held")
-    least = border(scored(test, model, order).join(test.select("text", "yes", "no"), "text"))
+    least = border(checkpoint(scored(test, model, order).join(test.select("text", "yes", "no"), "text")))
     scores = shipped(checkpoint(scored(p.where("rule IS NULL").select("text").distinct(), model, order).withColumnRenamed("text", "_x")), 150)
     out = p.join(scores, (F.col("text") == F.col("_x")) & F.col("rule").isNull(), "left")
     good = F.when(F.col("rule").isNotNull(), yes).otherwise(F.coalesce(F.col("score"), F.lit(0.0)) >= least)

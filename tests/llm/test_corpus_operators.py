@@ -268,6 +268,40 @@ def test_urls(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
+def test_url_scores_are_the_models_log_likelihoods(spark):
+    from math import log
+
+    r = random.Random(4)
+    texts = ["".join(r.choices("abc/", k=r.randrange(1, 12))) for _ in range(80)]
+    examples = [(t, int(k % 3 != 0), int(k % 3 == 0)) for k, t in enumerate(sorted(set(texts)))]
+    count = [Counter(), Counter()]
+    for t, yes, no in examples:
+        p = "^" * urls.ORDER + t + "$"
+        for i in range(urls.ORDER, len(p)):
+            for n in range(urls.ORDER + 1):
+                for side, m in ((0, yes), (1, no)):
+                    count[side][p[i - n : i + 1]] += m
+                    count[side][p[i - n : i], "all"] += m
+
+    def likely(side, before, c):
+        shorter = likely(side, before[1:], c) if before else 1 / urls.ALPHABET
+        return (count[side][before + c] + urls.WEIGHT * shorter) / (count[side][before, "all"] + urls.WEIGHT)
+
+    model = urls.models(spark.createDataFrame(examples, "text string, yes long, no long"))
+    ask = texts[:20] + ["zzz", "aaaaz", "", "a/z/b", "c" * 4000]
+    got = {x["text"]: x["score"] for x in urls.scored(spark.createDataFrame([(t,) for t in set(ask)], "text string"), model).collect()}
+    for t in ask:
+        p = "^" * urls.ORDER + t + "$"
+        each = [log(likely(0, p[i - urls.ORDER : i], p[i])) - log(likely(1, p[i - urls.ORDER : i], p[i])) for i in range(urls.ORDER, len(p))]
+        assert got[t] == pytest.approx(sum(each) / len(each)), t
+
+
+def test_a_border_may_lie_anywhere(spark):
+    rows = [(8.0 + k / 100, 1, 0) for k in range(50)] + [(6.0 + k / 100, 0, 1) for k in range(50)]
+    assert 6.49 <= urls.border(spark.createDataFrame(rows, "score double, yes long, no long")) <= 8.0
+    assert urls.border(spark.createDataFrame([], "score double, yes long, no long")) == 0.0
+
+
 def test_passages_follow_levels_and_blanks(spark):
     rng = random.Random(5)
     texts = ["\n".join(rng.choice(["", "> ", ">> ", "> > "]) + rng.choice(["", "A b", "c\u0002d", "e"]) for _ in range(rng.randrange(9))) for _ in range(60)] + ["> x\n" * 30_000, "", None]
@@ -321,6 +355,50 @@ def test_pipeline_stages(documents, spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_carries_columns_of_any_name_and_type(documents, spark, tmp_path):
+    import corpus_pipeline
+
+    window = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, window)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, prose(120, k) + (" mail bob@site.org" if k % 9 == 0 else "")) for k in range(40)] + [(3, prose(120, 3)), (3, prose(120, 3))]
+    docs = documents(rows).drop("taken")
+    for c in ("_id", "_of", "_copy", "_judged", "_source", "_spans", "_d", "_s", "_h", "_c", "id", "of", "judged", "a.b", "c0", "c1", "c 2"):
+        docs = docs.withColumn(c, docs["doc_id"].cast("string"))
+    docs = docs.selectExpr("*", "map('k', doc_id) AS m", "map('z', text) AS `_map`")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns + (["taken"] if name == "mix" else [])
+        out.write.parquet(f"{tmp_path}/out-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/out-{name}")
+        for r in docs.collect():
+            assert all(r[c] == str(r["doc_id"]) for c in ("_id", "_of", "_copy", "_judged", "_source", "_spans", "_d", "_s", "_h", "_c", "id", "of", "judged", "a.b", "c0", "c1", "c 2"))
+            assert r["m"] == {"k": r["doc_id"]}
+    assert docs.where("doc_id = 3").count() == 1 and docs.count() >= 39
+
+
+def test_cues_are_whole_words():
+    text = "a" * 50 + "x " * 1 + " " * 45 + "KX-1 " + "b" * 60 + "y; QZ-2"
+    got = list(identifiers.instances(text, []))
+    assert [(x[2], x[3], x[4]) for x in got] == [("KX-1", "a" * 50 + "x", "b" * 60 + "y"), ("QZ-2", "b" * 60 + "y", "")]
+    pair = "to:bob@x.org,eve@y.org now"
+    assert [(x[2], x[3], x[4]) for x in identifiers.instances(pair, identifiers.base_spans(pair))] == [("bob@x.org", "to", ""), ("eve@y.org", "", "now")]
+    many = "a@b.co," * 30_000
+    assert len(list(identifiers.instances(many, identifiers.base_spans(many)))) == 30_000
+
+
+def test_turns_of_any_size_keep_their_order(spark):
+    rows = [("c", t, "user", "x") for t in (1234567890123, 123456789012, -5, 7)]
+    got = quotes.linked(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).orderBy("place").collect()
+    assert [r["turn"] for r in got] == [-5, 7, 123456789012, 1234567890123]
+
+
+def test_rows_under_one_id_fill_many_shards(documents):
+    rows = [(None, prose(40, k), "en", "s") for k in range(200)]
+    got = [apportion.mix(documents(x), block=16, shard_words=500).collect() for x in (rows, rows[::-1])]
+    assert sorted((r["size"], r["taken"]) for r in got[0]) == sorted((r["size"], r["taken"]) for r in got[1])
+    assert all(r["taken"] <= 2 * r["size"] for r in got[0])
+
+
 def test_pipeline_removes_rows_not_ids(documents, spark, tmp_path):
     import corpus_pipeline
 
