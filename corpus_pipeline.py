@@ -6,7 +6,8 @@
 4. personal_data: personal data and discovered identifiers become placeholders.
 5. mix: documents with the words that the mix takes of them; those of which it takes none go.
 
-All but the last return the columns of documents. Null texts go in the first stage; empty tables stay empty.
+All but the last return the columns of documents. Null texts go in the first stage; empty tables stay empty. Further columns may have
+any name and type; they are carried along. The last stage adds taken, in place of an older column of that name.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldo.llm import apportion, identifiers, language, positional, simhash
-from saldo.llm.common import bounded, read
+from saldo.llm.common import bounded, hidden, place, read, shown
 from saldo.session import checkpoint, shared_folder
 
 
@@ -28,23 +29,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with doc_ids of ``keyed``; a null id matches a null."""
-    out = keys.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.of").alias("_of"))
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_of")), how)
+    rows, out = hidden(docs), keys.select(F.col("doc_id.id").alias("id"), F.col("doc_id.of").alias("of"))
+    same = rows[f"c{place(docs, 'doc_id')}"].eqNullSafe(out["id"]) & (F.xxhash64(rows[f"c{place(docs, 'text')}"]) == out["of"])
+    return shown(rows.join(out, same, how), docs)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs)
-    judged = bounded(docs).withColumn("_judged", language.predicted(model, F.col("text").cast("string")))
-    return judged.where("NOT _judged.rejected").select(*docs.columns)
+    rows = bounded(hidden(docs))
+    judged = rows.withColumn("judged", language.predicted(model, F.col(f"c{place(docs, 'text')}").cast("string")))
+    return shown(judged.where("NOT judged.rejected"), docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(keyed(docs))
     rows = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
     odd = checkpoint(rows.where("n > 1 OR NOT stays"))
-    # Of rows with the same doc_id and text, the least by their other columns.
-    again = matched(docs, odd.where("stays"), "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return matched(docs, odd, "left_anti").unionByName(again.select("row.*"))
+    # Of rows with the same doc_id and text, the least by their columns as JSON, which orders columns of any type.
+    again = hidden(matched(docs, odd.where("stays"), "left_semi"))
+    row, keys = F.struct(*again.columns), (f"c{place(docs, 'doc_id')}", F.xxhash64(f"c{place(docs, 'text')}"))
+    again = again.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return matched(docs, odd, "left_anti").union(shown(again, docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
