@@ -18,10 +18,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 GROUPS = ("e", "a", "i", "o", "t", "n", "s", "r", "l", "h", "d", "u", "cm", "pf", "gyb", "wvkxjqz", "àäéíñü", "áèêçóö")
 LEVELS = len(GROUPS) + 1
 #: Words of a shard, words looked up in one task, letters of words that are compared as arrays.
-SHARD, QUERIES, SHORT = 20_000, 400_000, 40
+SHARD, QUERIES, SHORT = 20_000, 100_000, 40
 
 
 def counted(docs: DataFrame, least_letters: int = 5, least_count: int = 3, change: Callable[[object, str], str] | None = None) -> DataFrame:
@@ -153,22 +153,30 @@ class Trie:
 
     def near(self, words: list[str], counts: np.ndarray):
         """(query, word) number pairs of words that differ by one letter."""
-        letters = spelled(words)
-        for i, j in self.arrivals(counts):
-            for k in range(0, len(i), 1 << 14):
-                yield verified(words, letters, i[k : k + (1 << 14)], self.words, self.letters, j[k : k + (1 << 14)])
+        letters, held, size = spelled(words), [], 0
+        for pair in self.arrivals(counts):
+            held.append(pair)
+            size += len(pair[0])
+            if size >= 1 << 14:
+                yield from self.judged(words, letters, held)
+                held, size = [], 0
+        yield from self.judged(words, letters, held)
+
+    def judged(self, words: list[str], letters, held: list):
+        if not held:
+            return
+        i, j = (np.concatenate(x) for x in zip(*held))
+        for k in range(0, len(i), 1 << 15):
+            yield verified(words, letters, i[k : k + (1 << 15)], self.words, self.letters, j[k : k + (1 << 15)])
 
 
 def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lengths, and code points from the front and from the back, of words up to ``SHORT`` letters; longer ones have length -1."""
-    size = np.array([len(w) if len(w) <= SHORT else -1 for w in words], np.int16)
-    front, back = np.zeros((len(words), SHORT + 1), np.uint32), np.zeros((len(words), SHORT + 1), np.uint32)
-    for k, w in enumerate(words):
-        if size[k] > 0:
-            points = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-            front[k, : len(w)] = points
-            back[k, : len(w)] = points[::-1]
-    return size, front, back
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    front = np.array(words, f"<U{SHORT + 1}").view(np.uint32).reshape(len(words), SHORT + 1)
+    place = size[:, None] - 1 - np.arange(SHORT + 1)
+    back = np.where(place >= 0, np.take_along_axis(front, np.clip(place, 0, SHORT), axis=1), 0)
+    return np.where(size <= SHORT, size, -1), front, back
 
 
 def verified(a_words, a, i, b_words, b, j) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +209,17 @@ def near_pairs(words: DataFrame, shard: int = SHARD, queries: int = QUERIES) ->
         # A tile's entries come before its lookups; only the entries are held.
         now, words_, n_, v_, trie = None, [], [], [], None
         for b in batches:
-            tiles_, asks, text, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            text, n = b.column(2).to_pylist(), b.column(3).to_pylist()
             counts = np.asarray(b.column(4).flatten()).reshape(-1, LEVELS).astype(np.int32)
             out: list[list] = [[], [], []]
-            for (tile, ask), group in groupby(range(b.num_rows), key=lambda k: (tiles_[k], asks[k])):
-                at = list(group)
-                lo, hi = at[0], at[-1] + 1
+            # Stretches of one tile and kind.
+            rows_ = b.num_rows
+            turns = np.zeros(max(0, rows_ - 1), bool)
+            for c in (b.column(0), b.column(1)):
+                turns |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, max(0, rows_ - 1))))
+            starts = [0, *(np.flatnonzero(turns) + 1).tolist()] if rows_ else []
+            for lo, hi in zip(starts, [*starts[1:], rows_]):
+                tile, ask = b.column(0)[lo].as_py(), b.column(1)[lo].as_py()
                 if tile != now:
                     now, words_, n_, v_, trie = tile, [], [], [], None
                 if not ask:
@@ -222,7 +235,7 @@ def near_pairs(words: DataFrame, shard: int = SHARD, queries: int = QUERIES) ->
                     out[2] += trie.n[j].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["word", "near", "near_n"])
 
-    return bounded(rows, 4000).mapInArrow(run, "word string, near string, near_n long")
+    return bounded(rows, 20_000).mapInArrow(run, "word string, near string, near_n long")
 
 
 def variants(words: DataFrame, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
