@@ -61,35 +61,36 @@ def models(examples: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> D
     Of a gram that was seen, the ratio is the last character's after the others; of its context (``seen`` false, one character less), what
     a character that was never seen there adds to its ratio after the shorter context.
     """
-    longest = checkpoint(grams(examples, order + 1).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
-    known = backs = None
+    longest = grams(examples, order + 1).groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    sizes = F.array(*[F.struct(F.lit(n).alias("size"), F.substring("gram", order + 2 - n, n).alias("gram")) for n in range(1, order + 2)])
+    seen = longest.select(F.explode(sizes).alias("g"), "yes", "no").groupBy("g.size", "g.gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    seen = checkpoint(seen.withColumn("context", F.expr("left(gram, size - 1)")))
+    contexts = checkpoint(seen.groupBy("size", "context").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no")))
+    mixed = lambda c, a, b: (F.col(c) + weight * F.col(b)) / (F.col(a) + weight)
+    known = []
     for n in range(1, order + 2):
-        now = longest.groupBy(F.substring("gram", order + 2 - n, n).alias("gram")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-        before = now.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"))
-        before = checkpoint(before)
-        back = before.select(F.lit(n).alias("size"), F.col("context").alias("gram"), F.lit(False).alias("seen"), (F.log(F.col("all_no") + weight) - F.log(F.col("all_yes") + weight)).alias("ratio"))
-        backs = back if backs is None else backs.unionByName(back)
-        now = now.withColumn("context", F.substring("gram", 1, n - 1)).join(before, "context")
-        if known is None:
+        now = seen.where(F.col("size") == n).drop("size").join(shipped(contexts.where(F.col("size") == n).drop("size"), 60), "context")
+        if n == 1:
             now = now.withColumns({"p": F.lit(1.0 / ALPHABET), "q": F.lit(1.0 / ALPHABET)})
         else:
-            less = known.where(F.length("gram") == n - 1).select(F.col("gram").alias("tail"), F.col("p"), F.col("q"))
-            now = now.withColumn("tail", F.substring("gram", 2, n)).join(less, "tail")
-        mixed = lambda c, a, b: (F.col(c) + weight * F.col(b)) / (F.col(a) + weight)
-        now = now.select("gram", mixed("yes", "all_yes", "p").alias("p"), mixed("no", "all_no", "q").alias("q"))
-        known = checkpoint(now if known is None else known.unionByName(now))
-    return known.select(F.length("gram").alias("size"), "gram", F.lit(True).alias("seen"), (F.log("p") - F.log("q")).alias("ratio")).unionByName(backs)
+            less = known[-1].select(F.col("gram").alias("tail"), "p", "q")
+            now = now.withColumn("tail", F.substring("gram", 2, n)).join(shipped(less, 60), "tail")
+        known.append(checkpoint(now.select("gram", mixed("yes", "all_yes", "p").alias("p"), mixed("no", "all_no", "q").alias("q"))))
+    out = contexts.select("size", F.col("context").alias("gram"), F.lit(False).alias("seen"), (F.log(F.col("all_no") + weight) - F.log(F.col("all_yes") + weight)).alias("ratio"))
+    for n, k in enumerate(known, 1):
+        out = out.unionByName(k.select(F.lit(n).alias("size"), "gram", F.lit(True).alias("seen"), (F.log("p") - F.log("q")).alias("ratio")))
+    return out
 
 
 def scored(texts: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """text, score: mean log-likelihood difference of a text's characters under the two interpolated models."""
+    """text, score: mean log-likelihood difference of a text's characters under the two interpolated models, whose rows are written."""
     at = grams(texts.select("text"), order + 1)
-    each = checkpoint(at.groupBy("gram").agg(F.count("*").alias("n")))  # every different gram is looked up once
+    each = at.select("gram").distinct()  # every different gram is looked up once
     best = F.lit(0.0)
     for n in range(1, order + 2):
         for seen, size in ((True, n), (False, n - 1)):
             name = f"{'r' if seen else 'b'}{n}"
-            part = shipped(checkpoint(model.where((F.col("size") == n) & (F.col("seen") == F.lit(seen))).select(F.col("gram").alias("_g"), F.col("ratio").alias(name))), 40)
+            part = shipped(model.where((F.col("size") == n) & (F.col("seen") == F.lit(seen))).select(F.col("gram").alias("_g"), F.col("ratio").alias(name)), 40)
             each = each.join(part, F.substring("gram", order + 2 - n, size) == F.col("_g"), "left").drop("_g")
         # A character not seen in this context has the shorter context's ratio, times the context's weight for unseen ones.
         best = F.coalesce(F.col(f"r{n}"), F.coalesce(f"b{n}", F.lit(0.0)) + best)
