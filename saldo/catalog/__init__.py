@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["scalars", "classify", "reports", "questions", "matching", "contracts", "episodes", "signals", "decisions",
-           "balance", "sequences", "pages", "batch", "text", "stores", "plans"]
+           "balance", "sequences", "pages", "batch", "text", "stores", "files", "plans"]
 
 
 def load() -> tuple[dict, dict]:

@@ -5,7 +5,7 @@ Rules carry contract_id, rule_id, pos, domain, modality, pct, cap_kind, cap_valu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.functions import lexicon as lx
@@ -15,7 +15,7 @@ from saldo.functions.rules import first_match, lookup, score
 from saldo.functions.text import normalize_strict, normalize_upper
 from saldo.operators import classify as K
 from saldo.operators import sequence
-from saldo.operators.containment import contained
+from saldo.operators.containment import contained, either_way
 
 # Text traits of a line that the affinity of a rule depends on.
 TRAITS = {"psico": "psicoterapia", "radio": "radioterapia", "kine": "kinesi", "drug": "clinico|farmaco|medicamento",
@@ -135,9 +135,8 @@ def provider_network(providers: DataFrame, aliases: DataFrame) -> DataFrame:
     """Preferred when the provider's name contains an alias or the reverse, else free choice."""
     p = providers.select("provider", F.upper("name").alias("p"))
     a = aliases.select(F.upper("alias").alias("a")).distinct()
-    pairs = contained(p.select(F.col("p").alias("t")).union(a))
-    ways = pairs.select(F.col("outer").alias("p"), F.col("inner").alias("a")).union(pairs.select(F.col("inner"), F.col("outer"))).join(a, "a", "left_semi")
-    hit = p.join(ways, "p", "left_semi").select("provider", F.lit(True).alias("_h"))
+    pairs = either_way(p.select(F.col("p").alias("t")), a.select(F.col("a").alias("t"))).toDF("p", "a")
+    hit = p.join(pairs, "p", "left_semi").select("provider", F.lit(True).alias("_h"))
     return providers.join(hit, "provider", "left").select("provider", F.when(F.col("_h"), "PREFERENTE").otherwise("LIBRE_ELECCION").alias("network"))
 
 
@@ -201,9 +200,8 @@ def resolve_text(texts: DataFrame, schedule: DataFrame, share: float = 0.6) -> D
     qw = qn.select("text", "q", F.size(words(F.col("q"))).alias("n"), F.explode(words(F.col("q"))).alias("w"))
     sw = s.select("*", F.explode(words(F.col("s"))).alias("w"))
     met = qw.join(sw, "w").groupBy("text", "n", "s_pos", "s_code").agg(F.count(F.lit(1)).alias("k"))
-    pairs = contained(qn.select(F.col("q").alias("t")).union(s.select("s")))
-    ways = pairs.select(F.col("outer").alias("s"), F.col("inner").alias("q")).union(
-        pairs.filter(F.length("inner") > 5).select(F.col("inner"), F.col("outer"))).distinct()
+    qt, st = qn.select(F.col("q").alias("t")), s.select(F.col("s").alias("t"))
+    ways = contained(st, qt).toDF("s", "q").union(contained(qt, st.filter(F.length("t") > 5)).select("inner", "outer")).distinct()
     inside = qn.join(ways, "q").join(s, "s").select("text", F.lit(2).alias("tier"), one.alias("share"), "s_pos", "s_code")
     shared = met.filter(F.col("k") / F.col("n") >= share).select("text", F.lit(3).alias("tier"), (F.col("k") / F.col("n")).alias("share"), "s_pos", "s_code")
     every = by_code.unionByName(by_text).unionByName(inside).unionByName(shared)
@@ -327,3 +325,19 @@ def simulate_coverage(items: DataFrame, assignments: DataFrame, mapping: dict[st
     return names.join(grand.withColumn("_k", F.lit(1)), "_k").select(
         "contract_id", "total", round_half_up(F.col("covered")).alias("covered"), (F.col("total") - round_half_up(F.col("covered"))).alias("patient"),
         round_half_up(F.coalesce("covered", F.lit(0.0)) / F.col("total") * 100).alias("pct"))
+
+
+def coverage_by_category(rules: DataFrame) -> DataFrame:
+    """Listing of a contract's rules by category, categories in the order they first come: adds category_no, n (in the category) and the table row.
+
+    rules: contract_id, pos, category, item and, where there are any, modality, coverage, cap, copay, note. A blank category is SIN CATEGORÍA.
+    """
+    shown = F.when(F.coalesce(F.col("category"), F.lit("")) == "", "SIN CATEGORÍA").otherwise(F.col("category"))
+    r = rules.withColumn("category", shown)
+    first = r.groupBy("contract_id", "category").agg(F.min("pos").alias("_first"))
+    # A contract's categories are a few rows, its rules may be many.
+    first = first.withColumn("category_no", F.row_number().over(Window.partitionBy("contract_id").orderBy("_first"))).drop("_first")
+    n = sequence.number(r, ["contract_id", "category"], ["pos"], sequence.by_pos(), name="n")
+    cell = lambda c, blank: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(blank)) if c in rules.columns else F.lit(blank)
+    cells = [cell("item", "-"), cell("modality", "-"), cell("coverage", "-"), cell("cap", "-"), cell("copay", "-"), cell("note", "")]
+    return n.join(first, ["contract_id", "category"]).withColumn("text", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")))

@@ -119,7 +119,7 @@ def reference_hits(items: DataFrame, reference: DataFrame) -> DataFrame:
 
     it = items.select("item_key", normalize_strict(F.col("description")).alias("t"), "code")
     kw = reference.select("rule_id", F.explode("keywords").alias("k")).select("rule_id", normalize_strict(F.col("k")).alias("k")).distinct()
-    pairs = contained(it.select("t").union(kw.select("k"))).join(kw.select(F.col("k").alias("inner")).distinct(), "inner", "left_semi")
+    pairs = contained(it.select("t"), kw.select(F.col("k").alias("t")))
     by_word = it.join(pairs.select(F.col("outer").alias("t"), F.col("inner").alias("k")), "t").join(kw, "k").select("item_key", "rule_id")
     pre = reference.select("rule_id", F.explode("code_prefixes").alias("p")).distinct()
     cut = it.select("item_key", F.explode(F.expr("transform(sequence(1, length(code)), n -> substring(code, 1, n))")).alias("p"))

@@ -19,7 +19,7 @@ from saldo.functions.rules import first_match
 from saldo.functions.text import contains_any, normalize_strict
 from saldo.operators import classify as K
 from saldo.operators import sequence
-from saldo.operators.containment import contained
+from saldo.operators.containment import either_way
 from saldo.operators.subsets import subset_match, subset_of  # noqa: F401
 from saldo.session import checkpoint
 
@@ -141,14 +141,13 @@ def text_match(lines: DataFrame, items: DataFrame) -> DataFrame:
 def containment_match(lines: DataFrame, items: DataFrame, min_len: int = 6) -> DataFrame:
     """Shortest item text that contains the line text or is contained in it.
 
-    Containment is decided once per pair of distinct texts.
+    Each different description is normalized once, and containment is decided once per pair of texts.
     """
-    lt = lines.select("account", "line_id", normalize_strict(F.col("description")).alias("line_text")).filter("line_text <> ''")
-    it = items.select("account", "item_id", normalize_strict(F.col("description")).alias("item_text")).filter(F.length("item_text") >= min_len)
-    pairs_all = contained(lt.select(F.col("line_text").alias("t")).union(it.select(F.col("item_text"))))
-    ways = pairs_all.select(F.col("inner").alias("line_text"), F.col("outer").alias("item_text")).union(
-        pairs_all.select(F.col("outer"), F.col("inner"))).distinct()
-    pairs = ways.join(lt.select("line_text").distinct(), "line_text", "left_semi").join(it.select("item_text").distinct(), "item_text", "left_semi")
+    text = lambda df, name: df.select("description").distinct().select("description", normalize_strict(F.col("description")).alias(name))
+    line_texts, item_texts = checkpoint(text(lines, "line_text").filter("line_text <> ''")), checkpoint(text(items, "item_text").filter(F.length("item_text") >= min_len))
+    lt = lines.join(line_texts, "description").select("account", "line_id", "line_text")
+    it = items.join(item_texts, "description").select("account", "item_id", "item_text")
+    pairs = either_way(line_texts.select(F.col("line_text").alias("t")), item_texts.select(F.col("item_text").alias("t"))).toDF("line_text", "item_text")
     per_item_text = it.groupBy("account", "item_text").agg(F.min("item_id").alias("item_id"))
     best = per_item_text.join(pairs, "item_text").groupBy("account", "line_text").agg(
         F.min(F.struct(F.length("item_text").alias("len"), "item_id")).alias("b"))

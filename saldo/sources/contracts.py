@@ -29,6 +29,14 @@ def read_packages(spark: SparkSession, glob: str, prefix: str = "audit_package_"
     return raw.withColumn("contract_id", F.regexp_replace(name, "%20", " "))
 
 
+def read_package_folders(spark: SparkSession, glob: str, key: str = "contract_id") -> DataFrame:
+    """Packages as lines of JSON in one folder a contract, named by the folder of their file."""
+    schema = T.StructType([f for f in CONTRACT.fields if f.name != key])
+    lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"))
+    name = F.url_decode(F.regexp_extract("path", f"/{key}=([^/]*)/", 1))
+    return lines.select(name.alias(key), F.from_json("value", schema).alias("p")).select(key, "p.*")
+
+
 def dialect(raw: DataFrame) -> DataFrame:
     """Which keys a contract document has decides its dialect."""
     n = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)) > 0

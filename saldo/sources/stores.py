@@ -18,9 +18,13 @@ def write_report_text(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_packages(df: DataFrame, path: str, key: str = "contract_id") -> None:
-    """One folder per contract; rows are gathered per contract so that a contract is not scattered over every task's file."""
-    df.repartition(key, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(key).parquet(path)
+def write_packages(df: DataFrame, path: str, key: str = "contract_id", only_touched: bool = False) -> None:
+    """One folder per contract; rows are gathered per contract so that a contract is not scattered over every task's file.
+
+    With ``only_touched`` the folders of contracts that ``df`` does not have stay as they are.
+    """
+    rows = df.repartition(key, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic" if only_touched else "static").partitionBy(key).parquet(path)
 
 
 def content_records(df: DataFrame, content: str) -> DataFrame:
