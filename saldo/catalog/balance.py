@@ -15,13 +15,13 @@ from saldo.operators import sequence
 from saldo.sources import star
 
 # Item-level findings, keyed to the settled line of the item.
-IF = "itf AS (SELECT account, account || ':' || folio AS line_id, CASE page % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'Z' ELSE 'K' END AS category, copago * (1 + part % 2) AS amount FROM charges WHERE folio LIKE '%F')"
+IF = "itf AS (SELECT account, account || ':' || folio AS line_id, CASE page % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'Z' ELSE 'K' END AS category, copago * (1 + part % 2) AS amount FROM charges)"
 
 
 def item_findings(spark, sf):
     c = F.col
     p = c("page") % 4
-    return star.charges(spark, sf).filter("folio like '%F'").select("account", F.concat_ws(":", c("account").cast("string"), "folio").alias("line_id"),
+    return star.charges(spark, sf).select("account", F.concat_ws(":", c("account").cast("string"), "folio").alias("line_id"),
                                                                 F.when(p == 0, "A").when(p == 1, "B").when(p == 2, "Z").otherwise("K").alias("category"), (c("copago") * (1 + c("part") % 2)).alias("amount"))
 
 

@@ -22,26 +22,26 @@ def package_columns(spark, sf):
         F.concat(F.lit("X"), (F.col("contract_id") % 3).cast("string")))).alias("column_id"))
 
 
-@query("a37_contract_families", f"""WITH {LNS}, {PC}, s AS (SELECT contract_id, string_agg(DISTINCT column_id, '|' ORDER BY column_id) AS c FROM pc GROUP BY contract_id), n AS (SELECT contract_id, count(*) AS n FROM lns WHERE noun = 'ring' GROUP BY contract_id)
+@query("a37_contract_families", f"""WITH {LNS}, {PC}, s AS (SELECT contract_id, string_agg(DISTINCT column_id, '|' ORDER BY column_id) AS c FROM pc GROUP BY contract_id), n AS (SELECT contract_id, count(*) AS n FROM lns GROUP BY contract_id)
   SELECT contract_id, 'FAMILY[' || c || '][' || CASE WHEN n < 5 THEN 'LITE' WHEN n < 15 THEN 'STANDARD' ELSE 'COMPLEX' END || ']' AS family FROM s JOIN n USING (contract_id)""")
 def a37(spark, sf):
-    return P.families(package_columns(spark, sf), contract_lines(spark, sf).filter("noun = 'ring'"))
+    return P.families(package_columns(spark, sf), contract_lines(spark, sf))
 
 
-@query("a38_cell_variance", f"""WITH {LNS}, v AS (SELECT noun AS row_id, 'C' || (size % 5) AS column_id, p_type AS value, count(DISTINCT contract_id) AS contracts FROM lns WHERE size > 25 GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY row_id, column_id) > 1 AS varies FROM v""")
+@query("a38_cell_variance", f"""WITH {LNS}, v AS (SELECT noun AS row_id, 'C' || (size % 5) AS column_id, p_type AS value, count(DISTINCT contract_id) AS contracts FROM lns GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY row_id, column_id) > 1 AS varies FROM v""")
 def a38(spark, sf):
-    return P.cell_variance(contract_lines(spark, sf).filter("size > 25").select("contract_id", F.col("noun").alias("row_id"), F.concat(F.lit("C"), (F.col("size") % 5).cast("string")).alias("column_id"), F.col("p_type").alias("value")))
+    return P.cell_variance(contract_lines(spark, sf).select("contract_id", F.col("noun").alias("row_id"), F.concat(F.lit("C"), (F.col("size") % 5).cast("string")).alias("column_id"), F.col("p_type").alias("value")))
 
 
-@query("a39_batch_summary", f"WITH {LNS}, s AS (SELECT contract_id, CASE max(size) % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' ELSE 'NEEDS_REVIEW' END AS status FROM lns WHERE noun = 'rod' AND size < 50 - contract_id GROUP BY contract_id) SELECT count(*) AS contracts, count(*) FILTER (WHERE status <> 'NEEDS_REVIEW') AS passed, count(*) FILTER (WHERE status = 'NEEDS_REVIEW') AS review, count(*) FILTER (WHERE status <> 'NEEDS_REVIEW')::DOUBLE / count(*) AS rate FROM s")
+@query("a39_batch_summary", f"WITH {LNS}, s AS (SELECT contract_id, CASE max(size) % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'WARN' ELSE 'NEEDS_REVIEW' END AS status FROM lns GROUP BY contract_id) SELECT count(*) AS contracts, count(*) FILTER (WHERE status <> 'NEEDS_REVIEW') AS passed, count(*) FILTER (WHERE status = 'NEEDS_REVIEW') AS review, count(*) FILTER (WHERE status <> 'NEEDS_REVIEW')::DOUBLE / count(*) AS rate FROM s")
 def a39(spark, sf):
     m = F.max("size") % 3
-    s = contract_lines(spark, sf).filter("noun = 'rod' and size < 50 - contract_id").groupBy("contract_id").agg(F.when(m == 0, "PASS").when(m == 1, "WARN").otherwise("NEEDS_REVIEW").alias("status"))
+    s = contract_lines(spark, sf).groupBy("contract_id").agg(F.when(m == 0, "PASS").when(m == 1, "WARN").otherwise("NEEDS_REVIEW").alias("status"))
     return P.batch_summary(s)
 
 
 ROWMAP = {"ring": "R_DIA_CAMA", "bolt": "R_HONORARIOS", "gear": "R_PABELLON", "rod": "R_MEDICAMENTOS", "plate": "R_EXAMENES"}
-MC = """mc AS (SELECT contract_id, CASE noun WHEN 'ring' THEN 'R_DIA_CAMA' WHEN 'bolt' THEN 'R_HONORARIOS' WHEN 'gear' THEN 'R_PABELLON' WHEN 'rod' THEN 'R_MEDICAMENTOS' WHEN 'plate' THEN 'R_EXAMENES' ELSE 'R_' || noun END AS row_id, CASE WHEN size % 4 = 0 THEN 'Sin Tope' ELSE CAST(size AS VARCHAR) END AS value, CASE size % 3 WHEN 0 THEN '%' WHEN 1 THEN 'UF' ELSE 'AC2' END AS unit FROM lns WHERE size <= contract_id * 2)"""
+MC = """mc AS (SELECT contract_id, CASE noun WHEN 'ring' THEN 'R_DIA_CAMA' WHEN 'bolt' THEN 'R_HONORARIOS' WHEN 'gear' THEN 'R_PABELLON' WHEN 'rod' THEN 'R_MEDICAMENTOS' WHEN 'plate' THEN 'R_EXAMENES' ELSE 'R_' || noun END AS row_id, CASE WHEN size % 4 = 0 THEN 'Sin Tope' ELSE CAST(size AS VARCHAR) END AS value, CASE size % 3 WHEN 0 THEN '%' WHEN 1 THEN 'UF' ELSE 'AC2' END AS unit FROM lns)"""
 MET = f"""{LNS}, {PC}, {MC}, m0 AS (SELECT contract_id, count(DISTINCT row_id) AS rows, CAST(count(DISTINCT row_id) FILTER (WHERE row_id IN ('R_DIA_CAMA', 'R_HONORARIOS', 'R_PABELLON', 'R_MEDICAMENTOS', 'R_MATERIALES', 'R_EXAMENES', 'R_CONSULTAS')) AS INT) AS critical_found, count(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'UF') AS uf_caps, min(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'UF') AS uf_min, max(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'UF') AS uf_max,
    count(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = '%') AS percents, max(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = '%') AS max_coverage, count(TRY_CAST(value AS DOUBLE)) FILTER (WHERE unit = 'AC2') AS fee_multiples, count(*) FILTER (WHERE value = 'Sin Tope') AS uncapped FROM mc GROUP BY contract_id),
   mp AS (SELECT contract_id, count(*) FILTER (WHERE regexp_matches(lower(column_id), 'pref|red')) AS preferred_columns, count(*) FILTER (WHERE regexp_matches(lower(column_id), 'libre|le')) AS free_columns FROM pc GROUP BY contract_id), met AS (SELECT m0.*, preferred_columns, free_columns, 7 - critical_found AS critical_missing, CASE WHEN 7 - critical_found > 3 THEN 'WARN' ELSE 'SUCCESS' END AS status FROM m0 LEFT JOIN mp USING (contract_id))"""
@@ -49,7 +49,7 @@ MET = f"""{LNS}, {PC}, {MC}, m0 AS (SELECT contract_id, count(DISTINCT row_id) A
 
 def metrics(spark, sf):
     s = F.col("size")
-    cells = contract_lines(spark, sf).filter("size <= contract_id * 2").select("contract_id", K.lookup(F.col("noun"), ROWMAP, F.concat(F.lit("R_"), "noun")).alias("row_id"),
+    cells = contract_lines(spark, sf).select("contract_id", K.lookup(F.col("noun"), ROWMAP, F.concat(F.lit("R_"), "noun")).alias("row_id"),
                                                                                F.when(s % 4 == 0, "Sin Tope").otherwise(s.cast("string")).alias("value"), F.when(s % 3 == 0, "%").when(s % 3 == 1, "UF").otherwise("AC2").alias("unit"))
     return P.contract_metrics(cells, package_columns(spark, sf))
 
@@ -103,21 +103,21 @@ def j38b(spark, sf):
     return P.verdict(j38(spark, sf))
 
 
-@query("j39_missing_items", f"WITH {DESCRIBED}, e AS (SELECT section AS grp, description, CASE WHEN page = 7 THEN -total ELSE total END AS total FROM described WHERE folio = 'NO') SELECT grp, count(*) AS missing, CAST(sum(total) AS BIGINT) AS amount FROM e WHERE (description, total) NOT IN (SELECT description, total FROM described) GROUP BY grp")
+@query("j39_missing_items", f"WITH {DESCRIBED}, e AS (SELECT section AS grp, description, CASE WHEN page = 7 THEN -total ELSE total END AS total FROM described) SELECT grp, count(*) AS missing, CAST(sum(total) AS BIGINT) AS amount FROM e WHERE (description, total) NOT IN (SELECT description, total FROM described) GROUP BY grp")
 def j39(spark, sf):
     d = star.described(spark, sf)
-    e = d.filter("folio = 'NO'").select(F.col("section").alias("grp"), "description", F.when(F.col("page") == 7, -F.col("total")).otherwise(F.col("total")).alias("total"))
+    e = d.select(F.col("section").alias("grp"), "description", F.when(F.col("page") == 7, -F.col("total")).otherwise(F.col("total")).alias("total"))
     return P.missing_items(e, d)
 
 
-@query("u03_set_difference", f"WITH {CHARGES} SELECT 'ONLY_A' AS side, provider, page FROM (SELECT provider, page FROM charges WHERE folio = 'AF' EXCEPT SELECT provider, page FROM charges WHERE folio = 'NO') UNION ALL SELECT 'BOTH', provider, page FROM (SELECT provider, page FROM charges WHERE folio = 'AF' INTERSECT SELECT provider, page FROM charges WHERE folio = 'NO')")
+@query("u03_set_difference", f"WITH {CHARGES} SELECT 'ONLY_A' AS side, provider, page FROM (SELECT provider, page FROM charges WHERE folio LIKE '%F' EXCEPT SELECT provider, page FROM charges WHERE folio NOT LIKE '%F') UNION ALL SELECT 'BOTH', provider, page FROM (SELECT provider, page FROM charges WHERE folio LIKE '%F' INTERSECT SELECT provider, page FROM charges WHERE folio NOT LIKE '%F')")
 def u03(spark, sf):
     c = star.charges(spark, sf)
-    a, b = c.filter("folio = 'AF'").select("provider", "page"), c.filter("folio = 'NO'").select("provider", "page")
+    a, b = c.filter("folio like '%F'").select("provider", "page"), c.filter("folio not like '%F'").select("provider", "page")
     return a.subtract(b).withColumn("side", F.lit("ONLY_A")).unionByName(a.intersect(b).withColumn("side", F.lit("BOTH")))
 
 
-@query("u04_multiset_compare", f"WITH {CHARGES} SELECT provider, page, 'LEFT' AS side FROM (SELECT provider, page FROM charges WHERE folio = 'AF' EXCEPT ALL SELECT provider, page FROM charges WHERE folio = 'NO') UNION ALL SELECT provider, page, 'RIGHT' FROM (SELECT provider, page FROM charges WHERE folio = 'NO' EXCEPT ALL SELECT provider, page FROM charges WHERE folio = 'AF')")
+@query("u04_multiset_compare", f"WITH {CHARGES} SELECT provider, page, 'LEFT' AS side FROM (SELECT provider, page FROM charges WHERE folio LIKE '%F' EXCEPT ALL SELECT provider, page FROM charges WHERE folio NOT LIKE '%F') UNION ALL SELECT provider, page, 'RIGHT' FROM (SELECT provider, page FROM charges WHERE folio NOT LIKE '%F' EXCEPT ALL SELECT provider, page FROM charges WHERE folio LIKE '%F')")
 def u04(spark, sf):
     c = star.charges(spark, sf)
-    return P.same_rows(c.filter("folio = 'AF'").select("provider", "page"), c.filter("folio = 'NO'").select("provider", "page"))
+    return P.same_rows(c.filter("folio like '%F'").select("provider", "page"), c.filter("folio not like '%F'").select("provider", "page"))

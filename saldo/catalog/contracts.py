@@ -180,14 +180,14 @@ def j29(spark, sf):
     return C.enrich_descriptions(star.settlement_lines(spark, sf), star.bill_items(spark, sf)).select("account", "line_id", "enriched")
 
 
-ANCH = "an AS (SELECT account, CASE folio WHEN 'NF' THEN '1103057' WHEN 'NO' THEN '1802081' WHEN 'AF' THEN '1801001' ELSE '9' END AS code, bonif FROM charges WHERE page <= 3)"
+ANCH = "an AS (SELECT account, CASE folio WHEN 'NF' THEN '1103057' WHEN 'NO' THEN '1802081' WHEN 'AF' THEN '1801001' ELSE '9' END AS code, bonif FROM charges)"
 OFF = """iv AS (SELECT account, code, CASE code WHEN '1103057' THEN 'AC2' ELSE 'VA' END AS unit, floor(bonif / CASE code WHEN '1103057' THEN 1.2::DOUBLE WHEN '1802081' THEN 6.0 ELSE 3.0 END + 0.5) AS v FROM an WHERE code <> '9' AND bonif > 0),
   pu AS (SELECT account, unit, avg(v) AS m, min(v) AS lo, max(v) AS hi, count(*) AS n FROM iv GROUP BY ALL), off AS (SELECT account, bool_or(n >= 2 AND greatest(hi - m, m - lo) / m > 0.05) OR count(*) > 1 AS contradictory FROM pu GROUP BY account)"""
 
 
 def anchors(spark, sf):
     code = K.lookup(F.col("folio"), {"NF": "1103057", "NO": "1802081", "AF": "1801001"}, "9")
-    return star.charges(spark, sf).filter("page <= 3").select("account", code.alias("code"), "bonif")
+    return star.charges(spark, sf).select("account", code.alias("code"), "bonif")
 
 
 @query("a22_unit_value", f"""WITH {LINES}, {ANCH}, {OFF}, g AS (SELECT account, avg(v) AS mean, count(DISTINCT code) AS ind FROM iv GROUP BY account), o AS (SELECT account, count(*) AS n, count(*) FILTER (WHERE folio LIKE 'R%') AS vague, bool_or(folio LIKE 'R%' AND valor > 9000000) AS blk FROM lines GROUP BY account),

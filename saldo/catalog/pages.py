@@ -116,11 +116,11 @@ def a44(spark, sf):
     return g.withColumn("confidence", F.round("confidence", 8))
 
 
-@query("a45_package_status", f"""WITH {LNS}, g AS (SELECT contract_id, CASE WHEN size = 13 THEN 'FAIL' WHEN size = 27 THEN 'WARN' ELSE 'PASS' END AS result, CASE WHEN contract_id % 7 = 0 THEN 1 ELSE 0 END AS u, CASE WHEN contract_id % 5 = 0 THEN 1 ELSE 0 END AS k FROM lns WHERE p_type = 'STANDARD'), a AS (SELECT contract_id, bool_or(result = 'FAIL') AS f, bool_or(result = 'WARN') AS w, max(u) AS u, max(k) AS k FROM g GROUP BY contract_id)
+@query("a45_package_status", f"""WITH {LNS}, g AS (SELECT contract_id, CASE WHEN size = 13 THEN 'FAIL' WHEN size = 27 THEN 'WARN' ELSE 'PASS' END AS result, CASE WHEN contract_id % 7 = 0 THEN 1 ELSE 0 END AS u, CASE WHEN contract_id % 5 = 0 THEN 1 ELSE 0 END AS k FROM lns), a AS (SELECT contract_id, bool_or(result = 'FAIL') AS f, bool_or(result = 'WARN') AS w, max(u) AS u, max(k) AS k FROM g GROUP BY contract_id)
   SELECT contract_id, CASE WHEN f OR u > 0 THEN 'NEEDS_REVIEW' WHEN k > 0 OR w THEN 'WARN' ELSE 'PASS' END AS status FROM a""")
 def a45(spark, sf):
     s, c = F.col("size"), F.col("contract_id")
-    g = contract_lines(spark, sf).filter("p_type = 'STANDARD'").select("contract_id", F.col("line_no").alias("gate"), F.when(s == 13, "FAIL").when(s == 27, "WARN").otherwise("PASS").alias("result"),
+    g = contract_lines(spark, sf).select("contract_id", F.col("line_no").alias("gate"), F.when(s == 13, "FAIL").when(s == 27, "WARN").otherwise("PASS").alias("result"),
                                                                      F.when(c % 7 == 0, 1).otherwise(0).alias("undetermined"), F.when(c % 5 == 0, 1).otherwise(0).alias("conditional"))
     return S.package_status(g)
 

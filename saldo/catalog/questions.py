@@ -24,10 +24,10 @@ def _declared(spark, sf):
 
 
 @query("q01_page_coverage", f"""WITH {ROWS}, r AS (SELECT account, page, count(*) AS rows, count(*) FILTER (WHERE kind NOT IN ('header', 'footer') AND {largest('text')} > 0) AS priced FROM rws GROUP BY ALL),
-  i AS (SELECT account, page, count(*) AS items FROM described WHERE folio NOT LIKE 'R%' GROUP BY ALL)
+  i AS (SELECT account, CASE WHEN folio LIKE 'R%' THEN page + 10 ELSE page END AS page, count(*) AS items FROM described GROUP BY ALL)
   SELECT account, page, coalesce(rows, 0) AS rows, coalesce(items, 0) AS items, coalesce(priced, 0) AS priced, greatest(0, coalesce(priced, 0) - coalesce(items, 0)) AS missing, rows IS NOT NULL AND items IS NULL AS uncovered FROM r FULL JOIN i USING (account, page)""")
 def q01(spark, sf):
-    return Q.page_coverage(star.bill_rows(spark, sf), star.charges(spark, sf).filter("folio not like 'R%'"))
+    return Q.page_coverage(star.bill_rows(spark, sf), star.charges(spark, sf).withColumn("page", F.when(F.col("folio").startswith("R"), F.col("page") + 10).otherwise(F.col("page"))))
 
 
 @query("q01_row_kinds", f"WITH {ROWS} SELECT kind, count(*) AS rows FROM rws GROUP BY kind")

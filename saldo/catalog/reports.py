@@ -157,10 +157,10 @@ def a35(spark, sf):
     return R.declared_target(j)
 
 
-@query("a35_dead_pages", f"WITH {CHARGES} SELECT DISTINCT account, page FROM charges WHERE (account, page) NOT IN (SELECT account, page FROM charges WHERE folio NOT LIKE 'R%')")
+@query("a35_dead_pages", f"WITH {CHARGES} SELECT DISTINCT account, page FROM charges WHERE (account, page) NOT IN (SELECT account, CASE WHEN folio LIKE 'R%' THEN page + 10 ELSE page END FROM charges)")
 def a35b(spark, sf):
     c = star.charges(spark, sf)
-    return R.dead_pages(c, c.filter("folio not like 'R%'"))
+    return R.dead_pages(c, c.withColumn("page", F.when(F.col("folio").startswith("R"), F.col("page") + 10).otherwise(F.col("page"))))
 
 
 BLOCK_ITEMS = """bi AS (SELECT account, page, total AS item_total, total + copago AS gross, bonif AS insurer, copago AS patient, total + total * 19 // 100 AS taxed, total + copago + total * 19 // 100 AS exempt_and_taxed FROM charges),

@@ -46,9 +46,9 @@ def raw_settlements(spark, sf):
 LINES_SQL = "SELECT CAST(account AS VARCHAR) AS account_id, folio, CAST(provider AS VARCHAR) AS provider, CAST(part AS VARCHAR) AS code, total AS valor, bonif, copago, CAST(ts AS TIMESTAMP) AS ts FROM charges"
 
 
-@query("s02_settlement_lines", f"WITH {CHARGES} {LINES_SQL} WHERE folio NOT LIKE 'R%'")
+@query("s02_settlement_lines", f"WITH {CHARGES} {LINES_SQL}")
 def s02(spark, sf):
-    return s03(spark, sf).filter("folio not like 'R%'")
+    return s03(spark, sf)
 
 
 @query("s03_settlement_two_places", f"WITH {CHARGES} {LINES_SQL}")
