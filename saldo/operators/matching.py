@@ -289,10 +289,6 @@ def pair_match(lines: DataFrame, pool: DataFrame) -> DataFrame:
     return lines.select("account", "line_id", "valor").join(best, ["account", "valor"]).select("account", "line_id", "valor", "b.pos_a", "b.pos_b")
 
 
-#: Orders in which the candidates of a combination are added: as printed, by section, largest first.
-ORDERS = [["pos", "unit"], ["section_key", "pos", "unit"], ["-total", "pos", "unit"]]
-
-
 def combination_match(lines: DataFrame, items: DataFrame, domain: bool = False) -> DataFrame:
     """Best-scored subset that adds up to each line: account, line_id, cand (its order), score, status and its rows (pos, total).
 
@@ -306,11 +302,12 @@ def combination_match(lines: DataFrame, items: DataFrame, domain: bool = False)
     c = F.col
     fits = [(~c("drug") & ~c("supply"), c("domain") == "CATCH_ALL")] + ([(c("drug"), c("domain") == "DRUG"), (c("supply"), c("domain") == "SUPPLY")] if domain else [])
     open_ = k.join(p, "account").filter(first_match(fits, F.lit(True)) & (c("total") > 0) & (c("total") <= c("valor")))
-    found = None
-    for n, order in enumerate(ORDERS):
-        hit = subset_of(open_, [F.expr(o) for o in order]).select("account", "line_id", "pos", "total", F.lit(n).alias("cand"))
-        found = hit if found is None else found.unionByName(hit)
-    found = checkpoint(found)
+    # Three orders at once: as printed, by section, largest first.
+    orders = F.array(*[F.struct(F.lit(n).alias("cand"), s.alias("s"), t.alias("t")) for n, (s, t) in enumerate(
+        [(F.lit(""), F.lit(0).cast("long")), (c("section_key"), F.lit(0).cast("long")), (F.lit(""), -c("total"))])])
+    each = open_.select("account", "line_id", "valor", "pos", "unit", "total", F.explode(orders).alias("v"))
+    each = each.select("account", F.struct("line_id", "v.cand").alias("line_id"), "valor", "pos", "unit", "total", "v.s", "v.t")
+    found = checkpoint(subset_of(each, [c("s"), c("t"), c("pos"), c("unit")]).select("account", "line_id.line_id", "pos", "total", "line_id.cand"))
     members = found.join(items.select("account", "pos", "section", "description"), ["account", "pos"])
     # A subset's rows in order; its adjacent positions share pos - k.
     members = members.withColumn("k", F.row_number().over(Window.partitionBy("account", "line_id", "cand").orderBy("pos")))

@@ -29,8 +29,9 @@ def test_peeling_is_the_greedy_choice(spark, seed):
             want |= {(a, k, p) for p in places}
     p = spark.createDataFrame([(a, k, x) for k, (a, places) in wants.items() for x in places], "account string, line_id string, pos long")
     r = spark.createDataFrame(list(ranks.items()), "line_id string, rank int")
-    assert {tuple(x[c] for c in ("account", "line_id", "pos")) for x in matcher.settled(p, r).collect()} == want
-    assert matcher.settled(p.limit(0), r) is None
+    assert {tuple(x[c] for c in ("account", "line_id", "pos")) for x in matcher.settled(p, r)[0].collect()} == want
+    assert {x["line_id"] for x in matcher.settled(p, r)[1].collect()} == set(wants) - {k for _, k, _ in want}
+    assert matcher.settled(p.limit(0), r)[0] is None
 
 
 def test_every_step_of_the_ladder(spark):
