@@ -50,10 +50,12 @@ def residual_segments(items: DataFrame, gap: int = 2) -> DataFrame:
     return sequence.islands(items, ["account"], "pos", gap)
 
 
-def unit_items(items: DataFrame) -> DataFrame:
-    """Items of two or more units with a consistent price become one row per unit."""
+def unit_items(items: DataFrame, most: int | None = None) -> DataFrame:
+    """Items of two or more units (up to ``most``) with a consistent price become one row per unit."""
     q, u, t = F.col("qty"), F.col("unit_price"), F.col("total")
     splits = (q > 1) & (u > 0) & (F.abs(t - q * u) < t * 0.05 + 10)
+    if most is not None:
+        splits = splits & (q <= most)
     n = F.when(splits, F.ceil(q)).otherwise(1).cast("int")
     e = items.withColumn("_n", n).withColumn("unit", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return e.withColumns({"total": F.when(F.col("_n") > 1, u).otherwise(t), "qty": F.when(F.col("_n") > 1, F.lit(1.0)).otherwise(q)}).drop("_n")
@@ -289,15 +291,16 @@ def pair_match(lines: DataFrame, pool: DataFrame) -> DataFrame:
     return lines.select("account", "line_id", "valor").join(best, ["account", "valor"]).select("account", "line_id", "valor", "b.pos_a", "b.pos_b")
 
 
-def combination_match(lines: DataFrame, items: DataFrame, domain: bool = False) -> DataFrame:
+def combination_match(lines: DataFrame, items: DataFrame, domain: bool = False, units: int | None = 20) -> DataFrame:
     """Best-scored subset that adds up to each line: account, line_id, cand (its order), score, status and its rows (pos, total).
 
-    Items of several units come as units (where ``items`` has qty and unit_price). The subsets of three orders are scored; the
+    Items of several units come as units (where ``items`` has qty and unit_price), those of more than ``units`` as a whole: so the
+    operation is defined; None takes every unit. The subsets of three orders are scored; the
     first of equal scores stays. With ``domain`` a drug or supply line sees its own items only; drugs and supplies never
     enter a catch-all line. OK: within the domain and at least 50; AMBIGUOUS: below 20.
     """
-    units = unit_items(items) if {"qty", "unit_price"} <= set(items.columns) else items.withColumn("unit", F.lit(1))
-    p = pools(units).select("account", "pos", "unit", "total", normalize_strict(F.col("section")).alias("section_key"), "drug", "supply")
+    rows = unit_items(items, units) if {"qty", "unit_price"} <= set(items.columns) else items.withColumn("unit", F.lit(1))
+    p = pools(rows).select("account", "pos", "unit", "total", normalize_strict(F.col("section")).alias("section_key"), "drug", "supply")
     k = lines.filter("valor > 0").select("account", "line_id", "valor", "code", K.line_domain(F.col("code"), F.col("description")).alias("domain"))
     c = F.col
     fits = [(~c("drug") & ~c("supply"), c("domain") == "CATCH_ALL")] + ([(c("drug"), c("domain") == "DRUG"), (c("supply"), c("domain") == "SUPPLY")] if domain else [])
