@@ -109,10 +109,23 @@ def a60(spark, sf):
     return B.kpis(f, star.charges(spark, sf).groupBy("account").agg(F.sum("copago").alias("total")))
 
 
-@query("a57_gap_orphans", f"""WITH RECURSIVE {ITEMS}, l AS (SELECT account, pos, copago, row_number() OVER (PARTITION BY account ORDER BY pos) AS k FROM items WHERE regexp_matches(description, 'INSUMO|MATERIAL|TOALLA|ASEO') AND part % 5 <> 0 AND copago > 0), gp AS (SELECT account, CAST(sum(copago) AS BIGINT) // 3 AS gap FROM items GROUP BY account),
-  w AS (SELECT account, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS copago, gap AS rest, false AS took FROM gp WHERE gap > 5000 UNION ALL SELECT w.account, l.k, l.pos, l.copago, CASE WHEN l.copago <= w.rest + 500 THEN w.rest - l.copago ELSE w.rest END, l.copago <= w.rest + 500 FROM w JOIN l ON l.account = w.account AND l.k = w.k + 1) SELECT account, pos, copago FROM w WHERE took""")
-def a57(spark, sf):
+GAPS = f"""WITH RECURSIVE {ITEMS}, l AS (SELECT account, pos, copago, row_number() OVER (PARTITION BY account ORDER BY pos) AS k FROM items WHERE regexp_matches(description, 'INSUMO|MATERIAL|TOALLA|ASEO') AND part % 5 <> 0 AND copago > 0), gp AS (SELECT account, CAST(sum(copago) AS BIGINT) // 3 AS gap FROM items GROUP BY account),
+  w AS (SELECT account, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS copago, gap AS rest, false AS took FROM gp WHERE gap > 5000 UNION ALL SELECT w.account, l.k, l.pos, l.copago, CASE WHEN l.copago <= w.rest + 500 THEN w.rest - l.copago ELSE w.rest END, l.copago <= w.rest + 500 FROM w JOIN l ON l.account = w.account AND l.k = w.k + 1)"""
+
+
+def gap_inputs(spark, sf):
     i = star.bill_items(spark, sf)
     lines = i.select("account", "pos", F.col("item_id").alias("line_id"), "copago", F.col("description").rlike("INSUMO|MATERIAL|TOALLA|ASEO").alias("suspicious"), (F.col("part") % 5 == 0).alias("caught"))
     gaps = star.charges(spark, sf).groupBy("account").agg(F.expr("sum(copago) div 3").alias("gap"))
-    return B.gap_orphans(lines, gaps).select("account", "pos", "copago")
+    return lines, gaps
+
+
+@query("a57_gap_orphans", f"{GAPS} SELECT account, pos, copago FROM w WHERE took")
+def a57(spark, sf):
+    return B.gap_orphans(*gap_inputs(spark, sf)).select("account", "pos", "copago")
+
+
+@query("a57_gap_findings", f"""{GAPS} SELECT account, 'ORPHAN' AS code, NULL AS category, pos, copago AS amount FROM w WHERE took
+  UNION ALL SELECT account, 'GAP_RECONCILIATION', 'Z', NULL, gap FROM gp WHERE gap > 5000 AND account NOT IN (SELECT account FROM w WHERE took)""")
+def a57b(spark, sf):
+    return B.gap_findings(*gap_inputs(spark, sf)).select("account", "code", "category", "pos", "amount")

@@ -367,3 +367,11 @@ def test_row_order_does_not_matter(spark):
         got = M.contiguous_candidates(spark.createDataFrame(lines, schema), spark.createDataFrame(d, ITEMS).repartition(3))
         out.add(tuple(rows(got, "line_id", "first", "last")))
     assert len(out) == 1
+
+
+def test_one_row_for_a_gap_that_no_line_explains(spark):
+    lines = spark.createDataFrame([("a", 1, "l1", 9000, True, False), ("b", 1, "l2", 4000, True, False), ("c", 1, "l3", 50_000, True, False), ("d", 1, "l4", 10, True, True)],
+                                  "account string, pos long, line_id string, copago long, suspicious boolean, caught boolean")
+    gaps = spark.createDataFrame([("a", 8600), ("b", 5000), ("c", 6000), ("d", 7000), ("e", 9000)], "account string, gap long")
+    assert rows(B.gap_findings(lines, gaps), "account", "code", "line_id", "amount") == [
+        ("a", "ORPHAN", "l1", 9000), ("c", "GAP_RECONCILIATION", None, 6000), ("d", "GAP_RECONCILIATION", None, 7000), ("e", "GAP_RECONCILIATION", None, 9000)]
