@@ -44,7 +44,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead "
     "comment comments commentlist disqus respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login share sharing "
-    "social related recommended pagination pager copyright toolbar".split()
+    "social related recommended pagination pager copyright toolbar alert alerts announcement disclaimer paywall widget widgets aside replies adsense adslot adbox".split()
 )
 #: A header of these is the article's; a class that tells of a page's other parts ("has-sidebar") names no part.
 OWN, LAYOUT = frozenset("article post entry content story".split()), frozenset("has have with without no not is".split())
