@@ -217,6 +217,15 @@ def j11b(spark, sf):
     return hit.groupBy("account", "line_id", "valor").agg(F.sum("total").alias("matched"), (F.count_distinct("pos") == F.count("*")).alias("once"))
 
 
+@query("j11_first_subset", f"""WITH {CUM}, o AS (SELECT line_id, valor, pos, i.total, row_number() OVER (PARTITION BY line_id ORDER BY pos) - 1 AS k FROM lines l JOIN items i ON i.account = l.account WHERE i.total > 0 AND i.total <= valor),
+  li AS (SELECT line_id, valor, list(total ORDER BY k) AS ts FROM o GROUP BY ALL HAVING sum(total) >= valor),
+  mk AS (SELECT line_id, list_filter(range(1, 1 << len(ts)), lambda m: list_sum(list_transform(range(len(ts)), lambda j: CASE WHEN (m >> j) & 1 = 1 THEN ts[j + 1] ELSE 0 END)) = valor)[1] AS m FROM li)
+  SELECT line_id, pos, total FROM o JOIN mk USING (line_id) WHERE (m >> k) & 1 = 1""")
+def j11d(spark, sf):
+    """Members of the subset that is reached first in order: the least bit mask over the positions."""
+    return M.subset_match(star.settlement_lines(spark, sf), _bare(spark, sf), [F.col("pos")]).select("line_id", "pos", "total")
+
+
 @query("j12_anchored_bundle", f"""WITH RECURSIVE {ITEMS}, {LINES_ONLY}, c AS (SELECT account, list({{'pos': pos, 'total': total, 'nd': {strict('description')}}} ORDER BY total DESC, pos) AS its FROM items WHERE {any_like(strict('description'), lx.BUNDLE_WORDS)} GROUP BY account),
   w AS (SELECT account, 0 AS k, its, its[:0] AS chosen FROM c
   UNION ALL SELECT account, k + 1, its, list_concat(chosen, list_filter(its, lambda x: contains(x.nd, {list(lx.BUNDLE_WORDS)}[k + 1]) AND NOT list_contains(list_transform(chosen, lambda a: a.pos), x.pos))[:1]) FROM w WHERE k < {len(lx.BUNDLE_WORDS)}),
