@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.session import checkpoint
+from saldo.session import checkpoint, shared_folder
 
 #: ASCII white space: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\f\r"
@@ -99,3 +101,10 @@ def components(edges: DataFrame) -> DataFrame:
 def shipped(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if its rows are counted to fit ``BROADCAST_BYTES``; else Spark shuffles it. Pass written rows."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: for rows too many to checkpoint."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -1,47 +1,37 @@
 """Benchmark decontamination with a positional inverted index.
 
-Postings are (term, doc_id, pos) of every training token. A search counts how often the test terms occur in the whole
-corpus, takes the two rarest terms of each test window, stores their postings, shifts them by the term's offset in the window
-to the window's start, and intersects the two lists on (document, window, start). A rarest term's posting keeps the words around
-it, so what the two lists share is settled against all other terms of the window without another look at the texts.
-Lists of frequent terms are never moved.
+One pass cuts all texts into words and writes the positional postings (row, term, pos) of every training token that is a test term. From them come
+the terms' counts, hence the rarest terms of each test window. The lists of the two rarest terms that occur are shifted by the term's offset
+in the window to the window's start and intersected on (row, window, start); what the two share is intersected with the lists of all other terms, at
+the places still asked for. Lists of frequent terms are never shifted whole.
 
-The test side is small beside the corpus, but nothing relies on it: it is dealt into slices of a checked size, each
-broadcast to its own pass over the texts.
+A phrase match has every word of the window in its place. A proximity match has at least four fifths of them, the two rarest terms that occur
+among them, each at most ``slop`` words from its place: a passage with single words replaced, put in or left out is still found. Phrase
+matches are proximity matches too.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased. Null and empty texts have no words and no hits. An item of fewer words
 than a window is one window; an item without words is ignored. Items that repeat an item_id count once; items without an id hit, but
-are not counted. Rows that share a doc_id share hits. Other columns are ignored.
+are not counted. Rows are told apart by a number, so rows that share a doc_id, or have none, are judged each for itself. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.common import BROADCAST_BYTES, fold, shipped, words
+from saldo.llm.common import BROADCAST_BYTES, fold, shipped, words, written
 from saldo.session import checkpoint
 
 #: Words before A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
-def postings(docs: DataFrame, around: int | None = None) -> DataFrame:
-    """(term, doc_id, pos), pos from 1; the empty term stands behind a text's last word.
-
-    With ``around`` also the raw words ``around`` before and behind, and how many of them are before.
-    """
-    cols = ["doc_id", F.posexplode("_w").alias("_p", "_t")] + (["_w"] if around is not None else [])
-    at = docs.select("doc_id", F.concat(words(F.col("text"), TERM), F.array(F.lit(""))).alias("_w")).select(*cols)
-    out = [fold(F.col("_t")).alias("term"), "doc_id", (F.col("_p") + 1).alias("pos")]
-    if around is not None:
-        first = F.greatest(F.lit(1), F.col("_p") + 1 - around)
-        out += [F.slice("_w", first, F.lit(2 * around + 1)).alias("near"), (F.col("_p") + 1 - first).alias("lead")]
-    return at.select(*out)
+#: Words that a term of a proximity match may stand away from its place.
+SLOP = 2
+#: Number of the empty term, whose one posting of a row stands behind the last word.
+END = -1
 
 
 def test_windows(items: DataFrame, width: int) -> DataFrame:
-    """window, item_id, size and terms of each ``width``-word window of the items; equal windows of an item are one."""
+    """item_id, terms and size of each ``width``-word window of the items; equal windows of an item are one."""
     w = F.transform(words(F.col("text"), TERM), fold)
     of = items.select("item_id", w.alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - width, F.lit(0))
@@ -50,92 +40,90 @@ def test_windows(items: DataFrame, width: int) -> DataFrame:
     return of.select("item_id", "terms", F.size("terms").alias("size"))
 
 
-def sliced(df: DataFrame, key: str, row_bytes: Column) -> list[DataFrame]:
-    """``df`` in parts small enough to broadcast, by a hash of ``key``; usually one part."""
-    size = df.agg(F.sum(row_bytes)).first()[0] or 0
-    n = -(-size // BROADCAST_BYTES)
-    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [df]
-
-
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: how often each of ``terms`` occurs in all texts. Counted where the texts are, before any shuffle."""
-    out = None
-    for part in sliced(terms, "term", F.octet_length("term") + 40):
-        n = postings(docs).join(F.broadcast(part), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-        out = n if out is None else out.unionByName(n)
-    return out
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, term, pos), pos from 1, of the words of all texts that are among ``terms`` (word, term); the posting of ``END`` also has the doc_id."""
+    at = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(words(F.col("text"), TERM), F.array(F.lit(""))).alias("w"))
+    at = at.select("row", "doc_id", F.posexplode("w").alias("p", "t")).select("row", "doc_id", (F.col("p") + 1).alias("pos"), fold(F.col("t")).alias("word"))
+    size = terms.agg(F.sum(F.octet_length("word") + 40)).first()[0]
+    at = at.join(F.broadcast(terms) if size <= BROADCAST_BYTES else terms, "word")
+    return at.select("row", "term", "pos", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"))
 
 
 class Index:
-    """Windows of a test set and the stored postings of their rarest terms.
+    """Windows of a test set and the postings of their terms.
 
-    ``windows``: window (a small number), terms, size; ``items``: item_id, terms. ``uses``: term, and where it is one of the ``depth`` rarest: window, offset, rank.
-    ``stored``: term, doc_id, pos, and for a window's rarest terms the words around; the empty term's posting tells a text's length.
+    ``items``: item_id, window; ``places``: window, size, offset, term of every word of a window; ``rarest``: window, offset, term, lists (bits: 1 for the
+    rarest list, 2 for the second; 3 where the window has one word); ``stored``: row, term, pos, and doc_id where term is ``END``.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, width: int, depth: int = 2):
-        self.depth = depth
-        self.items = checkpoint(test_windows(items, width))
-        self.windows = checkpoint(self.items.select("terms", "size").distinct().withColumn("window", F.monotonically_increasing_id()))
-        counts = checkpoint(term_counts(docs, self.windows.select(F.explode("terms").alias("term")).distinct()))
-        at = self.windows.select("window", "size", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-        by = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))  # ``width`` terms at most
-        at = at.groupBy("window").agg(by.alias("by")).where(F.col("by")[0]["n"] > 0)
-        at = at.select("window", F.posexplode(F.slice("by", 1, depth)).alias("rank", "x")).select("window", "rank", "x.term", "x.offset")
-        self.uses = checkpoint(at)
-        terms = self.uses.groupBy("term").agg((F.min("rank") == 0).alias("rarest"))
-        ends = docs.sparkSession.createDataFrame([("", False)], terms.schema)
-        out = None
-        for part in sliced(checkpoint(terms.unionByName(ends)), "term", F.octet_length("term") + 40):
-            p = postings(docs, width - 1).join(F.broadcast(part), "term")
-            p = p.select("term", "doc_id", "pos", F.when(F.col("rarest"), F.col("near")).alias("near"), F.when(F.col("rarest"), F.col("lead")).alias("lead"))
-            out = p if out is None else out.unionByName(p)
-        self.stored = checkpoint(out)
-
-    def lengths(self) -> DataFrame:
-        """doc_id, n_words of every row."""
-        return self.stored.where("term = ''").select("doc_id", (F.col("pos") - 1).cast("long").alias("n_words"))
-
-    def shifted(self) -> DataFrame:
-        """doc_id, window, start, rank and whole: postings moved to where their window would begin.
-
-        ``whole``: the rarest term's words around are those of the window; null for the other terms.
-        """
-        uses = self.uses.join(self.windows, "window").select("term", "window", "offset", "rank", F.when(F.col("rank") == 0, F.col("terms")).alias("terms"))
-        p = self.stored.join(shipped(checkpoint(uses), 250), "term")
-        first = F.col("lead") - F.col("offset") + 1  # where the window begins in near
-        same = (first >= 1) & (F.transform(F.slice("near", F.greatest(first, F.lit(1)), F.size("terms")), fold) == F.col("terms"))
-        return p.select("doc_id", "window", (F.col("pos") - F.col("offset")).alias("start"), "rank", F.when(F.col("rank") == 0, same).alias("whole"))
+    def __init__(self, docs: DataFrame, items: DataFrame, width: int):
+        if not 1 <= width <= 62:
+            raise ValueError("a window has 1 to 62 words")
+        found = checkpoint(test_windows(items, width))
+        windows = checkpoint(found.select("terms", "size").distinct().withColumn("window", F.monotonically_increasing_id()))
+        self.items = checkpoint(found.join(windows.drop("size"), "terms").select("item_id", "window"))
+        at = windows.select("window", "size", F.posexplode("terms").alias("offset", "word"))
+        terms = checkpoint(at.select("word").distinct().withColumn("term", F.monotonically_increasing_id()))
+        ends = docs.sparkSession.createDataFrame([("", END)], "word string, term long")
+        self.stored = written(postings(docs, checkpoint(terms.unionByName(ends))), "postings")
+        counts = self.stored.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))
+        at = checkpoint(at.join(terms, "word").join(counts, "term", "left"))
+        self.places = at.select("window", "size", "offset", "term")
+        by = F.array_sort(F.collect_list(F.struct("n", "word", "offset", "term")))  # ``width`` terms at most
+        two = at.where("n > 0").groupBy("window", "size").agg(F.slice(by, 1, 2).alias("by")).where(F.size("by") == F.least(F.lit(2), F.col("size")))
+        two = two.select("window", "size", F.posexplode("by").alias("rank", "x"))
+        lists = F.when(F.col("size") == 1, F.lit(3)).otherwise(F.col("rank") + 1)
+        self.rarest = checkpoint(two.select("window", "x.offset", "x.term", lists.alias("lists")))
+
+    def rows(self) -> DataFrame:
+        """row, doc_id and n_words of every row."""
+        return self.stored.where(F.col("term") == END).select("row", "doc_id", (F.col("pos") - 1).cast("long").alias("n_words"))
+
+
+def shifts(lists, slop: int):
+    """Array of -slop to slop for the second list, 0 alone for the rarest."""
+    return F.when(lists == 2, F.sequence(F.lit(-slop), F.lit(slop))).otherwise(F.array(F.lit(0)))
+
+
+def matches(index: Index, slop: int = SLOP) -> DataFrame:
+    """row, window, start, size, exact: phrase matches (exact) and proximity matches; start (words from 1) is where the rarest term puts the window."""
+    p = index.stored.where(F.col("term") != END).join(shipped(index.rarest, 60), "term")
+    p = p.select("row", "window", "lists", (F.col("pos") - F.col("offset")).alias("at"), F.explode(shifts(F.col("lists"), slop)).alias("shift"))
+    met = p.groupBy("row", "window", (F.col("at") + F.col("shift")).alias("start")).agg(F.bit_or("lists").alias("lists"))
+    met = checkpoint(met.where("lists = 3").select("row", "window", "start"))
+    # The other lists, at the places that the first two leave.
+    asked = met.join(shipped(index.places, 50), "window")
+    asked = asked.select("row", "window", "start", "size", "offset", "term", F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("shift"))
+    asked = asked.withColumn("pos", F.col("start") + F.col("offset") + F.col("shift"))
+    held = index.stored.select("row", "term", "pos").join(shipped(checkpoint(met.select("row").distinct()), 30), "row", "left_semi")
+    found = asked.join(held, ["row", "term", "pos"]).groupBy("row", "window", "start", "size").agg(
+        F.count_if(F.col("shift") == 0).alias("same"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, offset)"))).alias("near")
+    )
+    exact = F.col("same") == F.col("size")
+    return found.where(exact | (5 * F.col("near") >= 4 * F.col("size"))).select("row", "window", "start", "size", exact.alias("exact"))
 
 
 def phrase_matches(index: Index) -> DataFrame:
     """doc_id, item_id, start, size: every exact occurrence of a window of an item; start counts words from 1."""
-    # Rarest lists first: what the words around rule out is not moved. Then intersect: three numbers and a bit for each list.
-    lists = index.shifted().where("coalesce(whole, true)").groupBy("doc_id", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("lists"))
-    met = lists.where("(lists & 1) = 1").join(shipped(index.windows, 200), "window").where(F.col("lists") == F.expr(f"shiftleft(1, least({index.depth}, size)) - 1"))
-    return met.join(index.items.select("item_id", "terms"), "terms").select("doc_id", "item_id", "start", "size")
+    met = matches(index, 0).where("exact").join(index.rows(), "row").join(index.items, "window")
+    return met.select("doc_id", "item_id", "start", "size")
 
 
-def proximity_matches(index: Index, slop: int = 3) -> DataFrame:
-    """doc_id, item_id, start: windows whose two rarest terms stand at most ``slop`` words from where the window has them.
-
-    Shifted postings of both terms meet in buckets of ``slop`` + 1 words and their neighbours, then are compared exactly.
-    """
-    bucket = F.floor(F.col("start") / (slop + 1))
-    p = index.shifted()
-    a = p.where("rank = 0").select("doc_id", "window", "start", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    b = p.where("rank = 1").select("doc_id", "window", F.col("start").alias("other"), bucket.alias("bucket"))
-    near = a.join(b, ["doc_id", "window", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop)
-    return near.join(index.windows, "window").join(index.items.select("item_id", "terms"), "terms").select("doc_id", "item_id", "start").distinct()
+def proximity_matches(index: Index, slop: int = SLOP) -> DataFrame:
+    """doc_id, item_id, start: where four fifths of an item's window stand at most ``slop`` words from their places."""
+    return matches(index, slop).join(index.rows(), "row").join(index.items, "window").select("doc_id", "item_id", "start").distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence), item_ids (sorted as strings) and contaminated of every row."""
+def contaminated(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside an exact occurrence), item_ids and near_ids (with exact and with near windows, sorted as strings), contaminated."""
     index = Index(docs, items, width)
-    found = checkpoint(phrase_matches(index))
-    hit = found.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
-    hit = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit")).select(F.col("doc_id").alias("_d"), "n_hit")
-    by = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")).select(F.col("doc_id").alias("_e"), "item_ids")
-    out = index.lengths().join(hit, F.col("doc_id").eqNullSafe(F.col("_d")), "left").join(by, F.col("doc_id").eqNullSafe(F.col("_e")), "left")
-    n = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), (n > 0).alias("contaminated"))
+    found = checkpoint(matches(index, slop))
+    hit = found.where("exact").select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
+    hit = hit.groupBy("row").agg(F.count("*").alias("n_hit"))
+    of = found.groupBy("row", "window").agg(F.max("exact").alias("exact")).join(index.items, "window")
+    of = of.groupBy("row", F.col("item_id").cast("string").alias("item")).agg(F.max("exact").alias("exact"))
+    ids = lambda c: F.array_sort(F.collect_list(c))
+    by = of.groupBy("row").agg(ids(F.when(F.col("exact"), F.col("item"))).alias("item_ids"), ids("item").alias("near_ids"))
+    out = index.rows().join(hit, "row", "left").join(by, "row", "left")
+    n, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.array().cast("array<string>")
+    return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"), (n > 0).alias("contaminated"))

@@ -27,8 +27,12 @@ def load() -> tuple[dict, dict]:
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    items = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items, "contaminated")
+    of = lambda c: F.sha2(F.concat_ws(",", c), 256)
+    n = lambda c: F.size(c).cast("long")
+    return found.select(
+        "doc_id", "n_words", "n_hit", n("item_ids").alias("n_items"), of("item_ids").alias("items_sha256"), "contaminated",
+        n("near_ids").alias("n_near"), of("near_ids").alias("near_items_sha256"),
+    )
 
 
 SQL["op1_decontamination"] = r"""
@@ -41,10 +45,21 @@ p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 s AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM p, (SELECT DISTINCT n FROM v) WHERE i + n - 1 <= len(w)),
 m AS (SELECT s.doc_id, s.i, s.n, v.item_id FROM s JOIN v ON v.t = s.t AND v.n = s.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
-g AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1),
+o AS (SELECT t, n, i - 1 AS o, string_split(t, ' ')[i] AS word FROM (SELECT DISTINCT t, n, unnest(range(1, n + 1)) AS i FROM v)),
+q AS (SELECT doc_id, i, w[i] AS word FROM p WHERE w[i] IN (SELECT word FROM o)),
+c AS (SELECT word, count(*) AS k FROM q GROUP BY 1),
+r AS (SELECT t, n, o, word, row_number() OVER (PARTITION BY t ORDER BY k, word, o) AS rank FROM o JOIN c USING (word)),
+a AS (SELECT q.doc_id, r.t, r.n, i - o AS start FROM q JOIN r ON r.word = q.word AND rank = 1),
+e AS (SELECT DISTINCT q.doc_id, r.t, i - o + d AS start FROM q JOIN r ON r.word = q.word AND rank = 2, unnest([-2, -1, 0, 1, 2]) AS u(d)),
+k AS (SELECT DISTINCT a.* FROM a LEFT JOIN e USING (doc_id, t, start) WHERE a.n = 1 OR e.t IS NOT NULL),
+x AS (SELECT doc_id, t, start, n, o, word, start + o + d AS i FROM k JOIN o USING (t, n), unnest([-2, -1, 0, 1, 2]) AS u(d)),
+y AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, t, start, n, count(DISTINCT o) AS near FROM x JOIN q USING (doc_id, i, word) GROUP BY ALL) WHERE 5 * near >= 4 * n),
+z AS (SELECT doc_id, count(*) AS n_near, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM y JOIN v USING (t)) GROUP BY 1)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id
+       sha256(coalesce(g.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(z.items, '')) AS near_items_sha256
+FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN z ON z.doc_id = w.doc_id
 """
 
 

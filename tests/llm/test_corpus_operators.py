@@ -83,6 +83,25 @@ def test_positional_index(documents, spark):
     assert not positional.contaminated(docs, items.limit(0)).where("contaminated").count()
 
 
+def brute_near(texts, items, width, slop):
+    """(row, item) pairs of near windows: the two rarest terms that occur, then four fifths of the window about their places."""
+    cut = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    of, out = [cut(t) for t in texts], set()
+    n = Counter(w for t in of for w in t)
+    for item, text in items:
+        w = cut(text)
+        for window in {tuple(w[k : k + width]) for k in range(max(len(w) - width, 0) + 1)} - {()}:
+            two = sorted((n[t], t.encode(), o) for o, t in enumerate(window) if n[t])[:2]
+            if len(two) < min(2, len(window)):
+                continue
+            for row, t in enumerate(of):
+                about = lambda o, s: window[o] in t[max(s + o - slop, 0) : max(s + o + slop + 1, 0)]  # noqa: B023, E731
+                for s in (p - two[0][2] for p, x in enumerate(t) if x.encode() == two[0][1]):
+                    if about(two[-1][2], s) and 5 * sum(about(o, s) for o in range(len(window))) >= 4 * len(window):
+                        out.add((row, item))
+    return out
+
+
 def test_proximity(documents, spark):
     items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
     index = positional.Index(documents([(1, "red old fox"), (2, "red a b c d fox"), (3, "fox red")]), items, 2)
@@ -90,6 +109,33 @@ def test_proximity(documents, spark):
     assert {r["doc_id"] for r in positional.phrase_matches(index).collect()} == set()
 
 
+def test_proximity_finds_passages_with_a_word_replaced_put_in_or_left_out(documents, spark):
+    from random import Random
+
+    draw = Random(4)
+    passage = [f"term{k}" for k in range(30)]
+    other = lambda n: [draw.choice(["the", "of", "and", "term3", "term9", "stone", "river"]) for _ in range(n)]
+    texts = []
+    for k in range(40):
+        body = list(passage)
+        at = draw.randrange(30)
+        body[at : at + (k % 4 != 2)] = [[f"new{k}"], [], [f"new{k}"], body[at : at + 1]][k % 4]  # replaced, left out, put in, as it was
+        texts.append(" ".join(other(20) + body + other(20)))
+    texts += [" ".join(other(200)) for _ in range(20)] + [None, "", "term3 term9"]
+    items = [(1, " ".join(passage)), (2, "stone river stone"), (3, "absent words only"), (4, "term9"), (5, None)]
+    docs = documents([(k, t) for k, t in enumerate(texts)])
+    got = positional.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], int(i)) for r in got for i in r["near_ids"]} == brute_near(texts, items, 10, positional.SLOP)
+    assert all("1" in r["near_ids"] for r in got if r["doc_id"] < 40) and all(set(r["item_ids"]) <= set(r["near_ids"]) for r in got)
+
+
+def test_rows_without_an_id_are_judged_each_for_itself(documents, spark):
+    items = spark.createDataFrame([(1, "red fox")], "item_id long, text string")
+    rows = [(None, "a red fox"), (None, "clean words"), (None, None), (7, "red fox"), (7, "fox red"), (7, "fox red")]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["contaminated"]) for r in positional.contaminated(documents(rows), items).collect())
+    assert got == [("7", 2, False), ("7", 2, False), ("7", 2, True), ("None", 0, False), ("None", 2, False), ("None", 3, True)]
+
+
 def test_mix(documents):
     rows = [(k, prose(1 + k % 90, k), "en", "big" if k % 3 == 0 else f"s{k % 7}") for k in range(300)] + [(900, "tiny words", "en", "t"), (901, None, "en", None), (902, "of none", "en", None), (903, "tiny words", "en", "t")]
     got = apportion.mix(documents(rows), block=16, shard_words=500).collect()
