@@ -286,6 +286,45 @@ def test_quality(documents, spark):
     assert quality.judged(documents(rows[:3]), labels.limit(0)).where("kept").count() == 3
 
 
+def test_cutoffs_are_the_last_step_before_the_first_that_fails(documents, spark):
+    from math import comb
+
+    def bad(k, i):  # every so many good texts have symbols or lines that a step rejects
+        return " ###" * (i % 9) if i % (11 + 40 * k) == 0 else "\n" + "same line\n" * (i % 7) if i % (13 + 50 * k) == 0 else ""
+
+    sizes = {"aa": 900, "bb": 420, "cc": 150, "dd": 120, None: 30, "ee": 3}
+    rows = [(1000 * k + i, prose(70, 1000 * k + i) + bad(k, i), lang) for k, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    unlabelled = [(90000 + i, prose(70, i) + " ###" * 9, lang) for i, lang in enumerate(["aa", "cc", "zz", None])]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = quality.judged(documents(rows + unlabelled), labels).collect()
+    lang = {r[0]: r[2] for r in rows + unlabelled}
+    rate = lambda r: {"symbols": 100 * r["n_symbols"] / max(r["word_chars"], 1), "lines": 100 * r["n_dup_lines"] / max(r["n_words"], 1), "repeats": 100 * r["n_repeat_words"] / max(r["n_words"], 1)}
+    rejects = lambda r, step: any(rate(r)[x] > c for x, c in step.items())
+    held = [r for r in got if r["doc_id"] < 90000 and not r["base_failed"]]
+    n = Counter(lang[r["doc_id"]] for r in held)
+    level = 0.05 / len(n)
+    tail = lambda n, k: sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
+    of = {x: x if tail(n[x], 0) <= level else "pool" for x in n}
+    assert sorted(map(str, of.values())) == ["aa", "bb", "pool", "pool", "pool", "pool"]
+    cut = {}
+    for s in set(of.values()):
+        mine = [r for r in held if of[lang[r["doc_id"]]] == s]
+        for step in quality.PATH:
+            if tail(len(mine), sum(rejects(r, step) for r in mine)) > level:
+                break
+            cut[s] = step
+    assert {"aa", "bb", "pool"} <= set(cut) and len({str(c) for c in cut.values()}) > 1
+    for r in got:
+        step = cut.get(of.get(lang[r["doc_id"]]))
+        assert r["has_cutoffs"] == (step is not None), r
+        assert r["kept"] == (not r["base_failed"] and not (step and rejects(r, step))), r
+
+
+def test_path_tightens_one_rule_a_step():
+    assert quality.PATH[0] == {r: g[0] for r, g in quality.GRID.items()} and quality.PATH[-1] == {r: g[-1] for r, g in quality.GRID.items()}
+    assert all(sum(a[r] != b[r] for r in a) == 1 and all(a[r] >= b[r] for r in a) for a, b in zip(quality.PATH, quality.PATH[1:]))
+
+
 def test_allowed_is_the_exact_binomial_bound(spark):
     from math import comb
 
